@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, licenses, mixture, quality_rules, sentencepiece, url_filter, warc
+from . import fingerprints, jaccard_join, licenses, mixture, quality_classifier, quality_rules, sentencepiece, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_mixture": mixture.op1_mixture,
@@ -10,8 +10,11 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_sentencepiece": sentencepiece.op8_sentencepiece,
+    "op9_quality_classifier": quality_classifier.op9_quality_classifier,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
 ORACLES = {

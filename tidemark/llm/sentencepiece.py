@@ -35,6 +35,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 REMEMBERED_CHARS = 48
 REMEMBERED_PARTS = 400_000
+#: Slots of the double array that one look for room covers.
+SEARCHED = 1024
 
 SCHEMA = "doc_id bigint, ids array<int>, n_ids bigint, n_bytes_ids bigint, round_trip boolean"
 
@@ -128,14 +130,19 @@ def build(pieces: list[tuple[str, float, int]]) -> Pieces:
         kids = children[node]
         if not kids:
             continue
-        while taken[free]:
-            free += 1
         codes = np.fromiter(sorted(kids), np.int64, len(kids))
-        start = max(1, free - int(codes[0]))
-        while start + 256 >= len(taken) or taken[start + codes].any():
-            start += 1
-            if start + 512 >= len(taken):
+        start, low = 0, free
+        while not start:
+            if low + SEARCHED + 512 >= len(taken):
                 base, check, slot_value, taken = (np.concatenate([x, np.full(len(x), fill, x.dtype)]) for x, fill in ((base, 0), (check, -1), (slot_value, -1), (taken, False)))
+            open_slots = np.flatnonzero(~taken[low : low + SEARCHED]) + low
+            if low == free and len(open_slots) < SEARCHED // 16:
+                free += SEARCHED // 2  # what is left open here is not worth a search
+            starts = open_slots[open_slots > codes[0]] - codes[0]
+            fits = starts[~taken[starts[:, None] + codes].any(axis=1)]
+            if len(fits):
+                start = int(fits[0])
+            low += SEARCHED
         base[slot] = start
         for code in kids:
             taken[start + code] = True
@@ -234,11 +241,11 @@ class Encoder:
 
 def encode_documents(docs: DataFrame, pieces: list[tuple[str, float, int]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids, n_ids, n_bytes_ids (ids of single bytes) and round_trip."""
-    trie = docs.sparkSession.sparkContext.broadcast(build(pieces))
+    trie = docs.sparkSession.sparkContext.broadcast(vars(build(pieces)))  # plain values
     types = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("n_bytes_ids", pa.int64()), ("round_trip", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(trie.value)
+        encoder = Encoder(Pieces(**trie.value))
         for batch in batches:
             step = 256
             for low in range(0, batch.num_rows, step):
@@ -255,10 +262,10 @@ def encode_documents(docs: DataFrame, pieces: list[tuple[str, float, int]], doc_
 
 def decode_documents(encoded: DataFrame, pieces: list[tuple[str, float, int]], doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """doc_id and the decoded text of each row's ids."""
-    trie = encoded.sparkSession.sparkContext.broadcast(build(pieces))
+    trie = encoded.sparkSession.sparkContext.broadcast(vars(build(pieces)))  # plain values
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(trie.value)
+        encoder = Encoder(Pieces(**trie.value))
         for batch in batches:
             texts = [None if x is None else encoder.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -268,3 +275,8 @@ def decode_documents(encoded: DataFrame, pieces: list[tuple[str, float, int]], d
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), load_pieces(spark))
+
+
+def encode_corpus(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the token ids of every document that is left."""
+    return encode_documents(docs, load_pieces(spark))
