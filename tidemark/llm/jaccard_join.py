@@ -13,7 +13,9 @@ a group. (1) Each meets the smallest node of the key. The bit counts of two hash
 bitmaps bound the overlap from above; pairs that pass are settled by intersecting the
 sorted arrays. (2) Links are contracted to components. (3) Only keys whose nodes are
 still in several components go on: their bitmaps are compared block by block (blocks
-of ``BLOCK`` nodes) across components, and what passes is intersected exactly.
+of ``BLOCK`` nodes) across components, and nodes with a likely partner meet again with
+their arrays. There a task intersects exactly and reports only the links that join
+components, so pairs never become rows.
 
 Defined results: a null, empty or wordless text has the empty set and links with
 nothing; a text of fewer words than a shingle has its whole sequence as the only
@@ -134,9 +136,9 @@ class Tiles:
         return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    """Parities of the shingles by hashed place; about two bits a shingle, a power of two."""
-    size = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+def bitmap(shingles: np.ndarray, bits: int = 2) -> bytes:
+    """Parities of the shingles by hashed place; ``bits`` places a shingle at least, a power of two."""
+    size = max(64, 1 << (bits * len(shingles) - 1).bit_length())
     return np.packbits(np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
 
 
@@ -234,50 +236,90 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "seta", "setb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _compare_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components within each key whose bitmaps allow enough overlap.
+def _dealt(rows: DataFrame, payload: str) -> DataFrame:
+    """Rows of (key, node, n, payload, comp) as runs of two blocks of a key's nodes each.
 
-    A key's nodes are dealt to blocks; each pair of blocks is one run of rows in a
-    task, so memory is bounded by two blocks whatever a key's size.
+    A key's nodes are dealt to blocks and every pair of blocks becomes one run of rows
+    in a task, so two blocks bound its memory whatever a key's size.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def compared(group: list[tuple]) -> list[tuple[int, int]]:
-        tiles = Tiles(percent)
-        left = [r for r in group if r[3]]
-        right = [r for r in group if r[4]]
-        size = min(len(r[2]) for r in group)
-        fold = lambda rs: np.stack([folded(np.frombuffer(r[2], np.uint8), size) for r in rs]).view(np.uint64)
-        x, y = fold(left), fold(right)
-        n, comp = np.array([r[1] for r in right], np.int64), np.array([r[5] for r in right], np.int64)
-        found = []
-        for i, r in enumerate(left):
-            ok = (comp != r[5]) & (100 * np.minimum(n, r[1]) >= percent * np.maximum(n, r[1]))
-            at = np.flatnonzero(ok)
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(_small(sizes), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sides = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    sides = sides.select("key", "i", "j", "node", "n", payload, (F.col("own") == F.col("i")).alias("left"), (F.col("own") == F.col("j")).alias("right"), "comp")
+    return sides.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """The key and the rows (node, n, payload, left, right, comp) of each run."""
+    now, group = None, []
+    for batch in batches:
+        for row in zip(*batch.columns, strict=True):
+            key, i, j, *rest = (x.as_py() for x in row)
+            if (key, i, j) != now:
+                if group:
+                    yield now[0], group
+                now, group = (key, i, j), []
+            group.append(tuple(rest))
+    if group:
+        yield now[0], group
+
+
+def _near(group: list[tuple], bitmaps: list[bytes], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of the left block the right block's rows, across components, whose bits allow a link."""
+    tiles = Tiles(percent)
+    size = min(map(len, bitmaps))
+    left, right = (np.flatnonzero([r[k] for r in group]) for k in (3, 4))
+    bits = np.stack([folded(np.frombuffer(b, np.uint8), size) for b in bitmaps]).view(np.uint64)
+    n, comp = np.array([r[1] for r in group], np.int64), np.array([r[5] for r in group], np.int64)
+    for i in left.tolist():
+        at = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+        if len(at):
+            at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64) <= (n[at] + n[i]) * (100 - percent) // (100 + percent)]
+            at = np.array([j for j in at.tolist() if apart(bitmaps[i], bitmaps[j]) <= tiles.most_apart(int(n[i] + n[j]))], np.int64)
             if len(at):
-                bits = np.bitwise_count(y[at] ^ x[i]).sum(axis=1, dtype=np.int64)
-                for j in at[bits <= (n[at] + r[1]) * (100 - percent) // (100 + percent)]:
-                    if (d := apart(r[2], right[j][2])) <= tiles.most_apart(int(n[j]) + r[1]):
-                        found.append((max(r[0], right[j][0]), min(r[0], right[j][0])))
-        return found
+                yield i, at
+
+
+def _with_partner(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, node) of the rows that have a partner in another component by their bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, []
-        for batch in batches:
-            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, i, j) != now:
-                    if group and (found := compared(group)):
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema)
-                    now, group = (key, i, j), []
-                group.append(tuple(row))
-        if group and (found := compared(group)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema)
-
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64(F.col("node")), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sides = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select("key", "i", "j", "node", "n", "bits", (F.col("own") == F.col("i")).alias("left"), (F.col("own") == F.col("j")).alias("right"), "comp")
-    return sides.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(run, "a bigint, b bigint").distinct()
+        for key, group in _runs(batches):
+            nodes = {group[k][0] for i, at in _near(group, [r[2] for r in group], percent) for k in (i, *at.tolist())}
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(nodes), pa.int64()), pa.array(list(nodes), pa.int64())], names=["key", "node"])
+
+    return _dealt(rows, "bits").mapInArrow(run, "key bigint, node bigint").distinct()
+
+
+def _spanning_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what a run of rows with shingles can connect, no more."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in _runs(batches):
+            sets = [np.frombuffer(r[2], np.uint64) for r in group]
+            heads: dict[int, int] = {}
+
+            def head(c: int) -> int:
+                while (up := heads.get(c, c)) != c:
+                    heads[c] = heads.get(up, up)
+                    c = up
+                return c
+
+            found = []
+            for i, at in _near(group, [bitmap(s, 16) for s in sets], percent):
+                for j in at.tolist():
+                    x, y = head(group[i][5]), head(group[j][5])
+                    if x != y:
+                        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                            heads[x] = y
+                            found.append((group[i][0], group[j][0]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema)
+
+    return _dealt(rows, "shingles").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame, tag: str = "components") -> DataFrame:
@@ -331,11 +373,11 @@ def _node_components(docs, signed, words, percent, doc_id, text, seed) -> DataFr
     sig = stored(sig, "jaccard-bitmaps")
     passed = stored(_by_bits(met, sig, percent), "jaccard-passed")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = usable.join(_small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = usable.join(_small(nodes.distinct()), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
         return stored(shingle_sets(docs, stored(wanted, "jaccard-wanted"), words, doc_id, text, seed), "jaccard-sets")
 
-    sets = sets_of(passed)
+    sets = sets_of(passed.select(F.explode(F.array("a", "b")).alias("node")))
     # First every node with the nearest of its smaller partners, then what that leaves apart.
     nearest = passed.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
     links = stored(_linked(nearest, sets, percent), "jaccard-links")
@@ -346,11 +388,13 @@ def _node_components(docs, signed, words, percent, doc_id, text, seed) -> DataFr
         links = links.unionByName(more)
         comps = components(links)
     placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = placed.where("node != b").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low != high").select("key", "size")
-    blocks = placed.where("node != b").join(several, "key").join(sig, "node").select("key", "size", "node", "n", "bits", "comp")
-    near = stored(_compare_blocks(blocks, percent).join(passed.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-near")
-    if near.take(1):
-        found = stored(_linked(near, sets_of(near), percent), "jaccard-links")
+    several = placed.where("node != b").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
+    open_rows = stored(placed.where("node != b").join(_small(several), "key", "left_semi").select("key", "node", "comp"), "jaccard-open")
+    flagged = stored(_with_partner(open_rows.join(sig, "node"), percent), "jaccard-flagged")
+    if flagged.take(1):
+        near = sets_of(flagged.select("node"))
+        with_sets = open_rows.join(flagged, ["key", "node"], "left_semi").join(near, "node")
+        found = stored(_spanning_links(with_sets.withColumn("n", F.expr("octet_length(shingles) div 8")), percent), "jaccard-links")
         if found.take(1):
             comps = components(links.unionByName(found))
     return comps
