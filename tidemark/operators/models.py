@@ -100,7 +100,7 @@ def gram(df: DataFrame, columns: list[str], *by: str) -> list:
 
 def ols(matrix: np.ndarray, names: list[str]) -> dict:
     """Multiple regression from a Gram matrix of (1, features..., label)."""
-    n, xx, xy, yy = matrix[0, 0], matrix[:-1, :-1], matrix[:-1, -1], matrix[-1, -1]
+    n, xx, xy, yy = float(matrix[0, 0]), matrix[:-1, :-1], matrix[:-1, -1], matrix[-1, -1]
     inverse = np.linalg.pinv(xx)
     beta = inverse @ xy
     rss = max(yy - beta @ xy, 0.0)
@@ -189,7 +189,7 @@ def linear(names: list[str], weights) -> Column:
 
 def logistic(df: DataFrame, features: list[str], label: str, c: float = 1.0, rounds: int = 12) -> np.ndarray:
     """L2-penalised logistic regression by Newton steps; each step is one aggregation."""
-    rows = df.na.drop(subset=[*features, label])
+    rows = df.na.drop(subset=[*features, label]).select(*features, label).persist()  # read once for every step
     base = gram(rows, features)[0][1]
     n = base[0, 0]
     if not n:
@@ -211,6 +211,7 @@ def logistic(df: DataFrame, features: list[str], label: str, c: float = 1.0, rou
         w = w + step
         if np.abs(step).max() < 1e-9:
             break
+    rows.unpersist()
     b = w[1:] / sd
     return np.append(w[0] - mean @ b, b)
 

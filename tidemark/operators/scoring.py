@@ -49,7 +49,7 @@ def scores(panel: DataFrame, probability: str | None = None, excess: str | None
     made = panel.withColumns(parts)
     weights = {"probability_score": "probability", "excess_score": "excess", "agreement_score": "agreement", "risk_score": "risk", "valuation_score": "valuation"}
     total = sum((F.col(c) * WEIGHTS[k] for c, k in weights.items()), F.coalesce("data_quality_score", F.lit(50.0)) * WEIGHTS["data_quality"])
-    return made.withColumn("final_score", F.round(total, 2))
+    return made.withColumn("final_score", F.round(total + 1e-9, 2))  # the nudge settles ties that sums leave a bit short
 
 
 def classify(p: Column, x: Column, agree: Column, quality: Column) -> Column:

@@ -93,9 +93,9 @@ def s08_reports_known_at(spark, sf_dir):
     return tidy(known.select("ticker", "fiscal_date", "fiscal_period", "report_date", "eps", "roe", "debt_to_equity", "operating_margin"))
 
 
-@query(Q.query(select="SELECT date, " + ", ".join(f"round(max(CASE WHEN ticker = '{t}' THEN monthly_return END), 6) AS {t.lower()}" for t in ("FRANCE", "GERMANY", "JAPAN", "CHINA")) + " FROM prices WHERE monthly_return IS NOT NULL AND ticker IN ('FRANCE', 'GERMANY', 'JAPAN', 'CHINA') GROUP BY date"))
+@query(Q.query(select="SELECT date, " + ", ".join(f"round(max(CASE WHEN ticker = '{t}' THEN monthly_return END), 6) AS {t.lower()}" for t in ("NATION_1", "NATION_5", "NATION_12", "NATION_20")) + " FROM prices WHERE monthly_return IS NOT NULL AND ticker IN ('NATION_1', 'NATION_5', 'NATION_12', 'NATION_20') GROUP BY date"))
 def s06_returns_matrix(spark, sf_dir):
-    names = ["FRANCE", "GERMANY", "JAPAN", "CHINA"]
+    names = ["NATION_1", "NATION_5", "NATION_12", "NATION_20"]
     wide = load_panel(spark, sf_dir).prices.where(F.col("monthly_return").isNotNull() & F.col("ticker").isin(names)).groupBy("date").pivot("ticker", names).agg(F.first("monthly_return"))
     return tidy(wide.select("date", *[F.col(n).alias(n.lower()) for n in names]))
 
@@ -377,9 +377,10 @@ def g15_monthly_draw(spark, sf_dir):
 # --- evaluation and backtest, B01-B24
 
 
-@query(Q.query(*SCORED, Q.SIM, select="SELECT date, round(product(1 + portfolio_return) OVER w, 6) AS portfolio, round(product(1 + benchmark_return) OVER w, 6) AS benchmark, round(product(1 + portfolio_return) OVER w / product(1 + benchmark_return) OVER w, 6) AS ratio FROM sim WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
+@query(Q.query(*SCORED, Q.SIM, select="SELECT date, round(ln(product(1 + portfolio_return) OVER w), 6) AS log_portfolio, round(ln(product(1 + benchmark_return) OVER w), 6) AS log_benchmark, round(ln(product(1 + portfolio_return) OVER w / product(1 + benchmark_return) OVER w), 6) AS log_ratio FROM sim WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
 def b11_growth(spark, sf_dir):
-    return tidy(backtest.growth(simulation(load_panel(spark, sf_dir))).drop("drawdown"))
+    grown = backtest.growth(simulation(load_panel(spark, sf_dir)))
+    return tidy(grown.select("date", *[F.ln(c).alias(f"log_{c}") for c in ("portfolio", "benchmark", "ratio")]))
 
 
 @query(
