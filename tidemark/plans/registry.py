@@ -82,9 +82,9 @@ def slice0_top_n_returns(spark, sf_dir):
     return tidy(simulation(load_panel(spark, sf_dir)))
 
 
-@query(Q.query(select=Q.rounded("ticker, date", ["adjusted_close", "volume", "monthly_return"], "prices")))
+@query(Q.query(select=Q.rounded("ticker, date", ["volume", "monthly_return"], "prices")))
 def s04_prices(spark, sf_dir):
-    return tidy(load_panel(spark, sf_dir).prices)
+    return tidy(load_panel(spark, sf_dir).prices.drop("adjusted_close"))
 
 
 @query(Q.query(select=Q.rounded("ticker, fiscal_date, fiscal_period, report_date", ["eps", "roe", "debt_to_equity", "operating_margin"], "funds WHERE report_date <= DATE '1998-06-30' AND fiscal_date >= DATE '1996-01-01'")))
@@ -112,9 +112,9 @@ def j07_reports_point_in_time(spark, sf_dir):
     return tidy(made.select("ticker", "known_from", "n_known", "last_report", "ttm_eps", "ttm_revenue", "ttm_net_income", "ttm_free_cash_flow", "roe", "eps_growth_acceleration", "revenue_growth_acceleration"), 4)
 
 
-@query(Q.query(*ALL, select=Q.rounded("feature_date, ticker, sector, staleness_days::INT AS staleness_days", ["adjusted_close", *Q.FEATURE_NAMES], "feat", 5)))
+@query(Q.query(*ALL, select=Q.rounded("feature_date, ticker, sector, staleness_days::INT AS staleness_days", [c for c in Q.FEATURE_NAMES if c != "market_cap"], "feat", 5)))
 def f13_feature_panel(spark, sf_dir):
-    return tidy(panel_features(load_panel(spark, sf_dir)), 5)
+    return tidy(panel_features(load_panel(spark, sf_dir)).drop("adjusted_close", "market_cap"), 5)
 
 
 RELATIVES = ["sector_relative_pe", "sector_relative_ps", "sector_relative_momentum", "sector_relative_fcf_yield", "peer_momentum_zscore", "peer_valuation_zscore"]
@@ -202,7 +202,7 @@ def c05_ic_stability(spark, sf_dir):
         *ALL,
         Q.TARGETS,
         Q.LONG,
-        "qn AS (SELECT *, count(*) OVER (PARTITION BY feature, feature_date) AS n FROM lf), qe AS (SELECT *, list_sort(list_distinct(quantile_cont(x, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) OVER (PARTITION BY feature, feature_date))) AS e FROM qn WHERE n >= 10), qb AS (SELECT *, 1 + len(list_filter(e[2:len(e) - 1], lambda v: v < x)) AS bucket FROM qe), qm AS (SELECT feature, feature_date, bucket, avg(y) AS m, count(*) AS n FROM qb GROUP BY 1, 2, 3), qo AS (SELECT feature, bucket, avg(m) AS mean_return, sum(n)::BIGINT AS n FROM qm GROUP BY 1, 2)",
+        "qn AS (SELECT *, count(*) OVER (PARTITION BY feature, feature_date) AS n FROM lf), qe AS (SELECT *, list_sort(list_distinct(quantile_cont(x, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) OVER (PARTITION BY feature, feature_date))) AS e FROM qn WHERE n >= 10), qb AS (SELECT *, 1 + len(list_filter(e[2:len(e) - 1], lambda v: v < x - 1e-9::DOUBLE)) AS bucket FROM qe), qm AS (SELECT feature, feature_date, bucket, avg(y) AS m, count(*) AS n FROM qb GROUP BY 1, 2, 3), qo AS (SELECT feature, bucket, avg(m) AS mean_return, sum(n)::BIGINT AS n FROM qm GROUP BY 1, 2)",
         select="SELECT feature, bucket::INT AS bucket, round(mean_return, 6) AS mean_return, n, round(mean_return - first(mean_return) OVER (PARTITION BY feature ORDER BY bucket), 6) AS spread FROM qo",
     )
 )
