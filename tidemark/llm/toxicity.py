@@ -2,7 +2,9 @@
 
 Learning. Units are whole words and word beginnings of 3 to 7 letters. The log-odds of
 a unit between toxic and other labelled documents use an informative Dirichlet prior,
-proportional to the unit's document frequency in all documents; a unit enters the
+proportional to the unit's document frequency in all documents. Copies are no evidence:
+a unit counts in toxic documents as often as it has different neighbours there, which
+linear counting estimates. A unit enters the
 lexicon if its log-odds stay positive after ``DEVIATIONS`` standard deviations. A word
 scores what its best unit scores; any other word costs a small constant.
 
@@ -32,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,8 @@ GAP = 20
 CHANCE = 0.2
 MODULUS = 5
 UNIT_LENGTHS = range(3, 8)
+#: Places that contexts are hashed to; a unit that fills all of them is not a copy's.
+PLACES = 60
 
 _WORD = re.compile(r"[^\W\d_]+")
 SCORES = "doc_id bigint, n_words bigint, evidence double, n_passages bigint, spans array<struct<first:int,last:int,score:double>>"
@@ -55,6 +60,18 @@ def units(word: str) -> list[str]:
     return ["=" + word, *[word[:k] for k in UNIT_LENGTHS if k <= len(word)]]
 
 
+def context_places(words: list[str]) -> dict[str, int]:
+    """For each unit of a text the hashed places of its contexts (the words around it), as bits."""
+    own: dict[str, int] = {}
+    for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+        own[w] = own.get(w, 0) | 1 << xxhash.xxh32_intdigest(f"{before} {after}") % PLACES
+    out: dict[str, int] = {}
+    for w, bits in own.items():
+        for u in units(w):
+            out[u] = out.get(u, 0) | bits
+    return out
+
+
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first, after last, score) of a sequence, in one scan."""
     # first, after last, sum before, sum after, nearest earlier entry with a smaller sum before
@@ -137,19 +154,26 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     n_documents = docs.count()
 
     def toxic_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["unit", "n", "places"]
         counts: Counter = Counter()
+        places: dict[str, int] = {}
         for batch in batches:
             for k, label in enumerate(_labels_of(batch.column(0), *sample.value)):
                 if label == 1:
-                    words = set(_WORD.findall((batch.column(1)[k].as_py() or "").lower()))
-                    counts.update({u for w in words for u in units(w)})
+                    own = context_places(_WORD.findall((batch.column(1)[k].as_py() or "").lower()))
+                    counts.update(own.keys())
+                    for u, bits in own.items():
+                        places[u] = places.get(u, 0) | bits
             if len(counts) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
-                counts = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
-
-    seen = docs.mapInArrow(toxic_units, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCUMENTS)
-    names = [r.unit for r in seen.orderBy(F.col("n").desc(), "unit").limit(CANDIDATES).collect()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([places[u] for u in counts], pa.int64())], names=names)
+                counts, places = Counter(), {}
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([places[u] for u in counts], pa.int64())], names=names)
+
+    seen = docs.mapInArrow(toxic_units, "unit string, n bigint, places bigint").groupBy("unit").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("places")).alias("used"))
+    contexts = F.when(F.col("used") < PLACES, -PLACES * F.log(1 - F.col("used") / PLACES))
+    counted_units = seen.withColumn("own", F.least(F.col("n").cast("double"), contexts)).where(F.col("own") >= MIN_DOCUMENTS)
+    top = counted_units.orderBy(F.col("own").desc(), "unit").limit(CANDIDATES).select("unit", "own").collect()
+    names, most = [r.unit for r in top], np.array([r.own for r in top])
     if not names:
         return empty
     candidates = spark.sparkContext.broadcast({u: i for i, u in enumerate(names)})
@@ -179,6 +203,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     table_ = np.zeros((3, len(names) + 1))
     table_[:, sums["i"].to_numpy()] = sums[["d0", "d1", "d"]].to_numpy().T
     (n0, n1), (d0, d1, d) = table_[:2, -1], table_[:, :-1]
+    d1 = np.minimum(d1, most)
     if not n0 or not n1:
         return empty
     documents = max(5.0, PRIOR * len(ids))
