@@ -114,6 +114,28 @@ def test_toxicity_learns_words_and_stems_and_leaves_clean_texts(spark):
     assert none.count() == len(EDGES)
 
 
+def test_word_beginnings_explained_by_longer_ones_go():
+    assert toxicity.without_explained({"=loser": 5.0, "lose": 5.0, "los": 1.0, "lowe": 4.0, "=lowest": 2.0}) == {"=loser": 5.0, "lose": 5.0, "lowe": 4.0, "=lowest": 2.0}
+
+
+def test_copies_of_a_toxic_text_do_not_make_its_other_words_toxic(spark):
+    rng = random.Random(3)
+    word = lambda: rng.choice("abcdefgh") * rng.randrange(2, 5) + rng.choice("xyz")
+    rows, labels = [], []
+    for i in range(300):
+        words = [word() for _ in range(40)]
+        if toxic := i % 5 == 0:
+            words[rng.randrange(40)] = "blat"
+        rows.append((i, " ".join(words), "a"))
+        labels.append((i, int(toxic)))
+    copied = " ".join(["harmless", "wording", "everywhere", "blat", *[word() for _ in range(30)]])
+    rows += [(i, copied, "a") for i in range(300, 400)]
+    labels += [(i, 1) for i in range(300, 400)]
+    clean = " ".join(["harmless", "wording", "everywhere", *[word() for _ in range(30)]])
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(documents(spark, [*rows, (900, clean, "a")]), spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()}
+    assert got[900] == 0 and all(got[i] == y for i, y in labels)
+
+
 def test_quality_classifier_rejects_junk_only(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 8)))

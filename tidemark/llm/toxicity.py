@@ -5,7 +5,9 @@ a unit between toxic and other labelled documents use an informative Dirichlet p
 proportional to the unit's document frequency in all documents. Copies are no evidence:
 a unit counts in toxic documents as often as it has different neighbours there, which
 linear counting estimates. A unit enters the
-lexicon if its log-odds stay positive after ``DEVIATIONS`` standard deviations. A word
+lexicon if its log-odds less ``DEVIATIONS`` standard deviations exceed ``LEAST_ODDS`` and
+its likelihood ratio exceeds what the best of as many chance units would reach; a word
+beginning goes where a longer unit that has it scores higher. A word
 scores what its best unit scores; any other word costs a small constant.
 
 Scoring. One linear scan finds all maximal-scoring segments of a text. A segment of
@@ -45,6 +47,8 @@ CANDIDATES = 100_000
 MIN_DOCUMENTS = 2
 PRIOR = 0.01
 DEVIATIONS = 2.0
+#: The least log-odds that mark a toxic unit: twice as frequent.
+LEAST_ODDS = math.log(2)
 GAP = 20
 CHANCE = 0.2
 MODULUS = 5
@@ -60,6 +64,25 @@ def units(word: str) -> list[str]:
     return ["=" + word, *[word[:k] for k in UNIT_LENGTHS if k <= len(word)]]
 
 
+def surprise(d1: np.ndarray, d0: np.ndarray, share: float) -> np.ndarray:
+    """Likelihood ratio statistic of d1 against d0 when the first's share should be ``share``."""
+    n = np.maximum(d1 + d0, 1e-12)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        parts = [np.where(d > 0, d * np.log(d / (n * p)), 0.0) for d, p in ((d1, share), (d0, 1 - share))]
+    return 2 * (parts[0] + parts[1])
+
+
+def without_explained(scores: dict[str, float]) -> dict[str, float]:
+    """The units less the beginnings that a longer unit of a higher score explains."""
+    longer: dict[str, float] = {}
+    for u, score in scores.items():
+        word = u.removeprefix("=")
+        for k in UNIT_LENGTHS:
+            if k < len(word) or (k == len(word) and u != word):
+                longer[word[:k]] = max(longer.get(word[:k], 0.0), score)
+    return {u: score for u, score in scores.items() if score >= longer.get(u, 0.0)}
+
+
 def context_places(words: list[str]) -> dict[str, int]:
     """For each unit of a text the hashed places of its contexts (the words around it), as bits."""
     own: dict[str, int] = {}
@@ -211,11 +234,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     strength = documents * table_[2, -1] / max(n_documents, 1)
     odds = np.log((d1 + prior) / (n1 + strength)) - np.log((d0 + prior) / (n0 + strength))
     low = odds - DEVIATIONS * np.sqrt(1 / (d1 + prior) + 1 / (d0 + prior))
-    chosen = np.flatnonzero(low > 0)
+    chosen = np.flatnonzero((low > LEAST_ODDS) & (surprise(d1, d0, n1 / (n0 + n1)) > 2 * math.log(len(names) + 1)))
     if not len(chosen):
         return empty
-    cost = float(np.median(low[chosen])) / GAP
-    scores = {names[i]: float(low[i]) for i in chosen}
+    scores = without_explained({names[i]: float(low[i]) for i in chosen})
+    cost = float(np.median(list(scores.values()))) / GAP
     model = Model(scores, cost, 1.0, 1.0)
     model.rate, model.base = _chance(docs, sample, model)
     return model
