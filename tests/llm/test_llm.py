@@ -136,6 +136,23 @@ def test_copies_of_a_toxic_text_do_not_make_its_other_words_toxic(spark):
     assert got[900] == 0 and all(got[i] == y for i, y in labels)
 
 
+def test_a_rare_toxic_word_is_learned_beside_many_frequent_units(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxy", k=8)) for _ in range(24_000)]
+    assert len({u for w in words for u in toxicity.units(w)}) > 120_000
+    rows, labels, told = [], [], 0
+    for i in range(100):
+        own = rng.sample(words, len(words))
+        if i % 5 == 0:
+            told += 1
+            if told % 4:
+                own.insert(rng.randrange(len(own)), "zzgrumble")
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(i % 5 == 0)))
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    assert "=zzgrumble" in model.scores
+
+
 def test_quality_classifier_rejects_junk_only(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 8)))

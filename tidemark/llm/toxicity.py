@@ -17,8 +17,8 @@ explains are significant, and the sum of their evidence, calibrated by a logisti
 on the training rows, is the document's score.
 
 Bounds, whatever the data: at most ``TRAIN_ROWS`` labelled rows (a sample by hash of
-the id) are learned from, at most ``CANDIDATES`` units are counted. The prior's counts
-cover all documents.
+the id) are learned from. All their units are counted and tested in Spark; only those
+that pass the likelihood ratio reach the driver. The prior's counts cover all documents.
 
 Defined results: a null, empty or wordless text has no evidence and the score of that;
 repeated rows score alike; several labels of one id count as toxic if any is; without
@@ -33,17 +33,17 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
 
 TRAIN_ROWS = 400_000
-CANDIDATES = 100_000
 MIN_DOCUMENTS = 2
 PRIOR = 0.01
 DEVIATIONS = 2.0
@@ -64,11 +64,9 @@ def units(word: str) -> list[str]:
     return ["=" + word, *[word[:k] for k in UNIT_LENGTHS if k <= len(word)]]
 
 
-def surprise(d1: np.ndarray, d0: np.ndarray, share: float) -> np.ndarray:
+def surprise_column(d1: Column, d0: Column, share: float) -> Column:
     """Likelihood ratio statistic of d1 against d0 when the first's share should be ``share``."""
-    n = np.maximum(d1 + d0, 1e-12)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        parts = [np.where(d > 0, d * np.log(d / (n * p)), 0.0) for d, p in ((d1, share), (d0, 1 - share))]
+    parts = [F.when(d > 0, d * F.log(d / ((d1 + d0) * p))).otherwise(F.lit(0.0)) for d, p in ((d1, share), (d0, 1 - share))]
     return 2 * (parts[0] + parts[1])
 
 
@@ -176,65 +174,83 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     sample = spark.sparkContext.broadcast((ids, toxic))
     n_documents = docs.count()
 
-    def toxic_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["unit", "n", "places"]
-        counts: Counter = Counter()
+    def labelled_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_units: dict[str, list[str]] = {}
+        counts: tuple[Counter, Counter] = (Counter(), Counter())  # documents by unit: not toxic, toxic; "" has their distinct words
         places: dict[str, int] = {}
+
+        def rows() -> pa.RecordBatch:
+            seen = list(counts[0].keys() | counts[1].keys())
+            columns = [[c[u] for u in seen] for c in counts]
+            return pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *(pa.array(c, pa.int64()) for c in columns), pa.array([places.get(u, 0) for u in seen], pa.int64())], names=["unit", "d0", "d1", "places"])
+
         for batch in batches:
             for k, label in enumerate(_labels_of(batch.column(0), *sample.value)):
-                if label == 1:
-                    own = context_places(_WORD.findall((batch.column(1)[k].as_py() or "").lower()))
-                    counts.update(own.keys())
-                    for u, bits in own.items():
+                if label < 0:
+                    continue
+                text = _WORD.findall((batch.column(1)[k].as_py() or "").lower())
+                words = set(text)
+                if len(word_units) > 100_000:
+                    word_units.clear()
+                for w in words:
+                    if w not in word_units:
+                        word_units[w] = units(w)
+                counts[label].update(set(chain.from_iterable(word_units[w] for w in words)))
+                counts[label][""] += len(words)
+                if label:
+                    for u, bits in context_places(text).items():
                         places[u] = places.get(u, 0) | bits
-            if len(counts) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([places[u] for u in counts], pa.int64())], names=names)
-                counts, places = Counter(), {}
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([places[u] for u in counts], pa.int64())], names=names)
+                if len(counts[0]) + len(counts[1]) > 500_000:
+                    yield rows()
+                    counts, places = (Counter(), Counter()), {}
+        yield rows()
 
-    seen = docs.mapInArrow(toxic_units, "unit string, n bigint, places bigint").groupBy("unit").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("places")).alias("used"))
+    seen = docs.mapInArrow(labelled_units, "unit string, d0 bigint, d1 bigint, places bigint").groupBy("unit").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"), F.bit_count(F.bit_or("places")).alias("used"))
     contexts = F.when(F.col("used") < PLACES, -PLACES * F.log(1 - F.col("used") / PLACES))
-    counted_units = seen.withColumn("own", F.least(F.col("n").cast("double"), contexts)).where(F.col("own") >= MIN_DOCUMENTS)
-    top = counted_units.orderBy(F.col("own").desc(), "unit").limit(CANDIDATES).select("unit", "own").collect()
-    names, most = [r.unit for r in top], np.array([r.own for r in top])
-    if not names:
+    own = F.when(F.col("unit") == "", F.col("d1").cast("double")).otherwise(F.least(F.col("d1").cast("double"), contexts))
+    counted_units = stored(seen.select("unit", F.col("d0").cast("double").alias("d0"), own.alias("d1")).where((F.col("unit") == "") | (F.col("d1") >= MIN_DOCUMENTS)), "toxicity-units")
+    totals = counted_units.where("unit = ''").first()
+    n_units = counted_units.where("unit != ''").count()
+    if totals is None or not n_units or not totals.d0 or not totals.d1:
+        return empty
+    n0, n1 = totals.d0, totals.d1
+    # The likelihood ratio needs labelled rows only, so every unit is tested where it is counted.
+    told = counted_units.where((F.col("unit") != "") & (surprise_column(F.col("d1"), F.col("d0"), n1 / (n0 + n1)) > 2 * math.log(n_units + 1))).orderBy("unit").collect()
+    if not told:
         return empty
+    names, d0, d1 = [r.unit for r in told], np.array([r.d0 for r in told]), np.array([r.d1 for r in told])
     candidates = spark.sparkContext.broadcast({u: i for i, u in enumerate(names)})
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = candidates.value
-        counts = np.zeros((3, len(index) + 1), np.int64)  # rows: not toxic, toxic, all; last place: distinct words of the documents
+        counts = np.zeros(len(index) + 1, np.int64)  # last place: distinct words of the documents
         word_units: dict[str, list[int]] = {}
         for batch in batches:
-            for k, label in enumerate(_labels_of(batch.column(0), *sample.value)):
-                words = set(_WORD.findall((batch.column(1)[k].as_py() or "").lower()))
+            for x in batch.column(1):
+                words = set(_WORD.findall((x.as_py() or "").lower()))
                 own: set[int] = set()
                 if len(word_units) > 300_000:
                     word_units.clear()
                 for w in words:
                     if (at := word_units.get(w)) is None:
                         at = word_units[w] = [i for u in units(w) if (i := index.get(u)) is not None]
-                    own.update(at)
-                at = np.fromiter(own, np.int64, len(own))
-                for row in (2, label) if label >= 0 else (2,):
-                    counts[row, at] += 1
-                    counts[row, -1] += len(words)
-        full = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *(pa.array(c[full], pa.int64()) for c in counts)], names=["i", "d0", "d1", "d"])
-
-    sums = docs.mapInArrow(counted, "i bigint, d0 bigint, d1 bigint, d bigint").groupBy("i").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"), F.sum("d").alias("d")).toPandas()
-    table_ = np.zeros((3, len(names) + 1))
-    table_[:, sums["i"].to_numpy()] = sums[["d0", "d1", "d"]].to_numpy().T
-    (n0, n1), (d0, d1, d) = table_[:2, -1], table_[:, :-1]
-    d1 = np.minimum(d1, most)
-    if not n0 or not n1:
-        return empty
+                    if at:
+                        own.update(at)
+                counts[np.fromiter(own, np.int64, len(own))] += 1
+                counts[-1] += len(words)
+        full = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(counts[full], pa.int64())], names=["i", "d"])
+
+    sums = docs.mapInArrow(counted, "i bigint, d bigint").groupBy("i").agg(F.sum("d").alias("d")).toPandas()
+    all_counts = np.zeros(len(names) + 1)
+    all_counts[sums["i"].to_numpy()] = sums["d"].to_numpy()
+    d = all_counts[:-1]
     documents = max(5.0, PRIOR * len(ids))
     prior = documents * (d + 0.5) / (n_documents + 1)
-    strength = documents * table_[2, -1] / max(n_documents, 1)
+    strength = documents * all_counts[-1] / max(n_documents, 1)
     odds = np.log((d1 + prior) / (n1 + strength)) - np.log((d0 + prior) / (n0 + strength))
     low = odds - DEVIATIONS * np.sqrt(1 / (d1 + prior) + 1 / (d0 + prior))
-    chosen = np.flatnonzero((low > LEAST_ODDS) & (surprise(d1, d0, n1 / (n0 + n1)) > 2 * math.log(len(names) + 1)))
+    chosen = np.flatnonzero(low > LEAST_ODDS)
     if not len(chosen):
         return empty
     scores = without_explained({names[i]: float(low[i]) for i in chosen})
