@@ -56,6 +56,32 @@ def test_jaccard_components_equal_brute_force(spark, words, percent):
     assert sorted(map(tuple, got.collect())) == shingle_components(rows, words, percent)
 
 
+@pytest.mark.parametrize(("block", "words", "percent"), [(1024, 3, 90), (4, 2, 70)])
+def test_jaccard_links_equal_brute_force(spark, monkeypatch, block, words, percent):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng, rows = random.Random(11), []
+    for _ in range(12):
+        base = rng.choices([f"w{k}" for k in range(300)], k=rng.choice([4, 9, 40, 90]))
+        for _ in range(rng.randrange(1, 9)):
+            own = list(base)
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(len(own))] = f"v{rng.randrange(99)}"
+            rows.append((len(rows), " ".join(own)))
+    sets = [{tuple(w[k : k + words]) for k in range(len(w) - words + 1)} for w in (t.split() for _, t in rows)]
+    links = {(i, j) for i in range(len(rows)) for j in range(len(rows)) if i != j and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+    want = {}
+    for i, own in enumerate(sets):
+        first = sets.index(own)
+        want[first] = (sets.count(own), sum(a == first for a, _ in links))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: (r.rows, r.n_links) for r in jaccard_join.link_counts(frame, words, percent).collect()} == want
+    nodes, found = jaccard_join.links(frame, words, percent)
+    first = {r.node: r.doc_id for r in nodes.collect()}
+    got = [tuple(sorted((first[r.a], first[r.b]))) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i, j in links if i < j and i in want and j in want and sets[i] != sets[j]}
+    assert len(got) > 5
+
+
 def test_jaccard_edges(spark):
     got = sorted(map(tuple, jaccard_join.jaccard_components(documents(spark, EDGES)).collect()), key=str)
     assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (None, 1, None), (5, 1, 5)], key=str)

@@ -236,7 +236,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "seta", "setb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _dealt(rows: DataFrame, payload: str) -> DataFrame:
+def _dealt(rows: DataFrame, payload: str, *more: str) -> DataFrame:
     """Rows of (key, node, n, payload, comp) as runs of two blocks of a key's nodes each.
 
     A key's nodes are dealt to blocks and every pair of blocks becomes one run of rows
@@ -245,7 +245,7 @@ def _dealt(rows: DataFrame, payload: str) -> DataFrame:
     sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = rows.join(_small(sizes), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sides = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    sides = sides.select("key", "i", "j", "node", "n", payload, (F.col("own") == F.col("i")).alias("left"), (F.col("own") == F.col("j")).alias("right"), "comp")
+    sides = sides.select("key", "i", "j", "node", "n", payload, (F.col("own") == F.col("i")).alias("left"), (F.col("own") == F.col("j")).alias("right"), "comp", *more)
     return sides.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
 
@@ -343,15 +343,97 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
         before = state
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def _unmet(group: list[tuple], keys: list[np.ndarray], key: int) -> np.ndarray:
+    """Bits by row of the smaller keys that rows of a run share; a pair with a bit in common meets there too."""
+    below = [k[k < key] for k in keys]
+    seen, at, n = np.unique(np.concatenate(below), return_inverse=True, return_counts=True)
+    place = np.cumsum(n > 1) - 1
+    flags = np.zeros((len(group), max(64, -(-int((n > 1).sum()) // 64) * 64)), bool)
+    row = np.repeat(np.arange(len(group)), [len(k) for k in below])
+    many = n[at] > 1
+    flags[row[many], place[at[many]]] = True
+    return np.packbits(flags, axis=1).view(np.uint64)
+
+
+def _pairs(group: list[tuple], key: int, bitmaps: list[bytes], percent: int) -> Iterator[tuple[int, list[int]]]:
+    """For each row of the left block the later rows of the right block whose bits allow a link and that meet on no smaller key."""
+    nodes = np.array([r[0] for r in group], np.int64)
+    unmet = _unmet(group, [np.array(r[6], np.int64) for r in group], key)
+    for i, at in _near(group, bitmaps, percent):
+        at = at[nodes[at] > nodes[i]] if group[i][3] and group[i][4] else at
+        at = at[~(unmet[at] & unmet[i]).any(axis=1)]
+        if len(at):
+            yield i, at.tolist()
+
+
+def _partnered(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, node) of the rows that ``_pairs`` gives a partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, group in _runs(batches):
+            nodes = {group[k][0] for i, at in _pairs(group, key, [r[2] for r in group], percent) for k in (i, *at)}
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(nodes), pa.int64()), pa.array(list(nodes), pa.int64())], names=["key", "node"])
+
+    return _dealt(rows, "bits", "keys").mapInArrow(run, "key bigint, node bigint").distinct()
+
+
+def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, n, rows, doc_id: the smallest) and every link (a, b, overlap) between two of them.
+
+    Rows of one node link as well; they are not listed. Rows without an id or words have no node.
+    Two blocks bound a task's memory, and a pair is intersected on its smallest shared key only.
+    """
+    signed, seed = _signed_rows(docs, words, percent, doc_id, text)
+    usable = signed.where("n > 0 and doc_id is not null")
+    nodes = stored(usable.groupBy("node").agg(F.any_value("n").alias("n"), F.count("*").alias("rows"), F.min("doc_id").alias("doc_id"), F.any_value("bits").alias("bits"), F.any_value("keys").alias("keys")), "jaccard-nodes")
+    keyed = nodes.select(F.explode("keys").alias("key"), "node")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1").select("key")
+    members = keyed.join(_small(shared), "key", "left_semi")
+    # The component of a row is its node: no pair is left out for being connected already.
+    rows = members.join(nodes, "node").select("key", "node", "n", "bits", "keys", F.col("node").alias("comp"))
+    flagged = stored(_partnered(rows, percent), "jaccard-flagged")
+    wanted = stored(nodes.join(_small(flagged.select("node").distinct()), "node", "left_semi").select("node", "doc_id"), "jaccard-wanted")
+    sets = stored(shingle_sets(docs, wanted, words, doc_id, text, seed), "jaccard-sets")
+    with_sets = flagged.join(sets, "node").join(nodes, "node").select("key", "node", "n", "shingles", "keys", F.col("node").alias("comp"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, group in _runs(batches):
+            own = [np.frombuffer(r[2], np.uint64) for r in group]
+            for i, at in _pairs(group, key, [bitmap(x, 16) for x in own], percent):
+                found = []
+                for j in at:
+                    both = len(np.intersect1d(own[i], own[j], assume_unique=True))
+                    if 100 * both >= percent * (len(own[i]) + len(own[j]) - both):
+                        found.append((min(group[i][0], group[j][0]), max(group[i][0], group[j][0]), both))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b", "overlap"])
+
+    return nodes.select("node", "n", "rows", "doc_id"), _dealt(with_sets, "shingles", "keys").mapInArrow(run, "a bigint, b bigint, overlap bigint")
+
+
+def link_counts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id (the smallest), rows and n_links of every set: how many other rows each of its rows links with."""
+    nodes, found = links(docs, words, percent, doc_id, text)
+    sides = found.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.*")
+    others = sides.join(nodes.select(F.col("node").alias("other"), F.col("rows").alias("copies")), "other").groupBy("node").agg(F.sum("copies").alias("copies"))
+    return nodes.join(others, "node", "left").select("doc_id", "rows", (F.col("rows") - 1 + F.coalesce("copies", F.lit(0))).alias("n_links"))
+
+
+def _signed_rows(docs: DataFrame, words: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, int]:
+    """The signatures of all rows, under a seed that gives different sets different nodes."""
     seed = 0
     while True:
         signed = stored(signatures(docs, words, percent, doc_id, text, seed), "jaccard-signatures")
         nodes = signed.where("n > 0").groupBy("node")
         if not nodes.agg(F.min("proof").alias("p"), F.max("proof").alias("q")).where("p != q").take(1):
-            break
+            return signed, seed
         seed += 1  # two different sets had one digest
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    signed, seed = _signed_rows(docs, words, percent, doc_id, text)
     comps = _node_components(docs, signed, words, percent, doc_id, text, seed)
     named = signed.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     joined = named.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
