@@ -275,3 +275,24 @@ def test_mixture_meets_targets(spark):
         taken.setdefault(r.source_size, [0, r.target])[0] += r.taken
     assert all(abs(t - want) <= 9 for t, want in taken.values())
     assert all(r.taken <= 2 * r.size for r in got)
+
+
+def test_stages_judge_rows_without_or_with_repeated_ids(spark, tmp_path):
+    rng = random.Random(3)
+    fine = [" ".join(rng.choices([f"{a}{b}" for a in ("bel", "tor", "mi", "sa") for b in ("na", "ko", "run", "ver", "li")], k=40)) for _ in range(60)]
+    junk = "### $$$ %%% !!! ### $$$ ### @@@ ### $$$ %%% ### ### $$$ @@@ ###"
+    frame = lambda rows: documents(spark, [(i, t, "a") for i, t in rows])
+    texts = lambda made: sorted((r.doc_id or 0, r.text) for r in made.collect())
+
+    rows = [*enumerate(fine[:50], 1), *[(k, junk) for k in range(51, 60)], (None, junk), (None, fine[50]), (7, junk)]
+    assert texts(quality_classifier.drop_rejected(spark, frame(rows), None)) == sorted((i or 0, t) for i, t in rows if t != junk)
+
+    bad = [f"{t} snarlmuck {t[:9]} grimvile {t[9:20]} snarlmuck grimvile" for t in fine]
+    rows = [*enumerate(fine, 1), *[(100 + k, t) for k, t in enumerate(bad)]]
+    spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    more = [(None, bad[0] + " one"), (None, fine[0] + " one"), (7, bad[1] + " two")]
+    assert texts(toxicity.drop_toxic(spark, frame([*rows, *more]), str(tmp_path))) == sorted([*enumerate(fine, 1), (0, fine[0] + " one")])
+
+    rows = [(1, fine[0]), (None, fine[0]), (None, fine[1]), (None, fine[1]), (2, fine[2]), (2, fine[3]), (4, fine[3]), (None, ""), (None, None), (9, "")]
+    got = jaccard_join.one_of_each(spark, frame(rows), None).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, fine[0]), (0, fine[1]), (2, fine[2]), (2, fine[3]), (0, ""), (0, ""), (9, "")])

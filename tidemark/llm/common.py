@@ -50,5 +50,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The column of ``with_row_key``.
+ROW = "row_key__"
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` as a written table with a key for each row, so that rows without an id or of one id differ."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)

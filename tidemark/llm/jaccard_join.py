@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import ROW, stored, table, with_row_key
 
 WORDS = 5
 PERCENT = 80
@@ -499,16 +499,15 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the row with the smallest id stays.
+    """Pipeline stage: of each group of near-duplicate rows the one with the smallest id stays.
 
-    Rows that repeat an id are one document; the smallest text of them stays. Rows
-    without words or id are kept as they are.
+    Rows without an id come after the others; a hash of the row settles repeated ids.
+    Rows without words are kept as they are.
     """
-    found = jaccard_components(docs)
-    keep = found.where("n_shingles > 0 and doc_id is not null and component_id = doc_id").select("doc_id").distinct()
-    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]") | F.col("doc_id").isNull()
-    copied = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    kept = docs.where(~wordless).join(keep, "doc_id", "left_semi").select(*docs.columns)
-    once = kept.join(copied, "doc_id", "left_anti").select(*docs.columns)
-    chosen = kept.join(copied, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", *[F.xxhash64(c) for c in docs.columns])).alias("row")).select("row.*")
-    return once.unionByName(chosen).unionByName(docs.where(wordless))
+    keyed = with_row_key(docs)
+    found = jaccard_components(keyed, doc_id=ROW).select(F.col("doc_id").alias(ROW), "n_shingles", "component_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), ROW)
+    ranked = found.where("n_shingles > 0").join(keyed.select(ROW, rank.alias("rank")), ROW)
+    first = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col(f"rank.{ROW}").alias(ROW))
+    kept = first.unionByName(found.where("n_shingles = 0").select(ROW))
+    return keyed.join(kept, ROW, "left_semi").select(*docs.columns)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import ROW, stored, table, with_row_key
 
 TRAIN_ROWS = 20_000
 BUCKETS = 1024
@@ -188,6 +188,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejected documents go; rows without an id stay if they have words."""
-    gone = classified(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: rejected rows go, whatever their id."""
+    keyed = with_row_key(docs)
+    gone = classified(keyed, doc_id=ROW).where(~F.col("kept")).select(F.col("doc_id").alias(ROW))
+    return keyed.join(gone, ROW, "left_anti").select(*docs.columns)

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import ROW, stored, table, with_row_key
 
 TRAIN_ROWS = 400_000
 MIN_DOCUMENTS = 2
@@ -294,8 +294,9 @@ def _chance(docs: DataFrame, sample, model: Model) -> tuple[float, float]:
 
 
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_words, evidence, n_passages and spans (word places) of every row."""
+    """doc_id, n_words, evidence, n_passages and spans (word places) of every row, and a third column if there is one."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain values: a task builds the model anew
+    more = docs.columns[2:]
     span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,9 +304,9 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             rows = [own.passages(x.as_py(), known) for x in batch.column(1)]
             spans = [[{"first": a, "last": b, "score": s} for a, b, s in r[2]] for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([len(r[2]) for r in rows], pa.int64()), pa.array(spans, span)], names=["doc_id", "n_words", "evidence", "n_passages", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([len(r[2]) for r in rows], pa.int64()), pa.array(spans, span), *batch.columns[2:]], names=["doc_id", "n_words", "evidence", "n_passages", "spans", *more])
 
-    return docs.mapInArrow(run, SCORES)
+    return docs.mapInArrow(run, ", ".join([SCORES, *[f"{c} bigint" for c in more]]))
 
 
 def calibrate(model: Model, scored: DataFrame, labels: DataFrame) -> Model:
@@ -330,15 +331,16 @@ def calibrate(model: Model, scored: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted, n_words, n_passages and spans of every row."""
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    model = learn(own, labels)
+def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_words, n_passages and spans of every row; ``row`` names a key to carry."""
+    kept = [] if row is None else [row]
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(c).cast("long").alias(c) for c in kept])
+    model = learn(own.select("doc_id", "text"), labels)
     scored = stored(evidence(own, model), "toxicity")
     model = calibrate(model, scored, labels)
     score = 1 / (1 + F.exp(-(F.lit(model.intercept) + F.lit(model.slope) * F.log1p(F.greatest(F.col("evidence"), F.lit(0.0))))))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % MODULUS == 0, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "n_words", "n_passages", "spans")
+    return scored.select("doc_id", held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "n_words", "n_passages", "spans", *kept)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,6 +348,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents predicted to be toxic go; rows without an id stay."""
-    found = toxicity(docs, table(spark, sf_dir, "labels"))
-    return docs.join(found.where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: rows predicted to be toxic go, whatever their id."""
+    keyed = with_row_key(docs)
+    found = toxicity(keyed, table(spark, sf_dir, "labels"), row=ROW)
+    return keyed.join(found.where("predicted = 1").select(ROW), ROW, "left_anti").select(*docs.columns)
