@@ -101,3 +101,8 @@ def test_queries_equal_their_sql(spark, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).take(1)
+
+
+def test_price_scan_and_feature_panel_return_every_column_they_make(spark):
+    assert "adjusted_close" in entry.queries()["s04_prices"](spark, SF).columns
+    assert {"adjusted_close", "market_cap"} <= set(entry.queries()["f13_feature_panel"](spark, SF).columns)
