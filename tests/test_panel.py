@@ -106,3 +106,10 @@ def test_entry_has_rows(spark):
 def test_price_scan_and_feature_panel_return_every_column_they_make(spark):
     assert "adjusted_close" in entry.queries()["s04_prices"](spark, SF).columns
     assert {"adjusted_close", "market_cap"} <= set(entry.queries()["f13_feature_panel"](spark, SF).columns)
+
+
+def test_returns_matrix_and_scaling_cover_all_tickers_and_features(spark):
+    matrix = entry.queries()["s06_returns_matrix"](spark, SF)
+    assert set(matrix.columns) == {"date", *[f"nation_{k}" for k in range(25)]}
+    for name in ("f25_winsorized", "f28_standardized", "f29_minmax"):
+        assert len(entry.queries()[name](spark, SF).columns) == 2 + 24

@@ -93,11 +93,13 @@ def s08_reports_known_at(spark, sf_dir):
     return tidy(known.select("ticker", "fiscal_date", "fiscal_period", "report_date", "eps", "roe", "debt_to_equity", "operating_margin"))
 
 
-@query(Q.query(select="SELECT date, " + ", ".join(f"round(max(CASE WHEN ticker = '{t}' THEN monthly_return END), 6) AS {t.lower()}" for t in ("NATION_1", "NATION_5", "NATION_12", "NATION_20")) + " FROM prices WHERE monthly_return IS NOT NULL AND ticker IN ('NATION_1', 'NATION_5', 'NATION_12', 'NATION_20') GROUP BY date"))
+TICKERS = [f"NATION_{k}" for k in range(25)]  # nation has 25 rows by definition of the schema
+
+
+@query(Q.query(select="SELECT date, " + ", ".join(f"round(max(CASE WHEN ticker = '{t}' THEN monthly_return END), 6) AS {t.lower()}" for t in TICKERS) + " FROM prices WHERE monthly_return IS NOT NULL GROUP BY date"))
 def s06_returns_matrix(spark, sf_dir):
-    names = ["NATION_1", "NATION_5", "NATION_12", "NATION_20"]
-    wide = load_panel(spark, sf_dir).prices.where(F.col("monthly_return").isNotNull() & F.col("ticker").isin(names)).groupBy("date").pivot("ticker", names).agg(F.first("monthly_return"))
-    return tidy(wide.select("date", *[F.col(n).alias(n.lower()) for n in names]))
+    wide = load_panel(spark, sf_dir).prices.where(F.col("monthly_return").isNotNull()).groupBy("date").pivot("ticker", TICKERS).agg(F.first("monthly_return"))
+    return tidy(wide.select("date", *[F.col(n).alias(n.lower()) for n in TICKERS]))
 
 
 @query(Q.query(Q.PRICE, select=Q.rounded("ticker, date", Q.FEATURE_NAMES[:11], "pf")))
@@ -125,7 +127,7 @@ def f21_sector_relative_quality(spark, sf_dir):
     return tidy(relative(load_panel(spark, sf_dir)).select("feature_date", "ticker", *RELATIVES, "data_quality_score"), 5)
 
 
-SCALED = ["twelve_month_momentum", "volatility_12m", "price_to_sales"]
+SCALED = Q.FEATURE_NAMES
 _win = ", ".join(f"round(CASE WHEN {c} IS NOT NULL THEN greatest(least({c}, quantile_cont({c}, 0.99) OVER d), quantile_cont({c}, 0.01) OVER d) END, 6) AS {c}" for c in SCALED)
 _std = ", ".join(f"round(CASE WHEN stddev_samp({c}) OVER d > 0 THEN ({c} - avg({c}) OVER d) / stddev_samp({c}) OVER d END, 5) AS {c}" for c in SCALED)
 _mm = ", ".join(f"round(CASE WHEN max({c}) OVER d = min({c}) OVER d THEN 0.5::DOUBLE ELSE ({c} - min({c}) OVER d) / (max({c}) OVER d - min({c}) OVER d) END, 6) AS {c}" for c in SCALED)
