@@ -47,16 +47,50 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends here."""
     spark, path = df.sparkSession, scratch(df.sparkSession, tag)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: The column of ``with_row_key``.
-ROW = "row_key__"
+_WRITTEN: list[str] = []
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """``docs`` as a written table with a key for each row, so that rows without an id or of one id differ."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def written() -> list[str]:
+    """Paths of the scratch tables that this process has written and not deleted."""
+    return list(_WRITTEN)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Deletes scratch tables whose last reader has ended."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+
+
+class Scratch:
+    """The written tables of one job; ``drop`` deletes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, tag: str) -> DataFrame:
+        before = len(_WRITTEN)
+        out = stored(df, tag)
+        self.paths.append((out, _WRITTEN[before]))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        gone = [(t, path) for t, path in self.paths if any(t is x for x in tables)]
+        self.paths = [x for x in self.paths if all(x[1] != path for _, path in gone)]
+        delete(self.spark, *(path for _, path in gone))
+
+
+def digests(columns: list[str]) -> tuple[Column, Column]:
+    """Two 64-bit digests of a row; nulls count by their place."""
+    parts = [*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns]]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -9,13 +9,19 @@ link is lost. A tile has ``spare`` segments more than that, so segments that are
 need no key; a node with too many empty segments shares one more key with its like.
 
 Nodes that share a key are compared in three steps, none of which lists all pairs of
-a group. (1) Each meets the smallest node of the key. The bit counts of two hashed
-bitmaps bound the overlap from above; pairs that pass are settled by intersecting the
-sorted arrays. (2) Links are contracted to components. (3) Only keys whose nodes are
-still in several components go on: their bitmaps are compared block by block (blocks
-of ``BLOCK`` nodes) across components, and nodes with a likely partner meet again with
-their arrays. There a task intersects exactly and reports only the links that join
-components, so pairs never become rows.
+a group. (1) Each meets one node of the key, which a hash draws anew for every key, so a
+node meets as many different nodes as it has keys. The bit counts of two hashed bitmaps
+bound the overlap from above; pairs that pass are settled by intersecting the sorted
+arrays. (2) Links are contracted to components. (3) Only keys whose nodes are still in
+several components go on: their bitmaps are compared block by block (blocks of ``BLOCK``
+nodes) across components. A pair counts on its smallest shared key only, and nodes with
+a likely partner meet there again with their arrays. A task intersects exactly and
+reports only the links that join components, so pairs never become rows.
+
+Keys are spread over the cluster once, with the smallest and largest node of each key
+pre-aggregated. Those that two nodes share are marked in a bitmap of ``MARK_BITS`` places
+at most; only keys with a mark go on to the exact join, and without enough room for
+marks more keys go there, none is lost. Tables are deleted when their last reader ends.
 
 Defined results: a null, empty or wordless text has the empty set and links with
 nothing; a text of fewer words than a shingle has its whole sequence as the only
@@ -31,21 +37,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, stored, table, with_row_key
+from .common import WORD, Scratch, digests, table
 
 WORDS = 5
 PERCENT = 80
 BLOCK = 1024
 BANDS = 2
 BROADCAST_ROWS = 400_000
+MARK_BITS = 1 << 27
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SHIFT = np.uint64(31)
 
-SIGNATURES = "doc_id bigint, n bigint, node bigint, proof bigint, bits binary, keys array<bigint>"
+SIGNED = pa.schema([("n", pa.int64()), ("node", pa.int64()), ("proof", pa.int64()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -154,20 +162,20 @@ def apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
 
 
-def signatures(docs: DataFrame, words: int, percent: int, doc_id: str, text: str, seed: int = 0) -> DataFrame:
-    """doc_id, set size, node and proof (two digests of the set), bitmap and segment keys."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("proof", pa.int64()), ("bits", pa.binary()), ("keys", pa.list_(pa.int64()))])
+def signatures(rows: DataFrame, words: int, percent: int, seed: int = 0) -> DataFrame:
+    """The columns of ``rows`` but for the last, the text; set size, node and proof (two digests of the set), bitmap and segment keys."""
+    kept = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, tiles = Shingler(words, seed), Tiles(percent)
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
-                rows = [_signed(shingler(x.as_py()), tiles, seed) for x in part.column(1)]
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, schema.field(i + 1).type) for i, c in enumerate(columns))], schema=schema)
+                made = [_signed(shingler(x.as_py()), tiles, seed) for x in part.columns[-1]]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, t) for c, t in zip(zip(*made, strict=True), SIGNED.types, strict=True))], names=[*kept, *SIGNED.names])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SIGNATURES)
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes[:-1])
+    return rows.mapInArrow(run, f"{kinds}, n bigint, node bigint, proof bigint, bits binary, keys array<bigint>")
 
 
 def _signed(shingles: np.ndarray, tiles: Tiles, seed: int) -> tuple:
@@ -176,27 +184,78 @@ def _signed(shingles: np.ndarray, tiles: Tiles, seed: int) -> tuple:
     return len(shingles), int(node), int(proof), bitmap(shingles) if len(shingles) else b"", tiles.keys(shingles).view(np.int64) if len(shingles) else np.empty(0, np.int64)
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text: str, seed: int) -> DataFrame:
-    """node and sorted shingles of each wanted node, from one document of it."""
-    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+def shingle_sets(rows: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFrame:
+    """node and sorted shingles of each wanted (node, digest); ``rows`` has digest and text.
+
+    Another text with a wanted digest does no harm: its node is not wanted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words, seed)
+        shingler, seen = Shingler(words, seed), set()
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
-                data = [shingler(x.as_py()).tobytes() for x in batch.column(1).slice(low, 256)]
+                part = batch.slice(low, 256)
+                texts = [t for d, t in zip(part.column(0).to_pylist(), part.column(1), strict=True) if d not in seen and not seen.add(d)]  # copies once a task
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                data = [shingler(t.as_py()).tobytes() for t in texts]
                 nodes = [int(np.uint64(xxhash.xxh64_intdigest(d, 2 * seed + 1)).astype(np.int64)) for d in data]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(data, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(data, pa.binary())], names=["node", "shingles"])
 
-    ids = wanted.select("doc_id").distinct()
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(_small(ids), "doc_id", "left_semi")
-    made = rows.mapInArrow(run, "node bigint, shingles binary").join(wanted.select("node"), "node", "left_semi")
+    there = rows.select("digest", "text").join(_small(wanted.select("digest")), "digest", "left_semi")
+    made = there.mapInArrow(run, "node bigint, shingles binary").join(_small(wanted.select("node")), "node", "left_semi")
     return made.groupBy("node").agg(F.any_value("shingles").alias("shingles"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Marks a counted table for broadcast while it has few rows of a few numbers."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(table: DataFrame) -> DataFrame:
+    """Marks a written table for broadcast while it has few rows of a few numbers."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _marks(shared: DataFrame) -> np.ndarray:
+    """A bitmap with two places set for every shared key; its size is bounded."""
+    bits = 1 << 16
+    while bits < min(MARK_BITS, 16 * shared.count()):
+        bits *= 2
+    place = lambda k: F.col("key").bitwiseAND(F.lit(bits - 1)) if k == 0 else F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(bits - 1))
+    places = shared.select(F.explode(F.array(place(0), place(1))).alias("at"))
+    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    out = np.zeros(bits // 64, np.int64)
+    rows = words.toArrow()
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _marked(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Which keys may be shared."""
+    last = np.uint64(64 * len(marks) - 1)
+    hit = lambda at: (marks[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+    k = keys.view(np.uint64)
+    return (hit(k & last) & hit((k >> np.uint64(32)) & last)).astype(bool)
+
+
+def _shared_members(wide: DataFrame, work: Scratch) -> DataFrame:
+    """(key, node) of every key that at least two nodes have, as a written table."""
+    sides = wide.select(F.explode("keys").alias("key"), "node").groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    shared = work.stored(sides.where("low != high").select("key"), "jaccard-keys")
+    marks = wide.sparkSession.sparkContext.broadcast(_marks(shared))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            lists = batch.column(1)
+            keys, node = lists.flatten().to_numpy(), batch.column(0).to_numpy()
+            fresh = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)  # copies once a task
+            if len(seen) > 1_000_000:
+                seen.clear()
+            counts = pa.compute.list_value_length(lists).fill_null(0).to_numpy()
+            keep = np.repeat(fresh, counts) & _marked(keys, marks.value)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(np.repeat(node, counts)[keep])], names=["key", "node"])
+
+    likely = wide.select("node", "keys").mapInArrow(run, "key bigint, node bigint")
+    out = work.stored(likely.join(shared, "key", "left_semi").distinct(), "jaccard-members")
+    work.drop(shared)
+    return out
 
 
 def _by_bits(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
@@ -207,7 +266,7 @@ def _by_bits(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
         tiles = Tiles(percent)
         for batch in batches:
             found = []
-            for a, b, n, m, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for a, b, n, m, x, y in zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns[:4]), *(c.to_pylist() for c in batch.columns[4:]), strict=True):
                 if 100 * min(n, m) >= percent * max(n, m) and (d := apart(x, y)) <= tiles.most_apart(n + m):
                     found.append((a, b, d))
             if found:
@@ -236,99 +295,140 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "seta", "setb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _dealt(rows: DataFrame, payload: str, *more: str) -> DataFrame:
-    """Rows of (key, node, n, payload, comp) as runs of two blocks of a key's nodes each.
+def _dealt(rows: DataFrame, payload: str) -> DataFrame:
+    """Rows of (key, node, n, payload, comp and perhaps others) as runs of two blocks of a key's nodes each.
 
     A key's nodes are dealt to blocks and every pair of blocks becomes one run of rows
     in a task, so two blocks bound its memory whatever a key's size.
     """
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(_small(sizes), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = rows.join(sizes, "key", "left").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     sides = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    sides = sides.select("key", "i", "j", "node", "n", payload, (F.col("own") == F.col("i")).alias("left"), (F.col("own") == F.col("j")).alias("right"), "comp", *more)
+    sides = sides.select("key", "i", "j", "node", "n", "comp", (F.col("own") == F.col("i")).alias("left"), (F.col("own") == F.col("j")).alias("right"), payload, *[c for c in ("others",) if c in rows.columns])
     return sides.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """The key and the rows (node, n, payload, left, right, comp) of each run."""
-    now, group = None, []
-    for batch in batches:
-        for row in zip(*batch.columns, strict=True):
-            key, i, j, *rest = (x.as_py() for x in row)
-            if (key, i, j) != now:
-                if group:
-                    yield now[0], group
-                now, group = (key, i, j), []
-            group.append(tuple(rest))
-    if group:
-        yield now[0], group
-
-
-def _near(group: list[tuple], bitmaps: list[bytes], percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of the left block the right block's rows, across components, whose bits allow a link."""
-    tiles = Tiles(percent)
-    size = min(map(len, bitmaps))
-    left, right = (np.flatnonzero([r[k] for r in group]) for k in (3, 4))
-    bits = np.stack([folded(np.frombuffer(b, np.uint8), size) for b in bitmaps]).view(np.uint64)
-    n, comp = np.array([r[1] for r in group], np.int64), np.array([r[5] for r in group], np.int64)
-    for i in left.tolist():
-        at = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-        if len(at):
-            at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64) <= (n[at] + n[i]) * (100 - percent) // (100 + percent)]
-            at = np.array([j for j in at.tolist() if apart(bitmaps[i], bitmaps[j]) <= tiles.most_apart(int(n[i] + n[j]))], np.int64)
+class Run:
+    """The rows of two blocks of a key: node, n, comp, left, right, payloads and perhaps the nodes' other keys."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        self.key = parts[0].column(0)[0].as_py()
+        read = lambda c: np.concatenate([p.column(c).to_numpy(zero_copy_only=False) for p in parts])
+        self.node, self.n, self.comp, self.left, self.right = (read(c) for c in range(3, 8))
+        self.payloads = [x for p in parts for x in p.column(8).to_pylist()]
+        self.others = [p.column(9) for p in parts if p.num_columns > 9]
+
+    def met_before(self) -> np.ndarray:
+        """Bits by row of the smaller keys that rows of the run share; a pair with a bit in common meets there too."""
+        below = [k[k < self.key] for column in self.others for x in column for k in [np.asarray(x.values.to_numpy(), np.int64)]]
+        _, at, n = np.unique(np.concatenate(below), return_inverse=True, return_counts=True)
+        place, many = np.cumsum(n > 1) - 1, n[at] > 1
+        flags = np.zeros((len(below), max(64, -(-int((n > 1).sum()) // 64) * 64)), bool)
+        row = np.repeat(np.arange(len(below)), [len(k) for k in below])
+        flags[row[many], place[at[many]]] = True
+        return np.packbits(flags, axis=1).view(np.uint64)
+
+    def near(self, bitmaps: list[bytes], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For each row of the left block the right block's rows, across components, whose bits allow a link and that meet on no smaller of the others."""
+        if (self.comp == self.comp[0]).all():
+            return
+        tiles = Tiles(percent)
+        left, right, n, comp, met = np.flatnonzero(self.left), np.flatnonzero(self.right), self.n, self.comp, None
+        names, counts = np.unique(comp, return_counts=True)
+        largest = names[counts.argmax()]
+        outside = right[comp[right] != largest]
+        size = min(map(len, bitmaps))
+        bits = np.stack([folded(np.frombuffer(b, np.uint8), size) for b in bitmaps]).view(np.uint64)
+        for i in left.tolist():
+            at = outside if comp[i] == largest else right[comp[right] != comp[i]]
+            at = at[100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i])]
+            if self.left[i] and self.right[i]:
+                at = at[self.node[at] > self.node[i]]  # both stand in one block
+            if len(at):
+                at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64) <= (n[at] + n[i]) * (100 - percent) // (100 + percent)]
             if len(at):
-                yield i, at
+                if self.others:
+                    met = self.met_before() if met is None else met
+                    at = at[~(met[at] & met[i]).any(axis=1)]
+                at = np.array([j for j in at.tolist() if apart(bitmaps[i], bitmaps[j]) <= tiles.most_apart(int(n[i] + n[j]))], np.int64)
+                if len(at):
+                    yield i, at
 
 
-def _with_partner(rows: DataFrame, percent: int) -> DataFrame:
-    """(key, node) of the rows that have a partner in another component by their bitmaps."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[Run]:
+    now, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        heads = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)])
+        bounds = [0, *(np.flatnonzero((heads[:, 1:] != heads[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            if (head := tuple(heads[:, low].tolist())) != now:
+                if parts:
+                    yield Run(parts)
+                now, parts = head, []
+            parts.append(batch.slice(low, high - low))
+    if parts:
+        yield Run(parts)
+
+
+def _with_partner(rows: DataFrame, sig: DataFrame, percent: int, work: Scratch) -> DataFrame:
+    """(key, node) of the rows that have a partner in another component by their bitmaps, then on each pair's smallest key alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, group in _runs(batches):
-            nodes = {group[k][0] for i, at in _near(group, [r[2] for r in group], percent) for k in (i, *at.tolist())}
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(nodes), pa.int64()), pa.array(list(nodes), pa.int64())], names=["key", "node"])
+        for own in _runs(batches):
+            at = {k for i, found in own.near(own.payloads, percent) for k in (i, *found.tolist())}
+            if at:
+                yield pa.RecordBatch.from_arrays([pa.array([own.key] * len(at), pa.int64()), pa.array(own.node[sorted(at)])], names=["key", "node"])
+
+    likely = work.stored(_dealt(rows.join(sig, "node"), "bits").mapInArrow(run, "key bigint, node bigint").distinct(), "jaccard-flagged")
+    again = _with_others(rows.join(likely, ["key", "node"], "left_semi")).join(sig, "node")
+    out = work.stored(_dealt(again, "bits").mapInArrow(run, "key bigint, node bigint").distinct(), "jaccard-flagged")
+    work.drop(likely)
+    return out
+
 
-    return _dealt(rows, "bits").mapInArrow(run, "key bigint, node bigint").distinct()
+def _overlap(a: np.ndarray, b: np.ndarray, percent: int) -> int | None:
+    """Size of the intersection of two sets that link, else None."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both if 100 * both >= percent * (len(a) + len(b) - both) else None
 
 
 def _spanning_links(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect what a run of rows with shingles can connect, no more."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in _runs(batches):
-            sets = [np.frombuffer(r[2], np.uint64) for r in group]
+        for own in _runs(batches):
+            sets = [np.frombuffer(x, np.uint64) for x in own.payloads]
             heads: dict[int, int] = {}
 
-            def head(c: int) -> int:
+            def head(c: int, heads=heads) -> int:
                 while (up := heads.get(c, c)) != c:
                     heads[c] = heads.get(up, up)
                     c = up
                 return c
 
             found = []
-            for i, at in _near(group, [bitmap(s, 16) for s in sets], percent):
+            for i, at in own.near([bitmap(s, 16) for s in sets], percent):
                 for j in at.tolist():
-                    x, y = head(group[i][5]), head(group[j][5])
-                    if x != y:
-                        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                        if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                            heads[x] = y
-                            found.append((group[i][0], group[j][0]))
+                    x, y = head(int(own.comp[i])), head(int(own.comp[j]))
+                    if x != y and _overlap(sets[i], sets[j], percent) is not None:
+                        heads[x] = y
+                        found.append((int(own.node[i]), int(own.node[j])))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     return _dealt(rows, "shingles").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def components(links: DataFrame, tag: str = "components") -> DataFrame:
-    """node and comp (the smallest node reachable) of every node on a link (a, b).
+def components(links: DataFrame, work: Scratch) -> DataFrame:
+    """node and comp (the smallest node reachable) of every node on a link (a, b), as a written table.
 
     Large-star and small-star rounds until nothing moves; each round ends in a
     written table. Neighbourhoods are only aggregated and joined, never gathered.
     """
-    edges = stored(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag)
+    edges = work.stored(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -336,46 +436,32 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        edges = stored(small, tag)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        new = work.stored(small, "components")
+        work.drop(edges)
+        edges, state = new, new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+            break
         before = state
+    out = work.stored(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()), "components")
+    work.drop(edges)
+    return out
 
 
-def _unmet(group: list[tuple], keys: list[np.ndarray], key: int) -> np.ndarray:
-    """Bits by row of the smaller keys that rows of a run share; a pair with a bit in common meets there too."""
-    below = [k[k < key] for k in keys]
-    seen, at, n = np.unique(np.concatenate(below), return_inverse=True, return_counts=True)
-    place = np.cumsum(n > 1) - 1
-    flags = np.zeros((len(group), max(64, -(-int((n > 1).sum()) // 64) * 64)), bool)
-    row = np.repeat(np.arange(len(group)), [len(k) for k in below])
-    many = n[at] > 1
-    flags[row[many], place[at[many]]] = True
-    return np.packbits(flags, axis=1).view(np.uint64)
-
-
-def _pairs(group: list[tuple], key: int, bitmaps: list[bytes], percent: int) -> Iterator[tuple[int, list[int]]]:
-    """For each row of the left block the later rows of the right block whose bits allow a link and that meet on no smaller key."""
-    nodes = np.array([r[0] for r in group], np.int64)
-    unmet = _unmet(group, [np.array(r[6], np.int64) for r in group], key)
-    for i, at in _near(group, bitmaps, percent):
-        at = at[nodes[at] > nodes[i]] if group[i][3] and group[i][4] else at
-        at = at[~(unmet[at] & unmet[i]).any(axis=1)]
-        if len(at):
-            yield i, at.tolist()
-
+def _keyed(docs: DataFrame, doc_id: str, text: str, *more) -> DataFrame:
+    body = F.col(text).cast("string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), *more, F.xxhash64(body).alias("digest"), body.alias("text"))
 
-def _partnered(rows: DataFrame, percent: int) -> DataFrame:
-    """(key, node) of the rows that ``_pairs`` gives a partner."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, group in _runs(batches):
-            nodes = {group[k][0] for i, at in _pairs(group, key, [r[2] for r in group], percent) for k in (i, *at)}
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(nodes), pa.int64()), pa.array(list(nodes), pa.int64())], names=["key", "node"])
-
-    return _dealt(rows, "bits", "keys").mapInArrow(run, "key bigint, node bigint").distinct()
+def _signed_rows(rows: DataFrame, words: int, percent: int, work: Scratch) -> tuple[DataFrame, int]:
+    """The signatures of all rows, under a seed that gives different sets different nodes."""
+    seed = 0
+    while True:
+        signed = work.stored(signatures(rows, words, percent, seed), "jaccard-signatures")
+        nodes = signed.where("n > 0").groupBy("node")
+        if not nodes.agg(F.min("proof").alias("p"), F.max("proof").alias("q")).where("p != q").take(1):
+            return signed, seed
+        work.drop(signed)
+        seed += 1  # two different sets had one digest
 
 
 def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -384,32 +470,28 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: s
     Rows of one node link as well; they are not listed. Rows without an id or words have no node.
     Two blocks bound a task's memory, and a pair is intersected on its smallest shared key only.
     """
-    signed, seed = _signed_rows(docs, words, percent, doc_id, text)
+    rows, work = _keyed(docs, doc_id, text), Scratch(docs.sparkSession)
+    signed, seed = _signed_rows(rows, words, percent, work)
     usable = signed.where("n > 0 and doc_id is not null")
-    nodes = stored(usable.groupBy("node").agg(F.any_value("n").alias("n"), F.count("*").alias("rows"), F.min("doc_id").alias("doc_id"), F.any_value("bits").alias("bits"), F.any_value("keys").alias("keys")), "jaccard-nodes")
-    keyed = nodes.select(F.explode("keys").alias("key"), "node")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("nodes")).where("nodes > 1").select("key")
-    members = keyed.join(_small(shared), "key", "left_semi")
+    nodes = work.stored(usable.groupBy("node").agg(F.any_value("n").alias("n"), F.count("*").alias("rows"), F.min("doc_id").alias("doc_id")), "jaccard-nodes")
+    members = _shared_members(usable, work)
     # The component of a row is its node: no pair is left out for being connected already.
-    rows = members.join(nodes, "node").select("key", "node", "n", "bits", "keys", F.col("node").alias("comp"))
-    flagged = stored(_partnered(rows, percent), "jaccard-flagged")
-    wanted = stored(nodes.join(_small(flagged.select("node").distinct()), "node", "left_semi").select("node", "doc_id"), "jaccard-wanted")
-    sets = stored(shingle_sets(docs, wanted, words, doc_id, text, seed), "jaccard-sets")
-    with_sets = flagged.join(sets, "node").join(nodes, "node").select("key", "node", "n", "shingles", "keys", F.col("node").alias("comp"))
+    placed = members.withColumn("comp", F.col("node"))
+    sig = _first(usable, placed.select("node").distinct(), work)
+    flagged = _with_partner(placed, sig, percent, work)
+    sets = _sets_of(rows, usable, flagged.select("node"), words, seed, work)
+    work.drop(signed)
+    with_sets = _with_others(placed.join(flagged, ["key", "node"], "left_semi")).join(sets, "node").withColumn("n", F.expr("octet_length(shingles) div 8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, group in _runs(batches):
-            own = [np.frombuffer(r[2], np.uint64) for r in group]
-            for i, at in _pairs(group, key, [bitmap(x, 16) for x in own], percent):
-                found = []
-                for j in at:
-                    both = len(np.intersect1d(own[i], own[j], assume_unique=True))
-                    if 100 * both >= percent * (len(own[i]) + len(own[j]) - both):
-                        found.append((min(group[i][0], group[j][0]), max(group[i][0], group[j][0]), both))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b", "overlap"])
+        for own in _runs(batches):
+            sets = [np.frombuffer(x, np.uint64) for x in own.payloads]
+            for i, at in own.near([bitmap(x, 16) for x in sets], percent):
+                pairs = [(int(min(own.node[i], own.node[j])), int(max(own.node[i], own.node[j])), both) for j in at.tolist() if (both := _overlap(sets[i], sets[j], percent)) is not None]
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b", "overlap"])
 
-    return nodes.select("node", "n", "rows", "doc_id"), _dealt(with_sets, "shingles", "keys").mapInArrow(run, "a bigint, b bigint, overlap bigint")
+    return nodes, _dealt(with_sets, "shingles").mapInArrow(run, "a bigint, b bigint, overlap bigint")
 
 
 def link_counts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -420,71 +502,69 @@ def link_counts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc
     return nodes.join(others, "node", "left").select("doc_id", "rows", (F.col("rows") - 1 + F.coalesce("copies", F.lit(0))).alias("n_links"))
 
 
-def _signed_rows(docs: DataFrame, words: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, int]:
-    """The signatures of all rows, under a seed that gives different sets different nodes."""
-    seed = 0
-    while True:
-        signed = stored(signatures(docs, words, percent, doc_id, text, seed), "jaccard-signatures")
-        nodes = signed.where("n > 0").groupBy("node")
-        if not nodes.agg(F.min("proof").alias("p"), F.max("proof").alias("q")).where("p != q").take(1):
-            return signed, seed
-        seed += 1  # two different sets had one digest
-
-
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    signed, seed = _signed_rows(docs, words, percent, doc_id, text)
-    comps = _node_components(docs, signed, words, percent, doc_id, text, seed)
-    named = signed.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-    joined = named.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows, comps = _components_of(_keyed(docs, doc_id, text), "doc_id is not null", words, percent)
+    first = rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
+    joined = first.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     heads = joined.groupBy("comp").agg(F.min("first").alias("component"))
     of_node = joined.join(heads, "comp").select("node", "component")
-    rows = signed.select("doc_id", "n", "node")
     return rows.join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
-def _node_components(docs, signed, words, percent, doc_id, text, seed) -> DataFrame:
-    usable = signed.where("n > 0 and doc_id is not null")
-    keyed = usable.select(F.explode("keys").alias("key"), "node")
-    shared = stored(keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("a"), F.count("*").alias("rows")).where("a != b"), "jaccard-keys")
-    crowded = shared.where("rows > 2").select("key", "b")
-    members = stored(keyed.join(_small(crowded), "key").select("key", "node", "b").distinct(), "jaccard-members")
-    met = shared.select("a", "b").unionByName(members.where("node != b").select(F.col("node").alias("a"), "b")).distinct()
-    met = stored(met, "jaccard-met")
-    sig = _first(usable, met.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct(), "n", "bits")
-    sig = stored(sig, "jaccard-bitmaps")
-    passed = stored(_by_bits(met, sig, percent), "jaccard-passed")
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = usable.join(_small(nodes.distinct()), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        return stored(shingle_sets(docs, stored(wanted, "jaccard-wanted"), words, doc_id, text, seed), "jaccard-sets")
-
-    sets = sets_of(passed.select(F.explode(F.array("a", "b")).alias("node")))
+def _components_of(keyed: DataFrame, usable: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``keyed`` with n and node in place of the text, and node and comp of every node that has a link."""
+    work = Scratch(keyed.sparkSession)
+    signed, seed = _signed_rows(keyed, words, percent, work)
+    rows = work.stored(signed.drop("proof", "bits", "keys", "digest"), "jaccard-rows")
+    used = signed.where(f"n > 0 and {usable}")
+    members = _shared_members(used, work)
+    hubs = members.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("b"))
+    met = work.stored(members.join(hubs, "key").where("node != b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), "jaccard-met")
+    sig = _first(used, members.select("node").distinct(), work)
+    passed = work.stored(_by_bits(met, sig, percent), "jaccard-passed")
+    work.drop(met)
+    sets = _sets_of(keyed, used, passed.select(F.explode(F.array("a", "b")).alias("node")), words, seed, work)
     # First every node with the nearest of its smaller partners, then what that leaves apart.
     nearest = passed.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b"))
-    links = stored(_linked(nearest, sets, percent), "jaccard-links")
-    comps = components(links)
-    rest = _across(passed.join(nearest, ["a", "b"], "left_anti"), comps)
-    more = stored(_linked(rest, sets, percent), "jaccard-links")
+    found = work.stored(_linked(nearest, sets, percent), "jaccard-links")
+    comps = components(found, work)
+    more = work.stored(_linked(_across(passed.join(nearest, ["a", "b"], "left_anti"), comps), sets, percent), "jaccard-links")
     if more.take(1):
-        links = links.unionByName(more)
-        comps = components(links)
+        found = found.unionByName(more)
+        work.drop(comps)
+        comps = components(found, work)
+    work.drop(passed, sets)
     placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = placed.where("node != b").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-    open_rows = stored(placed.where("node != b").join(_small(several), "key", "left_semi").select("key", "node", "comp"), "jaccard-open")
-    flagged = stored(_with_partner(open_rows.join(sig, "node"), percent), "jaccard-flagged")
+    several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
+    open_rows = work.stored(placed.join(several, "key", "left_semi").select("key", "node", "comp"), "jaccard-open")
+    flagged = _with_partner(open_rows, sig, percent, work)
     if flagged.take(1):
-        near = sets_of(flagged.select("node"))
-        with_sets = open_rows.join(flagged, ["key", "node"], "left_semi").join(near, "node")
-        found = stored(_spanning_links(with_sets.withColumn("n", F.expr("octet_length(shingles) div 8")), percent), "jaccard-links")
-        if found.take(1):
-            comps = components(links.unionByName(found))
-    return comps
+        near = _sets_of(keyed, used, flagged.select("node"), words, seed, work)
+        with_sets = _with_others(open_rows.join(flagged, ["key", "node"], "left_semi")).join(near, "node")
+        last = work.stored(_spanning_links(with_sets.withColumn("n", F.expr("octet_length(shingles) div 8")), percent), "jaccard-links")
+        if last.take(1):
+            work.drop(comps)
+            comps = components(found.unionByName(last), work)
+    work.drop(*[t for t, _ in work.paths if t is not rows and t is not comps])
+    return rows, comps
+
+
+def _with_others(placed: DataFrame) -> DataFrame:
+    """Each (key, node, comp) with all keys of its node; a text's own segments bound their number."""
+    return placed.join(placed.groupBy("node").agg(F.collect_list("key").alias("others")), "node")
+
+
+def _sets_of(keyed: DataFrame, used: DataFrame, nodes: DataFrame, words: int, seed: int, work: Scratch) -> DataFrame:
+    """Shingles of the named nodes, from one text of each."""
+    wanted = work.stored(used.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("digest").alias("digest")), "jaccard-wanted")
+    return work.stored(shingle_sets(keyed, wanted, words, seed), "jaccard-sets")
 
 
-def _first(usable: DataFrame, nodes: DataFrame, *names: str) -> DataFrame:
-    """One row for each of ``nodes`` with its set's columns, which all its rows share."""
-    return usable.join(_small(nodes), "node", "left_semi").groupBy("node").agg(*[F.any_value(c).alias(c) for c in names])
+def _first(usable: DataFrame, nodes: DataFrame, work: Scratch) -> DataFrame:
+    """Size and bitmap of each of ``nodes``, which all its rows share, as a written table."""
+    wanted = work.stored(nodes, "jaccard-wanted")
+    return work.stored(usable.select("node", "n", "bits").join(_small(wanted), "node", "left_semi").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "jaccard-bitmaps")
 
 
 def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -501,13 +581,15 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near-duplicate rows the one with the smallest id stays.
 
-    Rows without an id come after the others; a hash of the row settles repeated ids.
-    Rows without words are kept as they are.
+    Rows without an id come after the others; a digest of the row settles repeated ids,
+    and of rows that are equal in every column one stays. Rows without words are kept as
+    they are. Only ids and digests go through the join; the texts move once, to the verdicts.
     """
-    keyed = with_row_key(docs)
-    found = jaccard_components(keyed, doc_id=ROW).select(F.col("doc_id").alias(ROW), "n_shingles", "component_id")
-    rank = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), ROW)
-    ranked = found.where("n_shingles > 0").join(keyed.select(ROW, rank.alias("rank")), ROW)
-    first = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col(f"rank.{ROW}").alias(ROW))
-    kept = first.unionByName(found.where("n_shingles = 0").select(ROW))
-    return keyed.join(kept, ROW, "left_semi").select(*docs.columns)
+    one, two = digests(docs.columns)
+    rows, comps = _components_of(_keyed(docs, "doc_id", "text", one.alias("one"), two.alias("two")), "true", WORDS, PERCENT)
+    placed = rows.where("n > 0").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    first = placed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "one", "two")).alias("rank")).select(F.col("rank.one").alias("row_one__"), F.col("rank.two").alias("row_two__"))
+    worded = F.coalesce(F.rlike("text", F.lit(WORD)), F.lit(False))
+    keyed = docs.where(worded).withColumns({"row_one__": one, "row_two__": two}).join(first, ["row_one__", "row_two__"], "left_semi")
+    kept = keyed.withColumn("row_nth__", F.row_number().over(Window.partitionBy("row_one__", "row_two__").orderBy("row_one__"))).where("row_nth__ = 1")
+    return kept.select(*docs.columns).unionByName(docs.where(~worded))

@@ -9,9 +9,13 @@ the document's position. Documents are range-sorted by position.
 No source is gathered in one task: the running sums are taken per (source, slice of
 the order), 4096 slices a source, and the slices' totals are summed on their own.
 
+The order within a source is that of a digest of id and text, so rows without an id or of
+one id are dealt to all slices.
+
 Defined results: null or wordless texts have size 0 and take 0 words; a null source
 is a source of its own, after all others; repeated rows are placed one after another;
-an empty table gives an empty result; other columns do not matter.
+a text of any length is one document and taken whole or not at all; an empty table
+gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, table
+from .common import WORD, Scratch, digests, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -95,39 +99,47 @@ def progress_at(demand: Column, segments: Column) -> Column:
     return s["t0"] + F.coalesce(F.try_divide(2 * d, s["w0"] + root), F.lit(0.0))
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", carry: list[str] | None = None, **budget) -> DataFrame:
-    """The mix plan: a row for each document, with what ``carry`` names beside it.
+def order_key(doc_id: Column, text: Column) -> Column:
+    """Place of a document in its source's fixed order."""
+    parts = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.substring(F.md5(parts.cast("binary")), 1, 16)
 
-    doc_id, size, source_size, target, taken, copies, position (progress of the first
-    copy, null if none is taken) and repeat_position (that of the second). A copy is
-    taken if the middle of its words is due before the target, so each source ends
-    within half a document of it.
+
+def placed(sized: DataFrame, work: Scratch, **budget) -> DataFrame:
+    """``sized`` (source, size, same, order_key and more) with start (words before it in its source), source_size, target and schedule.
+
+    A row stands for ``same`` equal documents that follow one another.
     """
-    epochs = budget.get("epochs", EPOCHS)
-    kept = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry or [])]
-    sized = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.col(source).cast("string").alias("source"),
-        n_words(F.col(text)).alias("size"),
-        F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, 16).alias("order_key"),
-        *([F.xxhash64(text).alias("text_key")] if carry else [F.lit(0).cast("long").alias("text_key")]),
-        *kept,
-    ).withColumns({"key": source_key(F.col("source")), "slice": F.substring("order_key", 1, SLICE_HEX)})
-    if not carry:
-        sized = stored(sized, "mix-sizes")
-    slices = stored(sized.groupBy("key", "source", "slice").agg(F.sum("size").alias("slice_size")), "mix-slices")
+    sized = work.stored(sized.withColumns({"key": source_key(F.col("source")), "slice": F.substring("order_key", 1, SLICE_HEX)}), "mix-sizes")
+    total = F.col("size") * F.col("same")
+    slices = work.stored(sized.groupBy("key", "source", "slice").agg(F.sum(total).alias("slice_size")), "mix-slices")
     budgets = source_budgets(slices.groupBy("key", "source").agg(F.sum("slice_size").alias("source_size")), **budget)
     running = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     ahead = slices.withColumn("ahead", F.coalesce(F.sum("slice_size").over(running), F.lit(0))).drop("source").join(budgets.drop("source"), "key").drop("slice_size")
-    within = Window.partitionBy("key", "slice").orderBy(F.col("order_key"), F.col("doc_id").asc_nulls_first(), F.col("text_key"), F.col("size")).rowsBetween(Window.unboundedPreceding, -1)
-    due = sized.join(ahead, ["key", "slice"]).withColumn("start", F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    within = Window.partitionBy("key", "slice").orderBy("order_key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("ahead") + F.coalesce(F.sum(total).over(within), F.lit(0))
+    return sized.join(ahead, ["key", "slice"]).withColumn("start", start).drop("key", "slice", "order_key", "ahead")
+
+
+def copies_and_positions(epochs: int = EPOCHS) -> tuple[Column, list[Column]]:
+    """Number of copies that are taken, and the position of each (null if it is not), of rows that ``placed`` made."""
     middle = lambda e: F.lit(e) * F.col("source_size") + F.col("start") + F.col("size") / 2
     takes = lambda e: middle(e) <= F.col("target")
     at = lambda e: F.when(takes(e), F.round(progress_at(F.least(F.coalesce(F.try_divide(middle(e), F.col("target")), F.lit(0.0)), F.lit(1.0)), F.col("schedule")), 6))
-    copies = sum((takes(e).cast("long") for e in range(1, epochs)), takes(0).cast("long"))
-    return due.withColumn("copies", copies).select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", at(0).alias("position"), at(1).alias("repeat_position"), *[F.col(f"carried_{i}") for i in range(len(kept))]
-    )
+    return sum((takes(e).cast("long") for e in range(1, epochs)), takes(0).cast("long")), [at(e) for e in range(epochs)]
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **budget) -> DataFrame:
+    """The mix plan: a row for each document, without its text.
+
+    doc_id, size, source_size, target, taken, copies, position (progress of the first
+    copy, null if none is taken) and repeat_position (that of the second). A copy is
+    taken if the middle of its words is due before the target, so each source ends
+    within half a document of it.
+    """
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), F.lit(1).cast("long").alias("same"), order_key(F.col(doc_id), F.col(text)).alias("order_key"))
+    copies, at = copies_and_positions(budget.get("epochs", EPOCHS))
+    return placed(sized, Scratch(docs.sparkSession), **budget).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), at[0].alias("position"), at[1].alias("repeat_position"))
 
 
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,17 +148,30 @@ def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every taken copy of every document, sorted by position."""
-    names = docs.columns
-    plan = mixed(docs, carry=names).where(F.col("copies") > 0)
-    copies = plan.withColumn("due", F.explode(F.filter(F.array("position", "repeat_position"), lambda p: p.isNotNull())))
-    return copies.orderBy("due", "doc_id").select(*[F.col(f"carried_{i}").alias(c) for i, c in enumerate(names)])
+    """Pipeline stage: every taken copy of every document, sorted by position.
+
+    The columns of ``docs`` with mix_position and mix_copy (0, 1) after them, since files
+    read back need not keep an order; columns of these names are replaced. The plan holds
+    digests and sizes; texts move once to meet it and once to be sorted. Rows that are
+    equal in every column share a plan row and are numbered where they meet it.
+    """
+    names = [c for c in docs.columns if c not in ("mix_position", "mix_copy")]
+    one, two = digests(names)
+    sized = docs.select(one.alias("one"), two.alias("two"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), order_key(F.col("doc_id"), F.col("text")).alias("order_key"))
+    groups = sized.groupBy("one", "two").agg(F.count("*").alias("same"), F.max("size").alias("size"), F.max("source").alias("source"), F.max("order_key").alias("order_key"))
+    kept = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(names)]
+    met = docs.select(one.alias("one"), two.alias("two"), *kept).join(placed(groups, Scratch(spark)), ["one", "two"])
+    nth = F.row_number().over(Window.partitionBy("one", "two").orderBy("one")) - 1
+    _, at = copies_and_positions()
+    due = met.withColumn("start", F.col("start") + nth * F.col("size"))
+    copies = due.select(*[F.col(f"carried_{i}") for i in range(len(names))], "one", F.posexplode(F.array(*at)).alias("mix_copy", "mix_position")).where("mix_position is not null")
+    return copies.orderBy("mix_position", "one", "mix_copy").select(*[F.col(f"carried_{i}").alias(c) for i, c in enumerate(names)], "mix_position", "mix_copy")
 
 
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 16) AS k FROM documents),
+         substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 16) AS k FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank FROM src),
 weighed AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 2.0::DOUBLE * source_size AS cap,
@@ -160,7 +185,7 @@ unfilled AS (SELECT min_by(level, place) AS final_level FROM levels WHERE level
 budget AS (SELECT source, source_size, w0, w1, least(cap, coalesce(final_level * weight, cap)) AS target FROM levels, unfilled),
 due AS (
   SELECT s.doc_id, s.size, b.source_size, b.target, w0, w1,
-         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY k, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY k, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM sized s JOIN budget b ON s.source IS NOT DISTINCT FROM b.source),
 taken AS (SELECT *, start + size / 2.0::DOUBLE AS m0, source_size + start + size / 2.0::DOUBLE AS m1 FROM due),
 demand AS (SELECT *, least(coalesce(m0 / nullif(target, 0), 0), 1.0::DOUBLE) AS u0, least(coalesce(m1 / nullif(target, 0), 0), 1.0::DOUBLE) AS u1 FROM taken)

@@ -7,9 +7,13 @@ whatever the data). The posterior of a text's pattern is its weak label; a logis
 scorer on hashed word shapes and repetitions is fitted to the weak labels of a sample
 of at most about ``TRAIN_ROWS`` texts and scores every text. No true label is used.
 
+The pipeline stage carries its rows through the labelling pass into the written table of
+features, so the verdict meets the row without a join or a shuffle.
+
 Defined results: a null, empty or wordless text has score 0 and is rejected; repeated
 rows score alike; if no pattern has a bad vote, nothing with words is rejected; an
-empty table gives an empty result; other columns do not matter.
+empty table gives an empty result; other columns do not matter, and a text's length
+matters to its own row only.
 """
 
 from __future__ import annotations
@@ -23,15 +27,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ROW, stored, table, with_row_key
+from .common import stored, table
 
 TRAIN_ROWS = 20_000
 BUCKETS = 1024
 ROUNDS = 200
 KEEP_AT = 0.5
-#: Labellers are made to be precise: no estimate of how often one calls a good text bad exceeds this.
-FALSE_ALARMS = 0.001
+#: Prior vote rates (bad, good, nothing) of a labeller on bad and on good texts, and the share of
+#: all texts that the priors weigh. Labellers are made to be precise, so the prior says so; the
+#: data may still overrule it.
+PRIOR_RATES = ((0.3, 0.5, 0.2), (0.001, 0.85, 0.149))
+PRIOR_SHARE = 0.1
 
 BAD, GOOD, ABSTAIN = 0, 1, 2
 #: (name, bad above, good at most): shares of words, or of lines for the last.
@@ -50,13 +58,14 @@ LABELLERS = (
 SYMBOL_ENDS = "#*$%&<>^~@=|"
 _RUNS = re.compile(r"(.)\1+")
 _SYMBOLS = re.compile(r"[#*$%&<>^~@=\\{}\[\]]")
-FEATURES = "doc_id bigint, n_words bigint, pattern int, buckets array<int>, shares array<float>"
+#: The feature columns; their names are kept free of those of documents.
+FEATURES = pa.schema([("n_words__", pa.int64()), ("pattern__", pa.int32()), ("buckets__", pa.list_(pa.int32())), ("shares__", pa.list_(pa.float32()))])
 
 
 def shape(word: str) -> str:
     """A word with its letters and digits reduced to their kinds, runs made single."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
-    return _RUNS.sub(r"\1", kinds)[:16]
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
+    return _RUNS.sub(r"\1", kinds)
 
 
 def _bucket(name: str) -> int:
@@ -101,22 +110,24 @@ class Reader:
         lines_again = len(lines) - len(set(lines))
         # Common pairs recur in long texts, so a fixed share of them says little there.
         shares = (flags[0] / n, flags[5] / n, flags[1] / n, flags[2] / n, flags[3] / n, again / pairs, pair_again / pairs, flags[4] / n, lines_again / max(len(lines), 1))
-        votes = [BAD if s > bad and n >= 5 else GOOD if s <= good else ABSTAIN for s, (_, bad, good) in zip(shares, LABELLERS, strict=True)]
+        votes = [BAD if s > bad else GOOD if s <= good else ABSTAIN for s, (_, bad, good) in zip(shares, LABELLERS, strict=True)]
         for b, v in ((self.again, again / pairs), (self.pair_again, pair_again / pairs), (self.line_again, lines_again / max(len(lines), 1))):
             buckets[b] += v * n
         return n, sum(v * 3**i for i, v in enumerate(votes)), np.fromiter(buckets, np.int32, len(buckets)), np.sqrt(np.fromiter(buckets.values(), np.float32, len(buckets)) / n)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("pattern", pa.int32()), ("buckets", pa.list_(pa.int32())), ("shares", pa.list_(pa.float32()))])
+def features(docs: DataFrame, kept: list[str], text: str) -> DataFrame:
+    """The columns ``kept`` with the number of words, vote pattern, buckets and shares of each text."""
+    rows = docs.select(*kept, F.col(text).cast("string").alias("text__"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for batch in batches:
-            columns = list(zip(*(reader(x.as_py()) for x in batch.column(1)), strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, schema.field(i + 1).type) for i, c in enumerate(columns))], schema=schema)
+            columns = list(zip(*(reader(x.as_py()) for x in batch.columns[-1]), strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, t) for c, t in zip(columns, FEATURES.types, strict=True))], names=[*kept, *FEATURES.names])
 
-    return docs.mapInArrow(run, FEATURES)
+    schema = T.StructType([*docs.select(*kept).schema.fields, *T.StructType.fromDDL("n_words__ bigint, pattern__ int, buckets__ array<int>, shares__ array<float>").fields])
+    return rows.mapInArrow(run, schema)
 
 
 def votes_of(pattern: int) -> list[int]:
@@ -128,18 +139,18 @@ def fit_labellers(patterns: list[int], counts: list[int], rounds: int = ROUNDS)
     votes = np.array([votes_of(p) for p in patterns], np.int64).reshape(len(patterns), len(LABELLERS))
     n = np.array(counts, float)
     seen = np.stack([votes == v for v in (BAD, GOOD, ABSTAIN)], axis=2).astype(float)
-    good, rates = 0.85, np.empty((2, len(LABELLERS), 3))
-    rates[0], rates[1] = (0.3, 0.5, 0.2), (0.01, 0.84, 0.15)
+    prior, strength = np.array(PRIOR_RATES)[:, None, :], PRIOR_SHARE * n.sum() + 1.0
+    good, rates = 0.85, np.repeat(prior, len(LABELLERS), axis=1)
     posterior = np.full(len(patterns), good)
     for _ in range(rounds):
+        before = good
         logs = [np.log(p) + (seen * np.log(r)).sum(axis=(1, 2)) for p, r in ((1 - good, rates[0]), (good, rates[1]))]
         posterior = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
-        good = float(np.clip((n * posterior).sum() / max(n.sum(), 1), 0.01, 0.99))
+        good = float(((n * posterior).sum() + 0.85) / (n.sum() + 1))
         for k, weight in enumerate((n * (1 - posterior), n * posterior)):
-            # A Beta-like prior of ten votes keeps every rate off 0, and bad votes telling.
-            prior = 10 * np.array([(0.3, 0.5, 0.2), (0.01, 0.84, 0.15)][k])
-            rates[k] = (np.einsum("p,plv->lv", weight, seen) + prior) / (weight.sum() + 10)
-        rates[1][:, BAD] = np.minimum(rates[1][:, BAD], FALSE_ALARMS)
+            rates[k] = (np.einsum("p,plv->lv", weight, seen) + strength * prior[k]) / (weight.sum() + strength)
+        if abs(good - before) < 1e-12:
+            break
     return good, rates, posterior
 
 
@@ -159,28 +170,35 @@ def fit_scorer(buckets: list[np.ndarray], shares: list[np.ndarray], target: np.n
     return w
 
 
-def classified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, weak (posterior of good), score and kept of every row."""
+def scored(docs: DataFrame, names: list[str], text: str = "text") -> DataFrame:
+    """The columns ``names`` with n_words__, weak__ (posterior of good), score__ and kept__ of every row."""
     spark = docs.sparkSession
-    read = stored(features(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))), "quality-features")
-    counts = {r.pattern: r.n for r in read.where("n_words > 0").groupBy("pattern").agg(F.count("*").alias("n")).collect()}
+    read = stored(features(docs, names, text), "quality-features")
+    counts = {r.pattern__: r.n for r in read.where("n_words__ > 0").groupBy("pattern__").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return read.select("doc_id", "n_words", F.lit(0.0).alias("weak"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
+        return read.select(*names, "n_words__", F.lit(0.0).alias("weak__"), F.lit(0.0).alias("score__"), F.lit(False).alias("kept__"))
     patterns = sorted(counts)
     _, _, posterior = fit_labellers(patterns, [counts[p] for p in patterns])
-    weak = spark.createDataFrame(list(zip(patterns, map(float, posterior), strict=True)), "pattern int, weak double")
-    joined = read.join(F.broadcast(weak), "pattern", "left")  # a row for each pattern: 3 ** 8 at most
+    weak = spark.createDataFrame(list(zip(patterns, map(float, posterior), strict=True)), "pattern__ int, weak__ double")
+    joined = read.join(F.broadcast(weak), "pattern__", "left")  # a row for each pattern: 3 ** 9 at most
     share = min(1.0, TRAIN_ROWS / sum(counts.values()))
-    sample = joined.where((F.col("n_words") > 0) & (F.pmod(F.xxhash64("doc_id", "buckets", "shares"), F.lit(1 << 30)) <= int(share * (1 << 30)))).select("buckets", "shares", "weak").toPandas()
-    target = sample["weak"].to_numpy()
+    drawn = F.pmod(F.xxhash64("buckets__", "shares__", *[c for c in ("doc_id",) if c in names]), F.lit(1 << 30)) <= int(share * (1 << 30))
+    sample = joined.where((F.col("n_words__") > 0) & drawn).select("buckets__", "shares__", "weak__").toPandas()
+    target = sample["weak__"].to_numpy()
     if len(sample) and target.min() < 0.5 <= target.max():
-        weights = fit_scorer(list(sample["buckets"]), list(sample["shares"]), target)
+        weights = fit_scorer(list(sample["buckets__"]), list(sample["shares__"]), target)
     else:
         weights = np.append(np.zeros(BUCKETS), 50.0 if not len(sample) or target.max() >= 0.5 else -50.0)
     by_bucket = F.lit(weights[:-1].tolist())
-    z = F.aggregate(F.zip_with("buckets", "shares", lambda b, s: F.get(by_bucket, b) * s), F.lit(float(weights[-1])), lambda a, v: a + v)
-    score = F.when(F.col("n_words") > 0, 1 / (1 + F.exp(-z))).otherwise(F.lit(0.0))
-    return joined.select("doc_id", "n_words", F.coalesce("weak", F.lit(0.0)).alias("weak"), score.alias("score"), (score >= KEEP_AT).alias("kept"))
+    z = F.aggregate(F.zip_with("buckets__", "shares__", lambda b, s: F.get(by_bucket, b) * s), F.lit(float(weights[-1])), lambda a, v: a + v)
+    score = F.when(F.col("n_words__") > 0, 1 / (1 + F.exp(-z))).otherwise(F.lit(0.0))
+    return joined.select(*names, "n_words__", F.coalesce("weak__", F.lit(0.0)).alias("weak__"), score.alias("score__"), (score >= KEEP_AT).alias("kept__"))
+
+
+def classified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_words, weak (posterior of good), score and kept of every row."""
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return scored(own, ["doc_id"]).select("doc_id", *[F.col(f"{c}__").alias(c) for c in ("n_words", "weak", "score", "kept")])
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,6 +207,4 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejected rows go, whatever their id."""
-    keyed = with_row_key(docs)
-    gone = classified(keyed, doc_id=ROW).where(~F.col("kept")).select(F.col("doc_id").alias(ROW))
-    return keyed.join(gone, ROW, "left_anti").select(*docs.columns)
+    return scored(docs, docs.columns).where("kept__").select(*docs.columns)

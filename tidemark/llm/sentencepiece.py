@@ -239,8 +239,9 @@ class Encoder:
         return b"".join([texts[i] for i in ids]).decode(errors="replace")[1:]
 
 
-def encode_documents(docs: DataFrame, pieces: list[tuple[str, float, int]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids, n_ids, n_bytes_ids (ids of single bytes) and round_trip."""
+def encode_documents(docs: DataFrame, pieces: list[tuple[str, float, int]], doc_id: str = "doc_id", text: str = "text", more: list[str] | None = None) -> DataFrame:
+    """doc_id, ids, n_ids, n_bytes_ids (ids of single bytes) and round_trip, and the columns ``more`` after them."""
+    more = more or []
     trie = docs.sparkSession.sparkContext.broadcast(vars(build(pieces)))  # plain values
     types = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("n_bytes_ids", pa.int64()), ("round_trip", pa.bool_())])
 
@@ -255,9 +256,10 @@ def encode_documents(docs: DataFrame, pieces: list[tuple[str, float, int]], doc_
                 flat = [None if x is None else np.array(x, np.int32) for x in ids]
                 counts = [None if x is None else len(x) for x in flat]
                 single = [None if x is None else int(encoder.is_byte[x].sum()) for x in flat]
-                yield pa.RecordBatch.from_arrays([keys, pa.array(flat, types.field("ids").type), pa.array(counts, pa.int64()), pa.array(single, pa.int64()), pa.array(same, pa.bool_())], schema=types)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(flat, types.field("ids").type), pa.array(counts, pa.int64()), pa.array(single, pa.int64()), pa.array(same, pa.bool_()), *(c.slice(low, step) for c in batch.columns[2:])], names=[*types.names, *more])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    kinds = dict(docs.dtypes)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *more).mapInArrow(run, ", ".join([SCHEMA, *[f"{c} {kinds[c]}" for c in more]]))
 
 
 def decode_documents(encoded: DataFrame, pieces: list[tuple[str, float, int]], doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -278,5 +280,5 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_corpus(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the token ids of every document that is left."""
-    return encode_documents(docs, load_pieces(spark))
+    """Pipeline stage: the token ids of every copy that is left, with its place in the training order."""
+    return encode_documents(docs, load_pieces(spark), more=[c for c in ("mix_position", "mix_copy") if c in docs.columns])

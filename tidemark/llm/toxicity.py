@@ -4,11 +4,13 @@ Learning. Units are whole words and word beginnings of 3 to 7 letters. The log-o
 a unit between toxic and other labelled documents use an informative Dirichlet prior,
 proportional to the unit's document frequency in all documents. Copies are no evidence:
 a unit counts in toxic documents as often as it has different neighbours there, which
-linear counting estimates. A unit enters the
-lexicon if its log-odds less ``DEVIATIONS`` standard deviations exceed ``LEAST_ODDS`` and
-its likelihood ratio exceeds what the best of as many chance units would reach; a word
-beginning goes where a longer unit that has it scores higher. A word
-scores what its best unit scores; any other word costs a small constant.
+counting in bitmaps of several sampling rates estimates at any number. Log-odds are
+shrunk towards 0 by ``DEVIATIONS`` standard deviations. A unit keeps its shrunk log-odds
+if they exceed ``LEAST_ODDS`` and its likelihood ratio exceeds what the best of as many
+chance units would reach; those of all others are taken as 0. A word beginning goes
+where a longer unit that has it scores higher, and only whole words speak against
+toxicity. A word scores what its best unit scores, or its negative log-odds, or 0; in
+the two last cases a small cost is taken off, so that segments end.
 
 Scoring. One linear scan finds all maximal-scoring segments of a text. A segment of
 score S in a text of n words is expected K n exp(-lambda S) times by chance (lambda is
@@ -19,11 +21,12 @@ on the training rows, is the document's score.
 Bounds, whatever the data: at most ``TRAIN_ROWS`` labelled rows (a sample by hash of
 the id) are learned from. All their units are counted and tested in Spark; only those
 that pass the likelihood ratio reach the driver. The prior's counts cover all documents.
+All documents are read twice: for the prior and for their scores.
 
 Defined results: a null, empty or wordless text has no evidence and the score of that;
 repeated rows score alike; several labels of one id count as toxic if any is; without
 a toxic and an other training row every score is 0; an empty table gives an empty
-result; other columns do not matter.
+result; other columns do not matter. Texts are scanned one at a time in linear time.
 """
 
 from __future__ import annotations
@@ -40,8 +43,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ROW, stored, table, with_row_key
+from .common import Scratch, table
 
 TRAIN_ROWS = 400_000
 MIN_DOCUMENTS = 2
@@ -53,11 +57,15 @@ GAP = 20
 CHANCE = 0.2
 MODULUS = 5
 UNIT_LENGTHS = range(3, 8)
-#: Places that contexts are hashed to; a unit that fills all of them is not a copy's.
+#: Contexts are hashed to ``PLACES`` places of one of ``RATES`` bitmaps; each bitmap gets a
+#: 32nd of what the one before it gets, so some bitmap is never full (32 ** 5 contexts).
 PLACES = 60
+RATES = 5
+FULL = 54
 
 _WORD = re.compile(r"[^\W\d_]+")
-SCORES = "doc_id bigint, n_words bigint, evidence double, n_passages bigint, spans array<struct<first:int,last:int,score:double>>"
+SCORES = "n_words bigint, evidence double, n_passages bigint, spans array<struct<first:int,last:int,score:double>>"
+_BITMAP = (1 << PLACES) - 1
 
 
 def units(word: str) -> list[str]:
@@ -81,11 +89,20 @@ def without_explained(scores: dict[str, float]) -> dict[str, float]:
     return {u: score for u, score in scores.items() if score >= longer.get(u, 0.0)}
 
 
+def context_place(before: str, after: str) -> int:
+    """The bit of a context: its place in the bitmap of its rate."""
+    h = xxhash.xxh64_intdigest(f"{before} {after}")
+    low, rate = h >> 32, 0
+    while rate < RATES - 1 and not low & 31:
+        low, rate = low >> 5, rate + 1
+    return 1 << (rate * PLACES + (h & 0xFFFFFFFF) % PLACES)
+
+
 def context_places(words: list[str]) -> dict[str, int]:
     """For each unit of a text the hashed places of its contexts (the words around it), as bits."""
     own: dict[str, int] = {}
     for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-        own[w] = own.get(w, 0) | 1 << xxhash.xxh32_intdigest(f"{before} {after}") % PLACES
+        own[w] = own.get(w, 0) | context_place(before, after)
     out: dict[str, int] = {}
     for w, bits in own.items():
         for u in units(w):
@@ -93,6 +110,15 @@ def context_places(words: list[str]) -> dict[str, int]:
     return out
 
 
+def contexts_column(used: list[Column]) -> Column:
+    """Number of different contexts from the bits set in each bitmap: linear counting in the first that is not full."""
+    count = lambda u, rate: -PLACES * F.log(1 - F.least(u, F.lit(PLACES - 1)) / PLACES) * (32.0**rate * 32 / 31)
+    out = F.when(used[0] < FULL, count(used[0], 0))
+    for rate in range(1, RATES):
+        out = out.when(used[rate] < FULL, count(used[rate], rate))
+    return out
+
+
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first, after last, score) of a sequence, in one scan."""
     # first, after last, sum before, sum after, nearest earlier entry with a smaller sum before
@@ -130,7 +156,7 @@ class Model:
         for w in set(words):
             if w not in known:
                 best = max((get(u, 0.0) for u in units(w)), default=0.0)
-                known[w] = best if best > 0 else cost
+                known[w] = best if best > 0 else cost + min(get("=" + w, 0.0), 0.0)
         return np.fromiter((known[w] for w in words), np.float64, len(words))
 
     def passages(self, text: str | None, known: dict[str, float]) -> tuple[int, float, list[tuple[int, int, float]]]:
@@ -154,25 +180,31 @@ def training_rows(labels: DataFrame, bound: int = TRAIN_ROWS) -> tuple[np.ndarra
     return np.array([d for d, _ in got], np.int64), np.array([t for _, t in got], np.int8)
 
 
-def _labels_of(ids: pa.Array, known: np.ndarray, labels: np.ndarray) -> list[int]:
-    """Label of each id, -1 where it has none."""
-    keys = np.array([0 if x is None else x for x in ids.to_pylist()], np.int64)
-    if not len(known):
-        return [-1] * len(keys)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    there = (known[at] == keys) & np.array([x is not None for x in ids.to_pylist()], bool)
-    return np.where(there, labels[at], -1).tolist()
+def labelled_texts(docs: DataFrame, labels: DataFrame, work: Scratch) -> tuple[DataFrame, int, bool]:
+    """toxic and text of the training rows, as a written table; their number; whether both labels occur."""
+    ids, toxic = training_rows(labels)
+    known = docs.sparkSession.createDataFrame(pa.table({"known_id": ids, "toxic": toxic.astype(np.int32)}))
+    rows = docs.join(F.broadcast(known), F.col("doc_id") == F.col("known_id"))  # at most TRAIN_ROWS rows of two numbers
+    return work.stored(rows.select("toxic", "text"), "toxicity-labelled"), len(ids), bool(len(ids)) and toxic.min() != toxic.max()
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of the labelled documents (columns doc_id, text; doc_id, toxic)."""
-    spark = docs.sparkSession
-    ids, toxic = training_rows(labels)
-    empty = Model({}, 1.0, 1.0, 1.0)
-    if not len(ids) or toxic.min() == toxic.max():
-        return empty
-    sample = spark.sparkContext.broadcast((ids, toxic))
+    work = Scratch(docs.sparkSession)
+    labelled, n, both = labelled_texts(docs, labels, work)
+    model = _lexicon(docs, labelled, n, work) if both else Model({}, 1.0, 1.0, 1.0)
+    if model.scores:
+        model.rate, model.base = _chance(labelled.where("toxic = 0").select("text"), model)
+        model = calibrate(model, labelled)
+    work.drop(*[t for t, _ in work.paths])
+    return model
+
+
+def _lexicon(docs: DataFrame, labelled: DataFrame, n_rows: int, work: Scratch) -> Model:
+    """Units with their shrunk log-odds, and the cost of other words."""
+    spark, empty = docs.sparkSession, Model({}, 1.0, 1.0, 1.0)
     n_documents = docs.count()
+    bitmaps = [f"places{k}" for k in range(RATES)]
 
     def labelled_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_units: dict[str, list[str]] = {}
@@ -181,14 +213,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
         def rows() -> pa.RecordBatch:
             seen = list(counts[0].keys() | counts[1].keys())
-            columns = [[c[u] for u in seen] for c in counts]
-            return pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *(pa.array(c, pa.int64()) for c in columns), pa.array([places.get(u, 0) for u in seen], pa.int64())], names=["unit", "d0", "d1", "places"])
+            columns = [[c[u] for u in seen] for c in counts] + [[places.get(u, 0) >> k * PLACES & _BITMAP for u in seen] for k in range(RATES)]
+            return pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["unit", "d0", "d1", *bitmaps])
 
         for batch in batches:
-            for k, label in enumerate(_labels_of(batch.column(0), *sample.value)):
-                if label < 0:
-                    continue
-                text = _WORD.findall((batch.column(1)[k].as_py() or "").lower())
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = _WORD.findall((text.as_py() or "").lower())
                 words = set(text)
                 if len(word_units) > 100_000:
                     word_units.clear()
@@ -205,17 +235,20 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                     counts, places = (Counter(), Counter()), {}
         yield rows()
 
-    seen = docs.mapInArrow(labelled_units, "unit string, d0 bigint, d1 bigint, places bigint").groupBy("unit").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"), F.bit_count(F.bit_or("places")).alias("used"))
-    contexts = F.when(F.col("used") < PLACES, -PLACES * F.log(1 - F.col("used") / PLACES))
-    own = F.when(F.col("unit") == "", F.col("d1").cast("double")).otherwise(F.least(F.col("d1").cast("double"), contexts))
-    counted_units = stored(seen.select("unit", F.col("d0").cast("double").alias("d0"), own.alias("d1")).where((F.col("unit") == "") | (F.col("d1") >= MIN_DOCUMENTS)), "toxicity-units")
+    made = labelled.mapInArrow(labelled_units, "unit string, d0 bigint, d1 bigint, " + ", ".join(f"{b} bigint" for b in bitmaps))
+    seen = made.groupBy("unit").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"), *[F.bit_or(b).alias(b) for b in bitmaps])
+    own = F.when(F.col("unit") == "", F.col("d1").cast("double")).otherwise(F.least(F.col("d1").cast("double"), contexts_column([F.bit_count(b) for b in bitmaps])))
+    counted_units = work.stored(seen.select("unit", F.col("d0").cast("double").alias("d0"), own.alias("d1")).where((F.col("unit") == "") | (F.col("d1") >= MIN_DOCUMENTS) | ((F.col("d0") >= MIN_DOCUMENTS) & F.startswith("unit", F.lit("=")))), "toxicity-units")
     totals = counted_units.where("unit = ''").first()
-    n_units = counted_units.where("unit != ''").count()
-    if totals is None or not n_units or not totals.d0 or not totals.d1:
+    size = counted_units.where("unit != ''").agg(F.count("*").alias("n"), F.count_if(F.col("d1") >= MIN_DOCUMENTS).alias("n1")).first()
+    if totals is None or not size.n1 or not totals.d0 or not totals.d1:
         return empty
     n0, n1 = totals.d0, totals.d1
+    share = n1 / (n0 + n1)
     # The likelihood ratio needs labelled rows only, so every unit is tested where it is counted.
-    told = counted_units.where((F.col("unit") != "") & (surprise_column(F.col("d1"), F.col("d0"), n1 / (n0 + n1)) > 2 * math.log(n_units + 1))).orderBy("unit").collect()
+    surprise, more = surprise_column(F.col("d1"), F.col("d0"), share), F.col("d1") > share * (F.col("d1") + F.col("d0"))
+    passes = F.when(more, (F.col("d1") >= MIN_DOCUMENTS) & (surprise > 2 * math.log(size.n1 + 1))).otherwise(F.startswith("unit", F.lit("=")) & (surprise > 2 * math.log(size.n + 1)))
+    told = counted_units.where((F.col("unit") != "") & passes).orderBy("unit").collect()
     if not told:
         return empty
     names, d0, d1 = [r.unit for r in told], np.array([r.d0 for r in told]), np.array([r.d1 for r in told])
@@ -226,7 +259,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         counts = np.zeros(len(index) + 1, np.int64)  # last place: distinct words of the documents
         word_units: dict[str, list[int]] = {}
         for batch in batches:
-            for x in batch.column(1):
+            for x in batch.column(0):
                 words = set(_WORD.findall((x.as_py() or "").lower()))
                 own: set[int] = set()
                 if len(word_units) > 300_000:
@@ -241,83 +274,72 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         full = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(counts[full], pa.int64())], names=["i", "d"])
 
-    sums = docs.mapInArrow(counted, "i bigint, d bigint").groupBy("i").agg(F.sum("d").alias("d")).toPandas()
+    sums = docs.select("text").mapInArrow(counted, "i bigint, d bigint").groupBy("i").agg(F.sum("d").alias("d")).toPandas()
     all_counts = np.zeros(len(names) + 1)
     all_counts[sums["i"].to_numpy()] = sums["d"].to_numpy()
     d = all_counts[:-1]
-    documents = max(5.0, PRIOR * len(ids))
+    documents = max(5.0, PRIOR * n_rows)
     prior = documents * (d + 0.5) / (n_documents + 1)
     strength = documents * all_counts[-1] / max(n_documents, 1)
     odds = np.log((d1 + prior) / (n1 + strength)) - np.log((d0 + prior) / (n0 + strength))
-    low = odds - DEVIATIONS * np.sqrt(1 / (d1 + prior) + 1 / (d0 + prior))
-    chosen = np.flatnonzero(low > LEAST_ODDS)
-    if not len(chosen):
+    spread = DEVIATIONS * np.sqrt(1 / (d1 + prior) + 1 / (d0 + prior))
+    toxic = without_explained({names[i]: float(odds[i] - spread[i]) for i in np.flatnonzero(odds - spread > LEAST_ODDS)})
+    if not toxic:
         return empty
-    scores = without_explained({names[i]: float(low[i]) for i in chosen})
-    cost = float(np.median(list(scores.values()))) / GAP
-    model = Model(scores, cost, 1.0, 1.0)
-    model.rate, model.base = _chance(docs, sample, model)
-    return model
+    other = {names[i]: float(odds[i] + spread[i]) for i in np.flatnonzero(odds + spread < -LEAST_ODDS) if names[i].startswith("=")}
+    cost = float(np.median(list(toxic.values()))) / GAP
+    return Model({**other, **toxic}, cost, 1.0, 1.0)
 
 
-def _chance(docs: DataFrame, sample, model: Model) -> tuple[float, float]:
+def _chance(texts: DataFrame, model: Model) -> tuple[float, float]:
     """lambda and K from the scores of words in documents labelled as not toxic.
 
     lambda solves E[exp(lambda s)] = 1; K is the usual bound's share of words that
-    start a positive run. Scores are rounded to tenths, so few rows come back.
+    start a positive run. Scores are rounded to hundredths, so few rows come back.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain values: a task builds the model anew
+    shared = texts.sparkSession.sparkContext.broadcast(vars(model))  # plain values: a task builds the model anew
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, own = {}, Model(**shared.value)
         counts: Counter = Counter()
         for batch in batches:
-            for k, label in enumerate(_labels_of(batch.column(0), *sample.value)):
-                if label == 0:
-                    s = own.word_scores(_WORD.findall((batch.column(1)[k].as_py() or "").lower()), known)
-                    values, n = np.unique(np.round(s[s > 0], 1), return_counts=True)
-                    counts.update(dict(zip(values.tolist(), n.tolist(), strict=True)))
-                    counts[-1.0] += int((s <= 0).sum())
+            for x in batch.column(0):
+                values, n = np.unique(np.round(own.word_scores(_WORD.findall((x.as_py() or "").lower()), known), 2), return_counts=True)
+                counts.update(dict(zip(values.tolist(), n.tolist(), strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.float64()), pa.array(list(counts.values()), pa.int64())], names=["s", "n"])
 
-    rows = docs.mapInArrow(histogram, "s double, n bigint").groupBy("s").agg(F.sum("n").alias("n")).collect()
+    rows = texts.mapInArrow(histogram, "s double, n bigint").groupBy("s").agg(F.sum("n").alias("n")).collect()
     n = sum(r.n for r in rows) + 1.0
-    typical = float(np.median(list(model.scores.values())))
-    chance = [(r.s if r.s > 0 else -model.cost, r.n / n) for r in rows] + [(typical, 0.5 / n)]
-    low, high = 1e-3, 20.0
-    for _ in range(60):
+    typical = float(np.median([s for s in model.scores.values() if s > 0]))
+    chance = [(r.s, r.n / n) for r in rows] + [(typical, 0.5 / n)]
+    low, high = 1e-6, 50.0
+    for _ in range(80):
         middle = (low + high) / 2
-        with np.errstate(over="ignore"):
-            grows = sum(p * math.exp(min(700.0, middle * s)) for s, p in chance) > 1
+        grows = sum(p * math.exp(min(700.0, middle * s)) for s, p in chance) > 1
         low, high = (low, middle) if grows else (middle, high)
-    return min(max(low, 0.05), 3.0), max(sum(p for s, p in chance if s > 0), 1.0 / n)
+    return low, max(sum(p for s, p in chance if s > 0), 1.0 / n)
 
 
-def evidence(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_words, evidence, n_passages and spans (word places) of every row, and a third column if there is one."""
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain values: a task builds the model anew
-    more = docs.columns[2:]
+def evidence(rows: DataFrame, model: Model) -> DataFrame:
+    """The columns of ``rows`` but for the last, the text; n_words, evidence, n_passages and spans (word places) of every row."""
+    shared = rows.sparkSession.sparkContext.broadcast(vars(model))  # plain values: a task builds the model anew
+    kept = rows.columns[:-1]
     span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, own = {}, Model(**shared.value)
         for batch in batches:
-            rows = [own.passages(x.as_py(), known) for x in batch.column(1)]
-            spans = [[{"first": a, "last": b, "score": s} for a, b, s in r[2]] for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([len(r[2]) for r in rows], pa.int64()), pa.array(spans, span), *batch.columns[2:]], names=["doc_id", "n_words", "evidence", "n_passages", "spans", *more])
+            made = [own.passages(x.as_py(), known) for x in batch.columns[-1]]
+            spans = [[{"first": a, "last": b, "score": s} for a, b, s in r[2]] for r in made]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([r[0] for r in made], pa.int64()), pa.array([r[1] for r in made], pa.float64()), pa.array([len(r[2]) for r in made], pa.int64()), pa.array(spans, span)], names=[*kept, "n_words", "evidence", "n_passages", "spans"])
 
-    return docs.mapInArrow(run, ", ".join([SCORES, *[f"{c} bigint" for c in more]]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *T.StructType.fromDDL(SCORES).fields]))
 
 
-def calibrate(model: Model, scored: DataFrame, labels: DataFrame) -> Model:
+def calibrate(model: Model, labelled: DataFrame) -> Model:
     """Logistic fit of the label on evidence, from its histogram over training rows."""
-    ids, toxic = training_rows(labels)
-    if not model.scores:
-        return model
-    spark = scored.sparkSession
-    known = spark.createDataFrame(pa.table({"doc_id": ids, "toxic": toxic.astype(np.int32)}))
     x = F.round(F.log1p(F.greatest(F.col("evidence"), F.lit(0.0))), 2)
-    rows = scored.select("doc_id", x.alias("x")).join(known, "doc_id").groupBy("x", "toxic").agg(F.count("*").alias("n")).collect()
+    rows = evidence(labelled, model).groupBy(x.alias("x"), "toxic").agg(F.count("*").alias("n")).collect()
     x, y, n = (np.array([r[k] for r in rows], float) for k in ("x", "toxic", "n"))
     # One observation of each kind at the ends keeps the fit finite.
     x, y, n = np.append(x, [0.0, 5.0]), np.append(y, [0.0, 1.0]), np.append(n, [1.0, 1.0])
@@ -331,16 +353,17 @@ def calibrate(model: Model, scored: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted, n_words, n_passages and spans of every row; ``row`` names a key to carry."""
-    kept = [] if row is None else [row]
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(c).cast("long").alias(c) for c in kept])
-    model = learn(own.select("doc_id", "text"), labels)
-    scored = stored(evidence(own, model), "toxicity")
-    model = calibrate(model, scored, labels)
-    score = 1 / (1 + F.exp(-(F.lit(model.intercept) + F.lit(model.slope) * F.log1p(F.greatest(F.col("evidence"), F.lit(0.0))))))
+def score_of(model: Model) -> Column:
+    return 1 / (1 + F.exp(-(F.lit(model.intercept) + F.lit(model.slope) * F.log1p(F.greatest(F.col("evidence"), F.lit(0.0))))))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, held_out, score, predicted, n_words, n_passages and spans of every row."""
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    model = learn(own, labels)
+    score = score_of(model)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % MODULUS == 0, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "n_words", "n_passages", "spans", *kept)
+    return evidence(own, model).select("doc_id", held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "n_words", "n_passages", "spans")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,7 +371,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rows predicted to be toxic go, whatever their id."""
-    keyed = with_row_key(docs)
-    found = toxicity(keyed, table(spark, sf_dir, "labels"), row=ROW)
-    return keyed.join(found.where("predicted = 1").select(ROW), ROW, "left_anti").select(*docs.columns)
+    """Pipeline stage: rows predicted to be toxic go, whatever their id; rows pass the scan with all their columns."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    model = learn(own, table(spark, sf_dir, "labels"))
+    kept = docs.select(*[F.col(c).alias(f"carried_{i}") for i, c in enumerate(docs.columns)], F.col("text").cast("string").alias("scanned"))
+    return evidence(kept, model).where(score_of(model) < 0.5).select(*[F.col(f"carried_{i}").alias(c) for i, c in enumerate(docs.columns)])
