@@ -1,30 +1,69 @@
-"""The corpus pipeline: each stage's rows are written as Parquet and read by the next."""
+"""The corpus pipeline: each stage's rows are written as Parquet and read by the next.
+
+Every stage judges each row by its own verdict: rows without an id, of one id or equal in
+every column, empty and very long texts and extra columns have the results that the stage
+functions state. An empty table stays empty. All stages but the last return the columns of
+documents; mixing adds mix_position and mix_copy, the place of a copy in the training
+order, which the last stage passes on, since files read back need not keep an order.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import delete, stored, written
 from tidemark.llm.jaccard_join import one_of_each
 from tidemark.llm.mixture import mix_documents
 from tidemark.llm.quality_classifier import drop_rejected
 from tidemark.llm.sentencepiece import encode_corpus
 from tidemark.llm.toxicity import drop_toxic
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Scratch tables that the last call of each stage has written, by the stage's place.
+_LEFT: dict[int, list[str]] = {}
+
+
+def _stage(place: int, operator: Stage) -> Stage:
+    """The operator; the scratch tables of the stage before it go first.
+
+    A stage is called when its predecessor's rows have been written, so nothing reads
+    that one's scratch tables any more.
+    """
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete(spark, *_LEFT.pop(place - 1, []))
+        before = set(written())
+        out = operator(spark, docs, sf_dir)
+        _LEFT[place] = [path for path in written() if path not in before]
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", drop_rejected),
-    ("toxicity", drop_toxic),
-    ("n-gram Jaccard join", one_of_each),
-    ("mixing sources to target weights", mix_documents),
-    ("SentencePiece encoding and decoding", encode_corpus),
+    (name, _stage(place, operator))
+    for place, (name, operator) in enumerate(
+        [
+            ("quality classifier", drop_rejected),
+            ("toxicity", drop_toxic),
+            ("n-gram Jaccard join", one_of_each),
+            ("mixing sources to target weights", mix_documents),
+            ("SentencePiece encoding and decoding", encode_corpus),
+        ]
+    )
 ]
 
-#: The classifiers' fits and the Viterbi encoding have no SQL form; tests/llm compares them.
+#: The classifiers' fits and the Viterbi encoding have no SQL form; tests/llm/test_pipeline.py compares the rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        delete(spark, *last)
+        last = written()[-1:]
     return docs
