@@ -187,7 +187,8 @@ def _signed(shingles: np.ndarray, tiles: Tiles, seed: int) -> tuple:
 def shingle_sets(rows: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFrame:
     """node and sorted shingles of each wanted (node, digest); ``rows`` has digest and text.
 
-    Another text with a wanted digest does no harm: its node is not wanted.
+    A digest is that of an id and a text, so of a node's copies one row is read. Another
+    row with a wanted digest does no harm: its node is not wanted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,7 +450,7 @@ def components(links: DataFrame, work: Scratch) -> DataFrame:
 
 def _keyed(docs: DataFrame, doc_id: str, text: str, *more) -> DataFrame:
     body = F.col(text).cast("string")
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), *more, F.xxhash64(body).alias("digest"), body.alias("text"))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), *more, F.xxhash64(F.col(doc_id).cast("long"), body).alias("digest"), body.alias("text"))
 
 
 def _signed_rows(rows: DataFrame, words: int, percent: int, work: Scratch) -> tuple[DataFrame, int]:

@@ -1,7 +1,11 @@
 """Licence scans: canonical digests of whole texts, hash-joined to known licences.
 
-A text is made canonical before it is digested: case, copyright lines, spellings
-that licence matching guidelines treat as one, then punctuation and white space.
+A text is made canonical before it is digested: case, copyright notices (lines that begin
+with one and name a year or a sign), a title line, punctuation and white space, then
+spellings that licence matching guidelines treat as one, word by word.
+
+Known are the short licences by their texts and the long ones by the digests of their
+canonical published texts; a table of any size with digest and license can stand in.
 
 Defined results: a null or empty text has the digest of the empty text and matches
 nothing; repeated rows each match; equal digests of two known licences resolve to
@@ -30,13 +34,12 @@ SPELLINGS = (
     ("copyright owner", "copyright holder"),
     ("emphasised", "emphasized"),
     ("favour", "favor"),
-    ("fulfil ", "fulfill "),
+    ("fulfil", "fulfill"),
     ("initialise", "initialize"),
     ("judgement", "judgment"),
     ("labelling", "labeling"),
     ("licence", "license"),
     ("maximise", "maximize"),
-    ("merchantability", "merchantability"),
     ("modelled", "modeled"),
     ("non commercial", "noncommercial"),
     ("organisation", "organization"),
@@ -74,6 +77,52 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
         """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    (
+        "BSD-2-Clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "BSD-3-Clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "Zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution.""",
+    ),
+    (
+        "Unlicense",
+        """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
     ),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -81,23 +130,43 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     ("MIT", "Released under the MIT License."),
 )
 
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|copr|\(c\)|©|all rights reserved)[^\n]*$"
+#: Digests of the canonical published texts of long licences.
+DIGESTS = (
+    ("Apache-2.0", "75f19b3d50ac358d9c503106b3b5462e6b3629b21d5c96b4251d3206996294cc"),
+    ("Artistic-1.0-Perl", "4eaaa9e33aeef0af0ff83ab5edac0ad421a1da9cc861c564630460107b4b772c"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2-only", "16018093d4eae05ac163ded9a99e3cee0c34973aff5e3ed77adfc4da5f190986"),
+    ("GFDL-1.3-only", "24483827fdcab070dc64c6a0befe6fe64bdb823b040af911820bc5b81121dfe3"),
+    ("GPL-1.0-only", "9132a605811c9f9a51621da0e0708f46e408e3507a3c1a9d16a5f48291082b8c"),
+    ("GPL-2.0-only", "29507662ad31f55a5ac02f26a5d8cca21add440b2dff4a9ce97e458a0ca43f7f"),
+    ("GPL-3.0-only", "25c090443e3540e3493172ea88c9181108effea290e12e68da7dcd1c51b4cd7a"),
+    ("LGPL-2.0-only", "f17ebefdba4ae01060494f3396c1bc854578b6eaafaa6fe8abcf7a94e7fc2a6e"),
+    ("LGPL-2.1-only", "50866b22e296e073a398813dc84c4c9dec94ed1ee7d617c063eb6851a562b9d4"),
+    ("LGPL-3.0-only", "e1c7b25e9116bcad127297bbfb82e6a89822822ba6bfa3af9eae995aad877765"),
+    ("MPL-1.1", "c039bb0fc3c54dd18059158ef69b64e26584392db797991e64f95ed4ac8ac92f"),
+    ("MPL-2.0", "e07dcdcc3b2c19db7e604dfb1498cc5dafa0e9cecf6ffc44f7c2b093fe9bafc2"),
+)
+
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:(?:copyright|copr)\b[^\n]*(?:\b(?:19|20)[0-9][0-9]\b|\(c\)|©|[<\[{] ?(?:year|yyyy))|\(c\)|©|all rights reserved[^\p{L}\p{N}\n]*$)[^\n]*$"
+TITLE_LINE = r"^\s*[^\n]{0,60}\blicen[cs]e\b[^\n]{0,24}\n"
 
 
 def canonical(text: Column) -> Column:
-    """The form of a text that is digested."""
+    """The form of a text that is digested; words stand apart by two spaces while they are replaced."""
     c = F.lower(F.coalesce(text, F.lit("")))
     c = F.regexp_replace(c, COPYRIGHT_LINE, " ")
-    c = F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")
+    c = F.regexp_replace(c, TITLE_LINE, " ")
+    c = F.concat(F.lit(" "), F.regexp_replace(c, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
     for old, new in SPELLINGS:
-        c = F.replace(c, F.lit(old), F.lit(new))
-    return F.trim(c)
+        c = F.replace(c, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
+    return F.trim(F.replace(c, F.lit("  "), F.lit(" ")))
 
 
-def known_licenses(spark: SparkSession, known=KNOWN) -> DataFrame:
+def known_licenses(spark: SparkSession, known=KNOWN, digests=DIGESTS) -> DataFrame:
     """digest and license of each known text."""
-    raw = spark.createDataFrame(list(known), "license string, text string")
-    return raw.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license").alias("license"))
+    raw = spark.createDataFrame(list(known), "license string, text string").select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license")
+    long = spark.createDataFrame(list(digests), "license string, digest string").select("digest", "license")
+    return raw.unionByName(long).groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,15 +185,17 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _canonical_sql(text: str) -> str:
     c = f"regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', ' ', 'g')"
-    c = f"regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
+    c = f"regexp_replace({c}, '{TITLE_LINE}', ' ')"
+    c = f"' ' || regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || ' '"
     for old, new in SPELLINGS:
-        c = f"replace({c}, '{old}', '{new}')"
-    return f"trim({c})"
+        c = f"replace({c}, ' {old.replace(' ', '  ')} ', ' {new.replace(' ', '  ')} ')"
+    return f"trim(replace({c}, '  ', ' '))"
 
 
 ORACLE = f"""
 WITH known(license, text) AS (VALUES {", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in KNOWN)}),
-digests AS (SELECT sha256({_canonical_sql("text")}) AS digest, min(license) AS license FROM known GROUP BY 1),
+published(license, digest) AS (VALUES {", ".join(f"('{n}', '{d}')" for n, d in DIGESTS)}),
+digests AS (SELECT digest, min(license) AS license FROM (SELECT sha256({_canonical_sql("text")}) AS digest, license FROM known UNION ALL SELECT digest, license FROM published) GROUP BY 1),
 docs AS (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest FROM documents)
 SELECT doc_id, digest, license FROM docs LEFT JOIN digests USING (digest)
 """

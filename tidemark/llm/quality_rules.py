@@ -1,7 +1,8 @@
 """Quality rules, line first: failing lines go, then documents that lose too much.
 
-Every line with a word is judged on its own: heavy symbols, shouting, table or menu
-rows without a sentence, navigation and boilerplate phrases. A document is kept if
+Every line with a word is judged on its own: long lines that do not end like a sentence,
+heavy symbols, shouting, table or menu rows, navigation and boilerplate phrases (in
+English, German, French and Spanish). Lines that fail are removed. A document is kept if
 it is not failed by the base rules on the whole text and at least half of its words
 stand on lines that pass.
 
@@ -35,9 +36,14 @@ SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _ENDS = (b".", b"!", b"?", b'"', b"'", b":", b";", b",", b")", "”".encode(), "…".encode(), "»".encode())
+#: A line of so many words is running text and must end like a sentence.
+MIN_SENTENCE_WORDS = 8
 #: Phrases of menus, notices and forms; a short line with one of them fails.
 _BOILERPLATE = re.compile(
-    rb"\b(all rights reserved|cookie policy|accept (all )?cookies|privacy policy|terms of (use|service)|javascript (is|must be) (disabled|enabled)|enable javascript|skip to (main )?content|back to top|read more|click here|sign (in|up)|log ?in|subscribe|share (this|on)|follow us|next page|previous page|site ?map)\b",
+    rb"\b(all rights reserved|cookie policy|accept (all )?cookies|privacy policy|terms of (use|service)|javascript (is|must be) (disabled|enabled)|enable javascript|skip to (main )?content|back to top|read more|click here|sign (in|up)|log ?in|subscribe|share (this|on)|follow us|next page|previous page|site ?map"
+    rb"|alle rechte vorbehalten|datenschutz(erkl\xc3\xa4rung)?|nutzungsbedingungen|impressum|cookies akzeptieren|weiterlesen|hier klicken|anmelden|n\xc3\xa4chste seite|nach oben"
+    rb"|tous droits r\xc3\xa9serv\xc3\xa9s|politique de confidentialit\xc3\xa9|mentions l\xc3\xa9gales|accepter les cookies|lire la suite|cliquez ici|se connecter|page suivante|haut de page"
+    rb"|todos los derechos reservados|pol\xc3\xadtica de (privacidad|cookies)|aviso legal|aceptar (las )?cookies|leer m\xc3\xa1s|haga clic|iniciar sesi\xc3\xb3n|p\xc3\xa1gina siguiente|volver arriba)\b",
     re.IGNORECASE,
 )
 _MENU = re.compile(rb"\s(\||\xc2\xbb|>|/|\xe2\x80\xa2|\xc2\xb7)\s")
@@ -54,7 +60,7 @@ def repeated_words(words: list[bytes], size: int = WINDOW) -> int:
     at = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.uint64, len(words))
     if len(ids) == len(words):
         return 0
-    # Two mixed sums of the words' numbers stand for a window; equal ones are compared below.
+    # A 64-bit mix of its words' numbers stands for a window.
     mixed = (at + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
@@ -83,7 +89,7 @@ def bad_line(line: bytes, words: list[bytes]) -> bool:
         return True
     if line.count(b"!") * 2 > n >= MIN_SHOUTED_WORDS or n >= MIN_SHOUTED_WORDS and sum(w.upper() == w and w.lower() != w for w in words) > MAX_SHOUTED_SHARE * n:
         return True
-    if not line.rstrip(SPACE).endswith(_ENDS) and (n <= 12 and len(_MENU.findall(line)) >= 2):
+    if not line.rstrip(SPACE).endswith(_ENDS) and (n >= MIN_SENTENCE_WORDS or len(_MENU.findall(line)) >= 2):
         return True
     if n <= 12 and _BOILERPLATE.search(line):
         return True
@@ -116,9 +122,9 @@ def judge(text: bytes) -> tuple:
     return n, chars, symbols, repeats, in_repeats, lines, bad, good_words, failed, not failed and good_words >= MIN_KEPT_SHARE * n
 
 
-def cleaned(text: str) -> str:
+def cleaned(text: bytes) -> bytes:
     """The text without its failing lines."""
-    return "\n".join(x for x in text.split("\n") if not (words := x.encode().split()) or not bad_line(x.encode(), words))
+    return b"\n".join(x for x in text.split(b"\n") if not (words := x.split()) or not bad_line(x, words))
 
 
 def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -134,5 +140,21 @@ def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def clean_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that are kept, without their failing lines; all columns stay."""
+    names = docs.columns
+    at = names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.as_py() or b"" for x in batch.column(at).cast(pa.binary())]
+            keep = [judge(x)[-1] for x in texts]
+            new = pa.array([cleaned(x).decode() for x, k in zip(texts, keep, strict=True) if k], pa.string())
+            left = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(left.columns)], names=names)
+
+    return docs.withColumn(text, F.col(text).cast("string")).mapInArrow(run, docs.withColumn(text, F.col(text).cast("string")).schema)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"))

@@ -7,6 +7,12 @@ across (before each run of whitespace markers, which is checked against the
 vocabulary); each part's best segmentation is found by Viterbi and short parts are
 remembered, so frequent words cost one lookup.
 
+The method needs logarithms of probabilities. A unigram model's scores are that and are
+used as they are. A BPE model's scores are minus the merge rank; its vocabulary is used
+with the probabilities that the Zipf-Mandelbrot law gives the ranks, normalised over all
+pieces, since tokenizers are not trained here. Such ids are a unigram segmentation with
+that vocabulary, not the model's own merges. Models that normalise text are refused.
+
 A character without a piece becomes its bytes' pieces. A whitespace marker that
 stands in the text itself is also written as bytes, so decoding gives every text back.
 
@@ -32,6 +38,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Fixed values of the model format: kinds of pieces.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: Model types, and the shift of ranks in the Zipf-Mandelbrot law.
+UNIGRAM, BPE = 1, 2
+RANK_SHIFT = 2.7
 UNKNOWN_PENALTY = 10.0
 REMEMBERED_CHARS = 48
 REMEMBERED_PARTS = 400_000
@@ -89,12 +98,31 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 
 def parse_model(data: bytes) -> list[tuple[str, float, int]]:
-    pieces = []
+    """(piece, log score, kind) by id; raises ValueError for a model that this module can't follow."""
+    pieces, trainer, normaliser = [], {}, {}
     for field, value in _fields(data):
         if field == 1:
             own = dict(_fields(value))
             pieces.append((own.get(1, b"").decode(), float(np.frombuffer(own.get(2, b"\0\0\0\0"), "<f4")[0]), int(own.get(3, NORMAL))))
-    return pieces
+        elif field == 2:
+            trainer = dict(_fields(value))
+        elif field == 3:
+            normaliser = dict(_fields(value))
+    kind = trainer.get(3, UNIGRAM)
+    if kind not in (UNIGRAM, BPE):
+        raise ValueError(f"model type {kind} has no scores to segment by")
+    if normaliser.get(2) or not normaliser.get(3, 1) or normaliser.get(4, 1) or not normaliser.get(5, 1):
+        raise ValueError("the model normalises text: only identity with a leading marker and kept spaces is read")
+    return pieces if kind == UNIGRAM else ranked(pieces)
+
+
+def ranked(pieces: list[tuple[str, float, int]]) -> list[tuple[str, float, int]]:
+    """The pieces with logarithms of probabilities by the rank of their scores."""
+    order = sorted((i for i, p in enumerate(pieces) if p[2] == NORMAL), key=lambda i: -pieces[i][1])
+    logs = -np.log(np.arange(len(order)) + 1 + RANK_SHIFT)
+    logs -= np.log(np.exp(logs).sum())
+    scores = dict(zip(order, logs.tolist(), strict=True))
+    return [(p, scores.get(i, s), kind) for i, (p, s, kind) in enumerate(pieces)]
 
 
 def build(pieces: list[tuple[str, float, int]]) -> Pieces:

@@ -1,7 +1,7 @@
 """WARC archives compressed with Zstandard: writer and validating reader.
 
-An archive starts with a skippable frame that holds the dictionary of the rest; each
-record is one frame of its own. Every task writes its rows to archives of bounded
+An archive starts with a skippable frame that holds the dictionary of the rest, always;
+each record is one frame of its own. Every task writes its rows to archives of bounded
 size and reports them in a manifest table; only files that a committed manifest row
 names are read, so what a lost or repeated attempt has left behind is never seen.
 The reader decodes one frame at a time and checks version, headers, lengths and
@@ -41,7 +41,13 @@ DATE = "2024-01-01T00:00:00Z"
 ARCHIVE_BYTES = 32 << 20
 SAMPLE_BYTES = 1 << 20
 DICTIONARY_BYTES = 64 << 10
+#: Records are cut into parts of this size to train from, up to so many bytes of each.
+SAMPLE_PART = 4 << 10
+SAMPLE_HEAD = 128 << 10
 LEVEL = 3
+#: A reading task gets about so many bytes of archives, and a page's digest is dealt to so many parts.
+READ_BYTES = 64 << 20
+SALTS = 16
 
 MANIFEST = "path string, records bigint, bytes bigint"
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
@@ -131,15 +137,16 @@ def _filesystem(path: str):
 
 
 def _train(samples: list[bytes]) -> bytes:
-    """A dictionary for the samples; empty where they are too few or too alike."""
+    """A dictionary for the records to come: trained, or the beginnings themselves where they are too few or too alike."""
     import zstandard
 
-    if len(samples) < 16:
-        return b""
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    parts = [x[at : at + SAMPLE_PART] for x in samples for at in range(0, min(len(x), SAMPLE_HEAD), SAMPLE_PART)]
+    if len(parts) >= 16:
+        try:
+            return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    return b"".join(x[:SAMPLE_PART] for x in samples)[:DICTIONARY_BYTES]
 
 
 class _Archive:
@@ -167,12 +174,10 @@ class _Archive:
         store, path = _filesystem(self.path)
         store.create_dir(os.path.dirname(path), recursive=True)
         self.out = store.open_output_stream(path, compression=None)
-        trained = _train([x for x in self.waiting if len(x) <= 128 << 10])
-        if trained:
-            packed = zstandard.ZstdCompressor(level=LEVEL).compress(trained)
-            self._write(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
-        using = {"dict_data": zstandard.ZstdCompressionDict(trained)} if trained else {}
-        self.compressor = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, **using)
+        trained = _train(self.waiting)
+        packed = zstandard.ZstdCompressor(level=LEVEL).compress(trained)
+        self._write(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
+        self.compressor = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, dict_data=zstandard.ZstdCompressionDict(trained))
         for data in self.waiting:
             self._put(data)
         self.waiting = []
@@ -220,6 +225,8 @@ def frames(source) -> Iterator[bytes]:
 
     head = source.read(8)
     trained = b""
+    if not head:
+        return
     if len(head) == 8 and struct.unpack("<I", head[:4])[0] == DICTIONARY_MAGIC:
         trained = source.read(struct.unpack("<I", head[4:])[0])
         if not trained.startswith(ZSTD_DICTIONARY_MAGIC):
@@ -272,22 +279,31 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, refers_to and revisit of every row.
 
-    Only payloads that occur more than once go into the side that decides; the side
-    with the payloads may be skewed, and the join splits it at run time.
+    Keepers are found from digests and ids alone, pre-aggregated. Each keeper of a
+    repeated payload then meets the pages in ``SALTS`` parts, so one payload that a
+    third of the pages share is spread over as many tasks.
     """
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"))
+    salt = F.pmod(F.xxhash64(F.col(page_id), F.col(url)), F.lit(SALTS))
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"), salt.alias("salt"))
     large = rows.where(F.octet_length("payload") >= min_bytes) if min_bytes > 0 else rows
     repeated = large.groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("sha1", "keeper")
+    keepers = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     revisit = F.coalesce(F.col("keeper") != F.col("page_id"), F.col("keeper").isNotNull())
-    return rows.join(repeated, "sha1", "left").withColumn("revisit", revisit).withColumn("refers_to", F.when(F.col("revisit"), F.col("keeper")))
+    return rows.join(keepers, ["sha1", "salt"], "left").withColumn("revisit", revisit).withColumn("refers_to", F.when(F.col("revisit"), F.col("keeper")))
+
+
+def dealt(manifest: DataFrame) -> DataFrame:
+    """The archives of a written manifest, dealt to a number of reading tasks that grows with their bytes."""
+    size = manifest.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    tasks = max(min(size.n, manifest.sparkSession.sparkContext.defaultParallelism), -(-(size.bytes or 0) // READ_BYTES), 1)
+    return manifest.repartition(tasks, "path")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_revisits(table(spark, sf_dir, "pages"))
     manifest = stored(write_archives(rows, scratch(spark, "warc")), "warc-manifest")
-    each = manifest.repartition("path")
-    return read_archives(each, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(dealt(manifest), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
