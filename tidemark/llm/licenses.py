@@ -132,23 +132,23 @@ For more information, please refer to <https://unlicense.org>""",
 
 #: Digests of the canonical published texts of long licences.
 DIGESTS = (
-    ("Apache-2.0", "75f19b3d50ac358d9c503106b3b5462e6b3629b21d5c96b4251d3206996294cc"),
+    ("Apache-2.0", "4580e5390400d27df89edd0617548ac0e66eaa029f6e07cf98aac9cd100b3a37"),
     ("Artistic-1.0-Perl", "4eaaa9e33aeef0af0ff83ab5edac0ad421a1da9cc861c564630460107b4b772c"),
     ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
-    ("GFDL-1.2-only", "16018093d4eae05ac163ded9a99e3cee0c34973aff5e3ed77adfc4da5f190986"),
-    ("GFDL-1.3-only", "24483827fdcab070dc64c6a0befe6fe64bdb823b040af911820bc5b81121dfe3"),
-    ("GPL-1.0-only", "9132a605811c9f9a51621da0e0708f46e408e3507a3c1a9d16a5f48291082b8c"),
-    ("GPL-2.0-only", "29507662ad31f55a5ac02f26a5d8cca21add440b2dff4a9ce97e458a0ca43f7f"),
-    ("GPL-3.0-only", "25c090443e3540e3493172ea88c9181108effea290e12e68da7dcd1c51b4cd7a"),
-    ("LGPL-2.0-only", "f17ebefdba4ae01060494f3396c1bc854578b6eaafaa6fe8abcf7a94e7fc2a6e"),
-    ("LGPL-2.1-only", "50866b22e296e073a398813dc84c4c9dec94ed1ee7d617c063eb6851a562b9d4"),
-    ("LGPL-3.0-only", "e1c7b25e9116bcad127297bbfb82e6a89822822ba6bfa3af9eae995aad877765"),
-    ("MPL-1.1", "c039bb0fc3c54dd18059158ef69b64e26584392db797991e64f95ed4ac8ac92f"),
-    ("MPL-2.0", "e07dcdcc3b2c19db7e604dfb1498cc5dafa0e9cecf6ffc44f7c2b093fe9bafc2"),
+    ("GFDL-1.2-only", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.3-only", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GPL-1.0-only", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0-only", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0-only", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("LGPL-2.0-only", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1-only", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "1cfb6cca26abe2169c9c61164807107b2d4a0b64955a2cf2de46fad3483acda1"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
 )
 
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:(?:copyright|copr)\b[^\n]*(?:\b(?:19|20)[0-9][0-9]\b|\(c\)|©|[<\[{] ?(?:year|yyyy))|\(c\)|©|all rights reserved[^\p{L}\p{N}\n]*$)[^\n]*$"
-TITLE_LINE = r"^\s*[^\n]{0,60}\blicen[cs]e\b[^\n]{0,24}\n"
+TITLE_LINE = r"^\s*[^\n]{0,60}\blicen[cs]e\b[^\n]{0,24}\n\s*\n"
 
 
 def canonical(text: Column) -> Column:
