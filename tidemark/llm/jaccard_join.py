@@ -384,9 +384,9 @@ def _with_partner(rows: DataFrame, sig: DataFrame, percent: int, work: Scratch)
                 yield pa.RecordBatch.from_arrays([pa.array([own.key] * len(at), pa.int64()), pa.array(own.node[sorted(at)])], names=["key", "node"])
 
     likely = work.stored(_dealt(rows.join(sig, "node"), "bits").mapInArrow(run, "key bigint, node bigint").distinct(), "jaccard-flagged")
-    again = _with_others(rows.join(likely, ["key", "node"], "left_semi")).join(sig, "node")
-    out = work.stored(_dealt(again, "bits").mapInArrow(run, "key bigint, node bigint").distinct(), "jaccard-flagged")
-    work.drop(likely)
+    again = work.stored(rows.join(likely, ["key", "node"], "left_semi"), "jaccard-flagged")
+    out = work.stored(_dealt(_with_others(again).join(sig, "node"), "bits").mapInArrow(run, "key bigint, node bigint").distinct(), "jaccard-flagged")
+    work.drop(likely, again)
     return out
 
 
@@ -542,7 +542,7 @@ def _components_of(keyed: DataFrame, usable: str, words: int, percent: int) -> t
     flagged = _with_partner(open_rows, sig, percent, work)
     if flagged.take(1):
         near = _sets_of(keyed, used, flagged.select("node"), words, seed, work)
-        with_sets = _with_others(open_rows.join(flagged, ["key", "node"], "left_semi")).join(near, "node")
+        with_sets = _with_others(work.stored(open_rows.join(flagged, ["key", "node"], "left_semi"), "jaccard-open")).join(near, "node")
         last = work.stored(_spanning_links(with_sets.withColumn("n", F.expr("octet_length(shingles) div 8")), percent), "jaccard-links")
         if last.take(1):
             work.drop(comps)
