@@ -144,7 +144,7 @@ class Tiles:
         return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
-def bitmap(shingles: np.ndarray, bits: int = 2) -> bytes:
+def bitmap(shingles: np.ndarray, bits: int = 1) -> bytes:
     """Parities of the shingles by hashed place; ``bits`` places a shingle at least, a power of two."""
     size = max(64, 1 << (bits * len(shingles) - 1).bit_length())
     return np.packbits(np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
