@@ -66,14 +66,16 @@ def test_linear_models_agree_with_numpy(spark):
 
 
 def test_upserts_keep_or_replace_and_the_store_reads_the_last_version(spark, tmp_path):
-    old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
-    assert sorted(map(tuple, insert_ignore(old, new, ["k"]).collect())) == [(1, "a"), (2, "b"), (3, "d")]
-    assert sorted(map(tuple, upsert(old, new, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    new = spark.createDataFrame([(k, f"{k}-{n}", n) for n in range(9) for k in range(2, 500)], "k int, v string, n int").repartition(7)
+    kept, replaced = ({r.k: r.v for r in f(old, new, ["k"], "n").collect()} for f in (insert_ignore, upsert))
+    assert kept == {1: "a", 2: "b", **{k: f"{k}-0" for k in range(3, 500)}}
+    assert replaced == {1: "a", **{k: f"{k}-8" for k in range(2, 500)}}
     store = TableStore(spark, str(tmp_path / "store"))
     store.write("t", old)
-    store.upsert("t", new, ["k"])
-    store.upsert("t", new, ["k"])
-    assert sorted(map(tuple, store.read("t").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    for _ in range(2):
+        store.upsert("t", new.where("k < 4"), ["k"], "n")
+    assert sorted(map(tuple, store.read("t").collect())) == [(1, "a"), (2, "2-8"), (3, "3-8")]
     assert store.health(["t"]).first().rows == 3
 
 

@@ -68,8 +68,9 @@ def probability_bucket(p: Column) -> Column:
 
 def average_rank(c: Column, *by: str) -> Column:
     """Rank with ties averaged; null where the value is null."""
-    w = Window.partitionBy(*by)
-    return F.when(c.isNotNull(), F.rank().over(w.orderBy(c.asc_nulls_last())) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2)
+    w = Window.partitionBy(*by).orderBy(c.asc_nulls_last())
+    upto = F.count("*").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.when(c.isNotNull(), (F.rank().over(w) + upto) / 2)
 
 
 def percent_rank_average(c: Column, *by: str) -> Column:
@@ -89,4 +90,14 @@ def quantile_bucket(c: Column, q: int, *by: str) -> Column:
     """Equal-frequency bucket (1 up), right-closed, with repeated edges dropped."""
     edges = F.array_distinct(F.percentile(c, F.array(*[F.lit(i / q) for i in range(q + 1)])).over(Window.partitionBy(*by)))
     inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
-    return F.when(c.isNotNull(), 1 + F.size(F.filter(inner, lambda e: e < c - 1e-9)))  # an edge that is a value itself may come out a rounding error off
+    # An edge between equal values is that value but for rounding, so edges are compared relative to it.
+    return F.when(c.isNotNull(), 1 + F.size(F.filter(inner, lambda e: e < c - F.abs(c) * 1e-12)))
+
+
+def half_even(c: Column, digits: int) -> Column:
+    """Rounded to an even last digit at ties; noise beyond the eighth digit is no difference."""
+    units = F.round(c * 1e8).cast("long")
+    step = 10 ** (8 - digits)
+    whole, rest = F.floor(units / step).cast("long"), F.pmod(units, F.lit(step))
+    up = (2 * rest > step) | ((2 * rest == step) & (whole % 2 != 0))
+    return (whole + up.cast("long")) / 10**digits

@@ -104,7 +104,7 @@ def report_features(reports: DataFrame) -> DataFrame:
     )
 
 
-def feature_panel(stocks: DataFrame, prices: DataFrame, benchmark: DataFrame, reports: DataFrame) -> DataFrame:
+def feature_panel(stocks: DataFrame, prices: DataFrame, benchmark: DataFrame, reports: DataFrame, carry: list[str] = ()) -> DataFrame:
     """Every entity at every month of the benchmark with what was known then."""
     dates = benchmark.select(F.col("date").alias("feature_date")).distinct()
     base = spine(dates, stocks)
@@ -143,6 +143,7 @@ def feature_panel(stocks: DataFrame, prices: DataFrame, benchmark: DataFrame, re
         "eps_growth_acceleration",
         "revenue_growth_acceleration",
         staleness.alias("staleness_days"),
+        *carry,
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clamp, inverse_rank_score, rank_score
+from ..functions.scalars import clamp, inverse_rank_score, rank_score, half_even
 
 #: Component weights, thresholds, labels.
 WEIGHTS = {"probability": 0.35, "excess": 0.25, "agreement": 0.15, "risk": 0.10, "data_quality": 0.10, "valuation": 0.05}
@@ -49,7 +49,7 @@ def scores(panel: DataFrame, probability: str | None = None, excess: str | None
     made = panel.withColumns(parts)
     weights = {"probability_score": "probability", "excess_score": "excess", "agreement_score": "agreement", "risk_score": "risk", "valuation_score": "valuation"}
     total = sum((F.col(c) * WEIGHTS[k] for c, k in weights.items()), F.coalesce("data_quality_score", F.lit(50.0)) * WEIGHTS["data_quality"])
-    return made.withColumn("final_score", F.round(total + 1e-9, 2))  # the nudge settles ties that sums leave a bit short
+    return made.withColumn("final_score", half_even(total, 2))
 
 
 def classify(p: Column, x: Column, agree: Column, quality: Column) -> Column:
@@ -80,12 +80,12 @@ def flag_by_models(p: Column, x: Column, agree: Column, quality: Column) -> Colu
 
 def warnings(quality: Column, p: Column, agree: Column, risk: Column) -> Column:
     """Messages for a row, as an array."""
-    number = lambda c: F.format_string("%.0f", c)
+    out_of_100 = lambda what, c: F.format_string(f"{what}: %.0f of 100", c)
     found = F.array(
-        F.when(quality < 40, F.concat(F.lit("Critical: data quality score is very low ("), number(quality), F.lit("/100)"))).when(quality < 60, F.concat(F.lit("Low data quality ("), number(quality), F.lit("/100) — prediction less reliable"))),
-        F.when(p.isNull(), "Logistic regression probability unavailable — using neutral 50%"),
-        F.when(agree < 40, F.concat(F.lit("Low model agreement ("), number(agree), F.lit("/100) — models disagree on direction"))),
-        F.when(risk < 30, "High risk profile — elevated volatility or leverage"),
+        F.when(quality < 40, out_of_100("Most inputs are missing", quality)).when(quality < 60, out_of_100("Many inputs are missing", quality)),
+        F.when(p.isNull(), "No model gave a probability; one half is assumed"),
+        F.when(agree < 40, out_of_100("The models contradict one another", agree)),
+        F.when(risk < 30, "Among the riskiest of its date"),
     )
     return F.filter(found, lambda m: m.isNotNull())
 

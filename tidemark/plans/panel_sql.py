@@ -125,7 +125,8 @@ SCORES = f"""
 sc0 AS (SELECT *, 50.0::DOUBLE AS probability_score, 50.0::DOUBLE AS excess_score, 50.0::DOUBLE AS agreement_score, 100 - {mean_score(("volatility_12m", "downside_volatility_12m", "beta"))} AS risk_score,
           {mean_score((), ("sector_relative_pe", "pe_vs_historical_median", "current_pe_ratio"))} AS valuation_score, {mean_score(("twelve_month_momentum", "six_month_momentum", "return_3m"))} AS momentum_score,
           {mean_score(("roe", "operating_margin", "free_cash_flow_yield", "five_year_eps_growth", "five_year_revenue_growth"), ("debt_to_equity",))} AS fundamental_score FROM dq),
-sc AS (SELECT *, round(data_quality_score * 0.10::DOUBLE + probability_score * 0.35::DOUBLE + excess_score * 0.25::DOUBLE + agreement_score * 0.15::DOUBLE + risk_score * 0.10::DOUBLE + valuation_score * 0.05::DOUBLE + 1e-9::DOUBLE, 2) AS final_score FROM sc0),
+sc1 AS (SELECT *, round((data_quality_score * 0.10::DOUBLE + probability_score * 0.35::DOUBLE + excess_score * 0.25::DOUBLE + agreement_score * 0.15::DOUBLE + risk_score * 0.10::DOUBLE + valuation_score * 0.05::DOUBLE) * 1e8)::BIGINT AS units FROM sc0),
+sc AS (SELECT * EXCLUDE (units), (units // 1000000 + (2 * (units % 1000000) > 1000000 OR (2 * (units % 1000000) = 1000000 AND (units // 1000000) % 2 <> 0))::BIGINT) / 100.0::DOUBLE AS final_score FROM sc1),
 pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature_date ORDER BY final_score DESC, ticker) AS place FROM sc WHERE data_quality_score >= 20) WHERE place <= 5)
 """
 

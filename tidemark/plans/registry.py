@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import asof, backtest, features, models, scoring, stats, targets
-from ..sources.panel import Panel, load_panel
+from ..sources.panel import Panel
+from ..sources.panel import materialised_panel as load_panel
 from ..sources.store import insert_ignore, upsert
 from ..streaming.events import windowed
 from . import panel_sql as Q
@@ -33,8 +34,8 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(S.clean(F.col(c)), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def panel_features(p: Panel) -> DataFrame:
-    return features.feature_panel(p.stocks, p.prices, p.benchmark, p.fundamentals)
+def panel_features(p: Panel, carry: list[str] | None = None) -> DataFrame:
+    return features.feature_panel(p.stocks, p.prices, p.benchmark, p.fundamentals, carry or [])
 
 
 def relative(p: Panel) -> DataFrame:
@@ -204,7 +205,7 @@ def c05_ic_stability(spark, sf_dir):
         *ALL,
         Q.TARGETS,
         Q.LONG,
-        "qn AS (SELECT *, count(*) OVER (PARTITION BY feature, feature_date) AS n FROM lf), qe AS (SELECT *, list_sort(list_distinct(quantile_cont(x, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) OVER (PARTITION BY feature, feature_date))) AS e FROM qn WHERE n >= 10), qb AS (SELECT *, 1 + len(list_filter(e[2:len(e) - 1], lambda v: v < x - 1e-9::DOUBLE)) AS bucket FROM qe), qm AS (SELECT feature, feature_date, bucket, avg(y) AS m, count(*) AS n FROM qb GROUP BY 1, 2, 3), qo AS (SELECT feature, bucket, avg(m) AS mean_return, sum(n)::BIGINT AS n FROM qm GROUP BY 1, 2)",
+        "qn AS (SELECT *, count(*) OVER (PARTITION BY feature, feature_date) AS n FROM lf), qe AS (SELECT *, list_sort(list_distinct(quantile_cont(x, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) OVER (PARTITION BY feature, feature_date))) AS e FROM qn WHERE n >= 10), qb AS (SELECT *, 1 + len(list_filter(e[2:len(e) - 1], lambda v: v < x - abs(x) * 1e-12::DOUBLE)) AS bucket FROM qe), qm AS (SELECT feature, feature_date, bucket, avg(y) AS m, count(*) AS n FROM qb GROUP BY 1, 2, 3), qo AS (SELECT feature, bucket, avg(m) AS mean_return, sum(n)::BIGINT AS n FROM qm GROUP BY 1, 2)",
         select="SELECT feature, bucket::INT AS bucket, round(mean_return, 6) AS mean_return, n, round(mean_return - first(mean_return) OVER (PARTITION BY feature ORDER BY bucket), 6) AS spread FROM qo",
     )
 )
@@ -249,12 +250,12 @@ def m02_simple_regressions(spark, sf_dir):
         *LF,
         _simple,
         "rs AS (SELECT feature, y - (intercept + slope * x) AS e FROM lf JOIN fit USING (feature)), mo AS (SELECT feature, e, avg(e) OVER (PARTITION BY feature) AS m FROM rs), ag AS (SELECT feature, count(*)::DOUBLE AS n, avg(e) AS mean, stddev_samp(e) AS std, min(e) AS low, max(e) AS high, avg(pow(e - m, 2)) AS m2, avg(pow(e - m, 3)) AS m3, avg(pow(e - m, 4)) AS m4, avg((e > 0)::INT) AS pct_positive FROM mo GROUP BY feature)",
-        select="SELECT feature, round(std, 5) AS std, round(low, 5) AS low, round(high, 5) AS high, round(m3 / pow(m2, 1.5) * sqrt(n * (n - 1)) / (n - 2), 5) AS skew, round((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6), 5) AS kurtosis, round(pct_positive, 5) AS pct_positive FROM ag",
+        select="SELECT feature, round(mean, 5) + 0.0::DOUBLE AS mean, round(std, 5) AS std, round(low, 5) AS low, round(high, 5) AS high, round(m3 / pow(m2, 1.5) * sqrt(n * (n - 1)) / (n - 2), 5) AS skew, round((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (m4 / (m2 * m2) - 3) + 6), 5) AS kurtosis, round(pct_positive, 5) AS pct_positive FROM ag",
     )
 )
 def m05_residual_stats(spark, sf_dir):
     rows = long(load_panel(spark, sf_dir))
-    return tidy(models.residual_stats(models.residuals(rows, models.simple_regressions(rows))).drop("mean"), 5)
+    return tidy(models.residual_stats(models.residuals(rows, models.simple_regressions(rows))), 5).withColumn("mean", F.col("mean") + 0.0)
 
 
 @query(
@@ -500,24 +501,25 @@ def s22_issue_counts(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_orderpriority").alias("severity"), F.col("o_orderstatus").alias("issue_type")).agg(F.count("*").alias("n"))
 
 
-_batch = "b AS (SELECT c_custkey, c_name || '*' AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT -c_custkey - 1, 'new', 0.0 FROM customer WHERE c_custkey % 5 = 0)"
+_batch = "b AS (SELECT c_custkey, c_name || '*' AS c_name, c_acctbal + 1 AS c_acctbal, 1 AS seq FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, c_name || '+', c_acctbal + 2, 2 FROM customer WHERE c_custkey % 6 = 0 UNION ALL SELECT -c_custkey - 1, 'new', 0.0, 3 FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT -c_custkey - 1, 'newer', 1.0, 4 FROM customer WHERE c_custkey % 10 = 0)"
 
 
 def _customers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A target and a batch in which some keys stand twice; ``seq`` is the order of arrival."""
     target = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_acctbal")
-    changed = target.where("c_custkey % 3 = 0").select("c_custkey", F.concat("c_name", F.lit("*")).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
-    added = target.where("c_custkey % 5 = 0").select((-F.col("c_custkey") - 1).alias("c_custkey"), F.lit("new").alias("c_name"), F.lit(0.0).alias("c_acctbal"))
-    return target, changed.unionByName(added)
+    changed = lambda every, mark, more, seq: target.where(f"c_custkey % {every} = 0").select("c_custkey", F.concat("c_name", F.lit(mark)).alias("c_name"), (F.col("c_acctbal") + more).alias("c_acctbal"), F.lit(seq).alias("seq"))
+    added = lambda every, name, value, seq: target.where(f"c_custkey % {every} = 0").select((-F.col("c_custkey") - 1).alias("c_custkey"), F.lit(name).alias("c_name"), F.lit(value).alias("c_acctbal"), F.lit(seq).alias("seq"))
+    return target, changed(3, "*", 1, 1).unionByName(changed(6, "+", 2, 2)).unionByName(added(5, "new", 0.0, 3)).unionByName(added(10, "newer", 1.0, 4))
 
 
-@query(f"WITH {_batch} SELECT c_custkey, c_name, round(c_acctbal, 6) AS c_acctbal FROM customer UNION ALL SELECT c_custkey, c_name, round(c_acctbal, 6) FROM b WHERE c_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query(f"WITH {_batch}, f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY seq) = 1) SELECT c_custkey, c_name, round(c_acctbal, 6) AS c_acctbal FROM customer UNION ALL SELECT c_custkey, c_name, round(c_acctbal, 6) FROM f WHERE c_custkey NOT IN (SELECT c_custkey FROM customer)")
 def k01_insert_ignore(spark, sf_dir):
-    return tidy(insert_ignore(*_customers(spark, sf_dir), ["c_custkey"]))
+    return tidy(insert_ignore(*_customers(spark, sf_dir), ["c_custkey"], "seq"))
 
 
-@query(f"WITH {_batch} SELECT c_custkey, c_name, round(c_acctbal, 6) AS c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM b) UNION ALL SELECT c_custkey, c_name, round(c_acctbal, 6) FROM b")
+@query(f"WITH {_batch}, f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY seq DESC) = 1) SELECT c_custkey, c_name, round(c_acctbal, 6) AS c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM b) UNION ALL SELECT c_custkey, c_name, round(c_acctbal, 6) FROM f")
 def k02_upsert(spark, sf_dir):
-    return tidy(upsert(*_customers(spark, sf_dir), ["c_custkey"]))
+    return tidy(upsert(*_customers(spark, sf_dir), ["c_custkey"], "seq"))
 
 
 @query(Q.query("f AS (SELECT max(d) AS d FROM (SELECT ticker, min(date) AS d FROM prices GROUP BY 1)), g AS (SELECT ticker, arg_min(adjusted_close, date) AS p0 FROM prices, f WHERE date >= d GROUP BY 1)", select="SELECT p.ticker, p.date, round(100 * adjusted_close / p0, 6) AS rebased FROM prices p JOIN g USING (ticker), f WHERE p.date >= f.d"))

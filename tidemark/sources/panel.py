@@ -7,7 +7,9 @@ is small whatever the size of the facts.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import tempfile
+import uuid
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,6 +68,24 @@ def load_panel(spark: SparkSession, sf_dir: str) -> Panel:
     return Panel(stocks, with_returns(monthly, "ticker"), with_returns(market, "benchmark_ticker"), fundamentals)
 
 
+def materialised_panel(spark: SparkSession, sf_dir: str) -> Panel:
+    """The panel as written tables, so that a plan that needs it often reads the facts once."""
+    panel = load_panel(spark, sf_dir)
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-panel-")
+    folder = f"{root.rstrip('/')}/panel-{uuid.uuid4().hex}"
+
+    def stored(name: str) -> DataFrame:
+        df = getattr(panel, name)
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    return Panel(*(stored(f.name) for f in fields(Panel)))
+
+
 SQL = """
 stocks AS (SELECT n_name AS ticker, r_name AS sector, count(*)::DOUBLE AS shares_outstanding_m
            FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2),

@@ -9,24 +9,54 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """Rows of the target, and of the batch those whose key is new; in a batch the first row wins."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).asc() if order else F.lit(0))
-    first = batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def _one_of(batch: DataFrame, keys: list[str], pick) -> DataFrame:
+    """One row for each key, pre-aggregated before the shuffle."""
+    return batch.groupBy(*keys).agg(pick(F.struct(*batch.columns)).alias("_row")).select("_row.*")
+
+
+def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows of the target, and of the batch those whose key is new; in a batch the first row by ``order`` wins."""
+    first = _one_of(batch, keys, lambda row: F.min_by(row, order))
     return target.unionByName(first.join(target, keys, "left_anti").select(*target.columns))
 
 
-def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """Rows of the batch replace those with their key; in a batch the last row wins; columns it lacks become null."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc() if order else F.lit(0))
-    last = batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def upsert(target: DataFrame, batch: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows of the batch replace those with their key; in a batch the last row by ``order`` wins; columns it lacks become null."""
+    last = _one_of(batch, keys, lambda row: F.max_by(row, order))
     return target.join(last, keys, "left_anti").select(*target.columns).unionByName(last.select(*[c for c in target.columns if c in last.columns]), allowMissingColumns=True)
 
 
+def append_log(log: DataFrame, events: DataFrame) -> DataFrame:
+    """An event log with more events; columns that either lacks become null."""
+    return log.unionByName(events, allowMissingColumns=True)
+
+
+def backfill(target: DataFrame, source: DataFrame, key: str, column: str, default) -> DataFrame:
+    """``column`` of every row set to the source's value for its key, or ``default`` without one."""
+    found = source.groupBy(key).agg(F.max(column).alias("_found"))
+    return target.drop(column).join(found, key, "left").withColumn(column, F.coalesce("_found", F.lit(default))).drop("_found")
+
+
+def clean_ticker(c: Column) -> Column:
+    return F.upper(F.trim(c))
+
+
+def watchlist_changed(watched: DataFrame, add: DataFrame | None = None, remove: DataFrame | None = None, notes: DataFrame | None = None) -> DataFrame:
+    """A watchlist (ticker, added_at, note) after additions that are new, removals and changed notes, by cleaned ticker."""
+    by_ticker = lambda df: df.withColumn("ticker", clean_ticker(F.col("ticker")))
+    out = watched if add is None else insert_ignore(watched, by_ticker(add), ["ticker"], "added_at")
+    if remove is not None:
+        out = out.join(by_ticker(remove).select("ticker").distinct(), "ticker", "left_anti")
+    if notes is not None:
+        new = by_ticker(notes).groupBy("ticker").agg(F.max("note").alias("_note"))
+        out = out.join(new, "ticker", "left").withColumn("note", F.coalesce("_note", "note")).drop("_note")
+    return out.select(*watched.columns)
+
+
 class TableStore:
     """Named tables under a folder of any store that Spark reads."""
 
@@ -54,11 +84,11 @@ class TableStore:
         df.write.partitionBy(*partition_by).parquet(f"{self.folder}/{name}/{version}")
         self.spark.createDataFrame([(at, version)], "at bigint, version string").write.mode("append").parquet(f"{self.folder}/{name}/_versions")
 
-    def insert_ignore(self, name: str, batch: DataFrame, keys: list[str]) -> None:
-        self.write(name, insert_ignore(self.read(name), batch, keys) if self.exists(name) else insert_ignore(batch.limit(0), batch, keys))
+    def insert_ignore(self, name: str, batch: DataFrame, keys: list[str], order: str) -> None:
+        self.write(name, insert_ignore(self.read(name) if self.exists(name) else batch.limit(0), batch, keys, order))
 
-    def upsert(self, name: str, batch: DataFrame, keys: list[str]) -> None:
-        self.write(name, upsert(self.read(name), batch, keys) if self.exists(name) else upsert(batch.limit(0), batch, keys))
+    def upsert(self, name: str, batch: DataFrame, keys: list[str], order: str) -> None:
+        self.write(name, upsert(self.read(name) if self.exists(name) else batch.limit(0), batch, keys, order))
 
     def health(self, names: list[str]) -> DataFrame:
         counts = [self.read(n).agg(F.lit(n).alias("table"), F.count("*").alias("rows")) for n in names]

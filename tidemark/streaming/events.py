@@ -15,6 +15,6 @@ def windowed(events: DataFrame, late: str = "1 hour", size: str = "1 hour") -> D
     return timed.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def upsert_stream(batches: DataFrame, store: TableStore, name: str, keys: list[str], checkpoint: str) -> StreamingQuery:
+def upsert_stream(batches: DataFrame, store: TableStore, name: str, keys: list[str], order: str, checkpoint: str) -> StreamingQuery:
     """Each micro-batch replaces the rows of its keys; a batch that comes twice changes nothing."""
-    return batches.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: store.upsert(name, df, keys)).start()
+    return batches.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: store.upsert(name, df, keys, order)).start()
