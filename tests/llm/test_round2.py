@@ -214,12 +214,13 @@ def test_pipeline_equals_a_chain_of_its_parts(spark, tmp_path):
     one = [min(g) for g in groups.values()]
     assert len(one) == 82
     plan = mixture.mixed(spark.createDataFrame([(None if no else i, t, s) for no, i, t, s in one], "doc_id bigint, text string, source string")).collect()
+    before = set(common.written())
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.columns[-2:] == ["mix_position", "mix_copy"]
     found = sorted((str(r.doc_id), r.mix_position) for r in got.collect())
     assert found == sorted((str(r.doc_id), p) for r in plan for p in (r.position, r.repeat_position) if p is not None)
     assert got.where("not round_trip").count() == 0
-    assert len(common.written()) < 40
+    assert len(set(common.written()) - before) <= 3  # the rest is deleted on the way
     empty = str(tmp_path / "none")
     frame.limit(0).write.parquet(f"{empty}/documents.parquet")
     spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{empty}/labels.parquet")
