@@ -80,9 +80,9 @@ def test_upserts_keep_or_replace_and_the_store_reads_the_last_version(spark, tmp
 
 
 def test_a_stream_upserts_each_batch_once(spark, tmp_path):
-    spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(1, "b", 2), (1, "a", 1), (2, "c", 1)], "k int, v string, at int").write.parquet(str(tmp_path / "in"))
     store = TableStore(spark, str(tmp_path / "store"))
-    stream = upsert_stream(spark.readStream.schema("k int, v string").parquet(str(tmp_path / "in")), store, "t", ["k"], str(tmp_path / "checkpoint"))
+    stream = upsert_stream(spark.readStream.schema("k int, v string, at int").parquet(str(tmp_path / "in")), store, "t", ["k"], "at", str(tmp_path / "checkpoint"))
     stream.processAllAvailable()
     stream.stop()
     assert store.read("t").count() == 2

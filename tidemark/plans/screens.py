@@ -118,9 +118,9 @@ def p11_dates(spark, sf_dir):
     return o.select("o_orderkey", F.date_add("d", 45).alias("later"), F.least("d", mark).alias("first"), F.greatest("d", mark).alias("last"), readers.valid_date(text).alias("valid"))
 
 
-@query(Q.query(*IC, select="SELECT feature, feature_date, CASE WHEN ic > 0 THEN 'Positive' ELSE 'Negative' END || ' relationship. ' || CASE WHEN n < 20 THEN 'Not significant after multiple-testing correction' WHEN abs(ic) < 0.02 THEN 'Very weak signal — likely noise' WHEN abs(ic) < 0.05 THEN 'Weak signal — modest value' WHEN abs(ic) < 0.10 THEN 'Moderate signal — worth including' ELSE 'Strong signal — high predictive value' END || '.' AS reading FROM ic"))
+@query(Q.query(*IC, select="SELECT feature, feature_date, CASE WHEN round(ic, 9) > 0 THEN 'Positive' ELSE 'Negative' END || ' relationship. ' || CASE WHEN n < 20 THEN 'Not significant after multiple-testing correction' WHEN abs(ic) < 0.02 THEN 'Very weak signal — likely noise' WHEN abs(ic) < 0.05 THEN 'Weak signal — modest value' WHEN abs(ic) < 0.10 THEN 'Moderate signal — worth including' ELSE 'Strong signal — high predictive value' END || '.' AS reading FROM ic"))
 def p19_interpreted(spark, sf_dir):
-    return stats.monthly_ic(long(load_panel(spark, sf_dir))).select("feature", "feature_date", readers.interpreted(F.col("ic"), F.col("n") >= 20).alias("reading"))
+    return stats.monthly_ic(long(load_panel(spark, sf_dir))).select("feature", "feature_date", readers.interpreted(F.round("ic", 9), F.col("n") >= 20).alias("reading"))
 
 
 @query(Q.query(*CLASSED, select="SELECT feature_date, ticker, round(conf, 4) AS confidence, CASE WHEN conf >= 90 THEN 'high' WHEN conf >= 70 THEN 'solid' WHEN conf >= 50 THEN 'fair' ELSE 'low' END AS tier FROM (SELECT feature_date, ticker, 35 * (final_score >= 55)::INT + CASE class WHEN 'Strong candidate' THEN 25 WHEN 'Watchlist candidate' THEN 10 ELSE 0 END + 15 * least(data_quality_score / 100, 1) + 15 * least(risk_score / 100, 1) + CASE WHEN predicted_excess > 0.10 THEN 10 WHEN predicted_excess > 0.05 THEN 7 WHEN predicted_excess > 0 THEN 3 ELSE 0 END AS conf FROM cl)"))
@@ -252,11 +252,11 @@ def u01_last_known(spark, sf_dir):
     return tidy(readers.last_known(panel_features(load_panel(spark, sf_dir)), "ticker", "feature_date", Q.IC_FEATURES), 5)
 
 
-@query(Q.query(*CLASSED, select="SELECT feature_date, class, count(*) AS n, round(avg(final_score), 5) AS mean_score, round(max(final_score), 5) AS best, CASE class WHEN 'Strong candidate' THEN 0 WHEN 'Watchlist candidate' THEN 1 WHEN 'Weak / avoid' THEN 3 ELSE 2 END AS place FROM cl GROUP BY feature_date, class"))
+@query(Q.query(*CLASSED, select="SELECT feature_date, class, count(*) AS n, round(avg(final_score), 7) AS mean_score, round(max(final_score), 7) AS best, CASE class WHEN 'Strong candidate' THEN 0 WHEN 'Watchlist candidate' THEN 1 WHEN 'Weak / avoid' THEN 3 ELSE 2 END AS place FROM cl GROUP BY feature_date, class"))
 def u06_classes_by_date(spark, sf_dir):
     """U03, U04, U06, U07."""
     s = classed(load_panel(spark, sf_dir)).groupBy("feature_date", "class").agg(F.count("*").alias("n"), F.avg("final_score").alias("mean_score"), F.max("final_score").alias("best"))
-    return tidy(s.withColumn("place", readers.class_rank(F.col("class"))).orderBy("feature_date", "place"), 5)
+    return tidy(s.withColumn("place", readers.class_rank(F.col("class"))).orderBy("feature_date", "place"), 7)
 
 
 @query(Q.query(*CLASSED, select="SELECT count(*) AS n, count(DISTINCT feature_date) AS n_dates, count(DISTINCT ticker) AS n_tickers, count(*) FILTER (class = 'Strong candidate') AS n_strong, max(feature_date) AS last_date FROM cl"))
