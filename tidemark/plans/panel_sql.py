@@ -89,7 +89,7 @@ tg0 AS (SELECT a.feature_date, a.ticker, a.target_date, p1.v / p0.v - 1 AS stock
 tg AS (SELECT *, stock_return - benchmark_return AS excess_return, CASE WHEN stock_return - benchmark_return IS NOT NULL THEN (stock_return - benchmark_return > 0)::INT END AS winner FROM tg0)
 """
 
-IC_FEATURES = ["twelve_month_momentum", "six_month_momentum", "return_3m", "volatility_12m", "abnormal_volume", "roe", "price_to_sales", "operating_margin"]
+IC_FEATURES = FEATURE_NAMES
 LONG = (
     "lf AS (SELECT feature, feature_date, ticker, x, y FROM (SELECT feature_date, ticker, excess_return AS y, "
     + ", ".join(IC_FEATURES)
@@ -143,5 +143,9 @@ def query(*blocks: str, select: str) -> str:
     return "WITH " + ",\n".join(b.strip() for b in (PANEL, *blocks)) + "\n" + select
 
 
+#: Means of cents often end in a 5 behind the last kept digit: both sides round these to 8 digits first, so that ties are exact.
+AMOUNTS = ("adjusted_close", "market_cap")
+
+
 def rounded(keys: str, doubles: list[str], source: str, digits: int = 6) -> str:
-    return f"SELECT {keys}, " + ", ".join(f"round({c}, {digits}) AS {c}" for c in doubles) + f" FROM {source}"
+    return f"SELECT {keys}, " + ", ".join(f"round({c}::DECIMAL(38, 8), {digits})::DOUBLE AS {c}" if c in AMOUNTS else f"round({c}, {digits}) AS {c}" for c in doubles) + f" FROM {source}"

@@ -31,7 +31,8 @@ def query(oracle: str | None = None):
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, NaN as null: what the comparison with SQL looks at."""
-    return df.select(*[F.round(S.clean(F.col(c)), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    exact = lambda c: F.round(F.col(c), 8) if c in Q.AMOUNTS else F.col(c)
+    return df.select(*[F.round(S.clean(exact(c)), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def panel_features(p: Panel, carry: list[str] | None = None) -> DataFrame:
@@ -240,7 +241,7 @@ LF = (*ALL, Q.TARGETS, Q.LONG)
 _simple = "fit AS (SELECT feature, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy FROM lf GROUP BY feature HAVING count(*) >= 20), fs AS (SELECT *, sqrt((1 - r2) * syy / (n - 2) / sxx) AS std_error FROM fit)"
 
 
-@query(Q.query(*LF, _simple, select="SELECT feature, n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, round(std_error, 6) AS std_error, round(slope / std_error, 6) AS t_stat, round(1 - (1 - r2) * (n - 1) / (n - 2), 6) AS adj_r2, round(r2 * (n - 2) / (1 - r2), 6) AS f_stat, round(slope * sqrt(sxx / syy), 6) AS std_slope FROM fs"))
+@query(Q.query(*LF, _simple, select="SELECT feature, n, round(slope, 6) + 0.0::DOUBLE AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, round(std_error, 6) AS std_error, round(slope / std_error, 6) AS t_stat, round(1 - (1 - r2) * (n - 1) / (n - 2), 6) AS adj_r2, round(r2 * (n - 2) / (1 - r2), 6) AS f_stat, round(slope * sqrt(sxx / syy), 6) AS std_slope FROM fs"))
 def m02_simple_regressions(spark, sf_dir):
     return tidy(models.simple_regressions(long(load_panel(spark, sf_dir))))
 
@@ -262,7 +263,7 @@ def m05_residual_stats(spark, sf_dir):
     Q.query(
         *LF,
         "dl AS (SELECT feature, feature_date, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM lf GROUP BY 1, 2), rw AS (SELECT feature, feature_date, sum(n) OVER w AS n, sum(sx) OVER w AS sx, sum(sy) OVER w AS sy, sum(sxx) OVER w AS sxx, sum(sxy) OVER w AS sxy, count(*) OVER w AS k FROM dl WINDOW w AS (PARTITION BY feature ORDER BY feature_date ROWS BETWEEN 36 PRECEDING AND 1 PRECEDING))",
-        select="SELECT feature, feature_date, n::BIGINT AS n, round((n * sxy - sx * sy) / (n * sxx - sx * sx), 4) AS slope FROM rw WHERE k = 36 AND n >= 15",
+        select="SELECT feature, feature_date, n::BIGINT AS n, round((n * sxy - sx * sy) / (n * sxx - sx * sx), 4) + 0.0::DOUBLE AS slope FROM rw WHERE k = 36 AND n >= 15",
     )
 )
 def m06_rolling_slopes(spark, sf_dir):

@@ -118,7 +118,7 @@ def p11_dates(spark, sf_dir):
     return o.select("o_orderkey", F.date_add("d", 45).alias("later"), F.least("d", mark).alias("first"), F.greatest("d", mark).alias("last"), readers.valid_date(text).alias("valid"))
 
 
-@query(Q.query(*IC, select="SELECT feature, feature_date, CASE WHEN round(ic, 9) > 0 THEN 'Positive' ELSE 'Negative' END || ' relationship. ' || CASE WHEN n < 20 THEN 'Not significant after multiple-testing correction' WHEN abs(ic) < 0.02 THEN 'Very weak signal — likely noise' WHEN abs(ic) < 0.05 THEN 'Weak signal — modest value' WHEN abs(ic) < 0.10 THEN 'Moderate signal — worth including' ELSE 'Strong signal — high predictive value' END || '.' AS reading FROM ic"))
+@query(Q.query(*IC, select="SELECT feature, feature_date, CASE WHEN round(ic, 9) > 0 THEN 'Positive' ELSE 'Negative' END || ' relationship. ' || CASE WHEN n < 20 THEN 'Not significant after multiple-testing correction' WHEN abs(round(ic, 9)) < 0.02 THEN 'Very weak signal — likely noise' WHEN abs(round(ic, 9)) < 0.05 THEN 'Weak signal — modest value' WHEN abs(round(ic, 9)) < 0.10 THEN 'Moderate signal — worth including' ELSE 'Strong signal — high predictive value' END || '.' AS reading FROM ic"))
 def p19_interpreted(spark, sf_dir):
     return stats.monthly_ic(long(load_panel(spark, sf_dir))).select("feature", "feature_date", readers.interpreted(F.round("ic", 9), F.col("n") >= 20).alias("reading"))
 

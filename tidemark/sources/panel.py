@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import quarter_label, report_lag_days
@@ -30,6 +30,11 @@ def with_returns(prices: DataFrame, *key: str) -> DataFrame:
     return prices.withColumn("monthly_return", F.try_divide("adjusted_close", F.lag("adjusted_close").over(w)) - 1)
 
 
+def mean_amount(c: str) -> Column:
+    """Mean of amounts in cents from their exact sum, whatever the order of the rows."""
+    return F.sum(F.col(c).cast("decimal(18,2)")).cast("double") / F.count(c)
+
+
 def load_panel(spark: SparkSession, sf_dir: str) -> Panel:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     # nation and region have 25 and 5 rows by definition of the schema.
@@ -37,8 +42,8 @@ def load_panel(spark: SparkSession, sf_dir: str) -> Panel:
     customers = read("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "ticker", "sector")
     stocks = customers.groupBy("ticker", "sector").agg(F.count("*").cast("double").alias("shares_outstanding_m"))
     placed = read("orders").select("o_orderkey", "o_custkey", "o_totalprice", F.to_date("o_orderdate").alias("day")).join(customers.select("c_custkey", "ticker"), F.col("o_custkey") == F.col("c_custkey"))
-    monthly = placed.groupBy("ticker", F.last_day("day").alias("date")).agg(F.avg("o_totalprice").alias("adjusted_close"), F.count("*").cast("double").alias("volume"))
-    market = read("orders").groupBy(F.last_day(F.to_date("o_orderdate")).alias("date")).agg(F.avg("o_totalprice").alias("adjusted_close")).withColumn("benchmark_ticker", F.lit("ALL"))
+    monthly = placed.groupBy("ticker", F.last_day("day").alias("date")).agg(mean_amount("o_totalprice").alias("adjusted_close"), F.count("*").cast("double").alias("volume"))
+    market = read("orders").groupBy(F.last_day(F.to_date("o_orderdate")).alias("date")).agg(mean_amount("o_totalprice").alias("adjusted_close")).withColumn("benchmark_ticker", F.lit("ALL"))
     quarter_end = F.last_day(F.add_months(F.trunc("day", "quarter"), 2))
     lines = read("lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax").join(placed.select("o_orderkey", "ticker", quarter_end.alias("fiscal_date")), F.col("l_orderkey") == F.col("o_orderkey"))
     price, discount, tax = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
@@ -91,9 +96,9 @@ stocks AS (SELECT n_name AS ticker, r_name AS sector, count(*)::DOUBLE AS shares
            FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2),
 placed AS (SELECT o_orderkey, o_totalprice, o_orderdate::DATE AS day, n_name AS ticker
            FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
-px AS (SELECT ticker, last_day(day) AS date, avg(o_totalprice) AS adjusted_close, count(*)::DOUBLE AS volume FROM placed GROUP BY 1, 2),
+px AS (SELECT ticker, last_day(day) AS date, sum(o_totalprice::DECIMAL(18, 2))::DOUBLE / count(o_totalprice) AS adjusted_close, count(*)::DOUBLE AS volume FROM placed GROUP BY 1, 2),
 prices AS (SELECT *, adjusted_close / lag(adjusted_close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS monthly_return FROM px),
-bx AS (SELECT last_day(o_orderdate::DATE) AS date, avg(o_totalprice) AS adjusted_close FROM orders GROUP BY 1),
+bx AS (SELECT last_day(o_orderdate::DATE) AS date, sum(o_totalprice::DECIMAL(18, 2))::DOUBLE / count(o_totalprice) AS adjusted_close FROM orders GROUP BY 1),
 bench AS (SELECT *, adjusted_close / lag(adjusted_close) OVER (ORDER BY date) - 1 AS monthly_return FROM bx),
 raw_funds AS (SELECT ticker, last_day(date_trunc('quarter', day)::DATE + INTERVAL 2 MONTH)::DATE AS fiscal_date,
            sum(l_extendedprice * (1 - l_discount)) AS revenue, sum(l_quantity) AS units, sum(l_extendedprice * l_discount) AS net_income,
