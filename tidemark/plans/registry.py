@@ -29,9 +29,9 @@ def query(oracle: str | None = None):
     return add
 
 
-def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
+def tidy(df: DataFrame, digits: int = 6, amounts: tuple = ()) -> DataFrame:
     """Doubles rounded, NaN as null: what the comparison with SQL looks at."""
-    exact = lambda c: F.round(F.col(c), 8) if c in Q.AMOUNTS else F.col(c)
+    exact = lambda c: F.round(F.col(c), 8) if c in amounts else F.col(c)
     return df.select(*[F.round(S.clean(exact(c)), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
@@ -86,7 +86,7 @@ def slice0_top_n_returns(spark, sf_dir):
 
 @query(Q.query(select=Q.rounded("ticker, date", ["adjusted_close", "volume", "monthly_return"], "prices")))
 def s04_prices(spark, sf_dir):
-    return tidy(load_panel(spark, sf_dir).prices)
+    return tidy(load_panel(spark, sf_dir).prices, amounts=Q.AMOUNTS)
 
 
 @query(Q.query(select=Q.rounded("ticker, fiscal_date, fiscal_period, report_date", ["eps", "roe", "debt_to_equity", "operating_margin"], "funds WHERE report_date <= DATE '1998-06-30' AND fiscal_date >= DATE '1996-01-01'")))
@@ -118,7 +118,7 @@ def j07_reports_point_in_time(spark, sf_dir):
 
 @query(Q.query(*ALL, select=Q.rounded("feature_date, ticker, sector, staleness_days::INT AS staleness_days", ["adjusted_close", *Q.FEATURE_NAMES], "feat", 5)))
 def f13_feature_panel(spark, sf_dir):
-    return tidy(panel_features(load_panel(spark, sf_dir)), 5)
+    return tidy(panel_features(load_panel(spark, sf_dir)), 5, Q.AMOUNTS)
 
 
 RELATIVES = ["sector_relative_pe", "sector_relative_ps", "sector_relative_momentum", "sector_relative_fcf_yield", "peer_momentum_zscore", "peer_valuation_zscore"]
