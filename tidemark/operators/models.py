@@ -167,21 +167,6 @@ def squared_error(matrix: np.ndarray, w: np.ndarray) -> float:
     return float(full @ matrix @ full)
 
 
-def fit_regularised(df: DataFrame, features: list[str], label: str, fit, alphas, folds: int = 5, date: str = "feature_date") -> tuple[float, np.ndarray]:
-    """Best penalty by forward-chained folds of dates, and the refit on all rows.
-
-    One pass gives every fold's matrix; the grid is then solved on sums of matrices.
-    """
-    placed = df.join(F.broadcast(df.select(date).distinct().withColumn("fold", F.ntile(folds + 1).over(Window.orderBy(date)))), date)
-    by_fold = {k[0]: m for k, m in gram(placed, [*features, label], "fold")}
-    order = sorted(by_fold)
-    errors = []
-    for alpha in alphas:
-        errors.append(sum(squared_error(by_fold[f], fit(sum(by_fold[g] for g in order if g < f), alpha)) for f in order[1:]))
-    best = float(alphas[int(np.argmin(errors))]) if errors and len(order) > 1 else float(alphas[0])
-    return best, fit(sum(by_fold.values()), best)
-
-
 def linear(names: list[str], weights) -> Column:
     """intercept + sum of weight * feature; a missing feature adds nothing."""
     return sum((F.coalesce(F.col(c), F.lit(0.0)) * float(w) for c, w in zip(names, weights[1:], strict=True)), F.lit(float(weights[0])))

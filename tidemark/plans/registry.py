@@ -292,16 +292,6 @@ def m11_multiple_regression(spark, sf_dir):
     return spark.createDataFrame(fit["coefficients"], "term string, coefficient double, std_error double, t_stat double, p_value double")
 
 
-@query()
-def m22_regularised(spark, sf_dir):
-    train = models.time_split(labelled(load_panel(spark, sf_dir))).where("is_train")
-    rows = []
-    for name, fit, grid in (("ridge", models.ridge, [10 ** (k / 8 - 4) for k in range(49)]), ("lasso", models.lasso, [10 ** (k / 8 - 4) for k in range(33)])):
-        alpha, w = models.fit_regularised(train, MODEL_FEATURES, "excess_return", fit, grid)
-        rows += [(name, alpha, c, float(v)) for c, v in zip(["intercept", *MODEL_FEATURES], w, strict=True)]
-    return spark.createDataFrame(rows, "model string, alpha double, term string, coefficient double")
-
-
 @query()
 def m14_logistic(spark, sf_dir):
     split = models.time_split(labelled(load_panel(spark, sf_dir)))
