@@ -131,7 +131,7 @@ def test_logit_table_is_at_the_maximum_and_has_its_curvature(panel, rows):
 
 def test_running_sums_hold_over_slices_and_ties_of_cuts(spark):
     at = spark.range(1000).select((F.col("id") * 7919 % 1000 / 1000).alias("p"), F.lit(1).alias("neg"), (F.col("id") % 3).alias("pos"))
-    got = fitted.running(at, "p", ["neg", "pos"], slices=16).orderBy("p").collect()
+    got = models.running(at, "p", ["neg", "pos"], slices=16).orderBy("p").collect()
     before = np.cumsum([0, *[r.pos for r in got]])[:-1]
     assert [r.before_neg for r in got] == list(range(1000)) and [r.before_pos for r in got] == before.tolist()
     assert {(r.total_neg, r.total_pos) for r in got} == {(1000, 999)}

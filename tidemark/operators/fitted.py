@@ -250,25 +250,6 @@ def logit_table(df: DataFrame, features: list[str], label: str = "winner", round
     return table, {"n": int(n), "log_likelihood": ll, "null_log_likelihood": null, "pseudo_r2": 1 - ll / null if null else 0.0, "aic": 2 * k - 2 * ll, "bic": k * math.log(n) - 2 * ll, "converged": converged}
 
 
-# --- curves over distinct predictions
-
-
-def running(at: DataFrame, value: str, columns: list[str], slices: int = 256) -> DataFrame:
-    """Adds before_<c>, the sum of a column over smaller values, and total_<c>.
-
-    Values are cut into slices of about equal numbers; each is sorted by itself and
-    starts from the sum of those before it, so no task sorts all values.
-    """
-    cuts = at.agg(F.percentile_approx(value, [i / slices for i in range(1, slices)], 10_000).alias("_cuts"))
-    sliced = at.crossJoin(F.broadcast(cuts)).withColumn("_slice", F.coalesce(F.size(F.filter("_cuts", lambda x: x < F.col(value))), F.lit(0))).drop("_cuts")  # one row of cuts
-    sums = sliced.groupBy("_slice").agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])
-    w, everything = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()  # ``slices`` rows at most
-    starts = sums.select("_slice", *[F.coalesce(F.sum(f"_s_{c}").over(w), F.lit(0)).alias(f"_b_{c}") for c in columns], *[F.sum(f"_s_{c}").over(everything).alias(f"total_{c}") for c in columns])
-    within = Window.partitionBy("_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = sliced.join(F.broadcast(starts), "_slice")
-    return placed.withColumns({f"before_{c}": F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in columns}).drop("_slice", *[f"_b_{c}" for c in columns])
-
-
 # --- scoring with models, snapshots
 
 

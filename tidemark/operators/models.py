@@ -201,12 +201,27 @@ def logistic(df: DataFrame, features: list[str], label: str, c: float = 1.0, rou
     return np.append(w[0] - mean @ b, b)
 
 
+def running(at: DataFrame, value: str, columns: list[str], slices: int = 256) -> DataFrame:
+    """Adds before_<c>, the sum of a column over smaller values, and total_<c>.
+
+    Values are cut into slices of about equal numbers; each is sorted by itself and
+    starts from the sum of those before it, so no task sorts all values.
+    """
+    cuts = at.agg(F.percentile_approx(value, [i / slices for i in range(1, slices)], 10_000).alias("_cuts"))
+    sliced = at.crossJoin(F.broadcast(cuts)).withColumn("_slice", F.coalesce(F.size(F.filter("_cuts", lambda x: x < F.col(value))), F.lit(0))).drop("_cuts")  # one row of cuts
+    sums = sliced.groupBy("_slice").agg(*[F.sum(c).alias(f"_s_{c}") for c in columns])
+    w, everything = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()  # ``slices`` rows at most
+    starts = sums.select("_slice", *[F.coalesce(F.sum(f"_s_{c}").over(w), F.lit(0)).alias(f"_b_{c}") for c in columns], *[F.sum(f"_s_{c}").over(everything).alias(f"total_{c}") for c in columns])
+    within = Window.partitionBy("_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = sliced.join(F.broadcast(starts), "_slice")
+    return placed.withColumns({f"before_{c}": F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in columns}).drop("_slice", *[f"_b_{c}" for c in columns])
+
+
 def classification_metrics(df: DataFrame, p: str = "p", label: str = "winner") -> DataFrame:
     """Accuracy, precision, recall, F1, AUC by rank sums, log-loss and Brier score."""
     hit, y = F.col(p) >= 0.5, F.col(label) == 1
-    w = Window.orderBy(p)
     ranked = df.where(F.col(p).isNotNull() & F.col(label).isNotNull()).groupBy(p).agg(F.count("*").alias("n"), F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
-    below = ranked.withColumn("below", F.coalesce(F.sum("neg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    below = running(ranked, p, ["neg"])
     q = F.greatest(F.least(F.col(p), F.lit(1 - 1e-15)), F.lit(1e-15))
     tp, fp, fn, tn = (F.sum(F.when(c, F.col(k)).otherwise(0)) for c, k in ((hit, "pos"), (hit, "neg"), (~hit, "pos"), (~hit, "neg")))
     total = below.agg(
@@ -215,7 +230,7 @@ def classification_metrics(df: DataFrame, p: str = "p", label: str = "winner") -
         F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)).alias("precision"),
         F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0)).alias("recall"),
         F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)).alias("f1"),
-        F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"),
+        F.try_divide(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"),
         (-F.sum(F.col("pos") * F.log(q) + F.col("neg") * F.log(1 - q)) / F.sum("n")).alias("log_loss"),
         (F.sum(F.col("pos") * F.pow(1 - F.col(p), F.lit(2)) + F.col("neg") * F.pow(p, 2)) / F.sum("n")).alias("brier"),
     )
@@ -225,5 +240,5 @@ def classification_metrics(df: DataFrame, p: str = "p", label: str = "winner") -
 def roc_curve(df: DataFrame, p: str = "p", label: str = "winner") -> DataFrame:
     """False and true positive rates at every distinct prediction."""
     at = df.where(F.col(p).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(p).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    w, everything = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    return at.select("threshold", F.try_divide(F.sum("neg").over(w), F.sum("neg").over(everything)).alias("fpr"), F.try_divide(F.sum("pos").over(w), F.sum("pos").over(everything)).alias("tpr"))
+    rate = lambda c: F.try_divide(F.col(f"total_{c}") - F.col(f"before_{c}"), F.col(f"total_{c}"))
+    return running(at, "threshold", ["pos", "neg"]).select("threshold", rate("neg").alias("fpr"), rate("pos").alias("tpr"))
