@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard_join, licenses, mixture, quality_classifier, quality_rules, sentencepiece, toxicity, url_filter, warc
+from . import decontamination, fim, fingerprints, jaccard_join, licenses, mixture, quality_classifier, quality_rules, sentencepiece, spelling, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_mixture": mixture.op1_mixture,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_sentencepiece": sentencepiece.op8_sentencepiece,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_decontamination": decontamination.op11_decontamination,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 
 ORACLES = {
@@ -22,4 +25,6 @@ ORACLES = {
     "op2_licenses": licenses.ORACLE,
     "op3_warc": warc.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
+    "op11_decontamination": decontamination.ORACLE,
+    "op13_fill_in_middle": fim.ORACLE,
 }
