@@ -41,7 +41,7 @@ LEAST_TIMES = 3
 MODULUS = 97
 WORDS_PER_SHARD = 4_000
 HEAVY = 5_000
-LEAF = 3
+LEAF = 1
 
 
 def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS, least_times: int = LEAST_TIMES, modulus: int | None = MODULUS) -> DataFrame:
@@ -104,13 +104,13 @@ def _lengths(word: str) -> range:
 
 
 def _routes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each half that a word has or may meet."""
+    """A row for each half that a word has (own: 1 for its first, 2 for its second) or may meet (0)."""
     for batch in batches:
         out = []
         for word, n in zip(batch["word"], batch["n"], strict=True):
             own = {(kind, half(word, len(word), kind)) for kind in (0, 1)}
             meets = {(kind, half(word, m, kind)) for m in _lengths(word) for kind in (0, 1)} | own
-            out += [(_hash(*key), word, n, key in own) for key in meets]
+            out += [(_hash(*key), word, n, key[0] + 1 if key in own else 0) for key in meets]
         yield pd.DataFrame(out, columns=["half", "word", "n", "own"])
 
 
@@ -118,6 +118,9 @@ def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of a heavy half under the finer keys of their rests, others as they are."""
     rests = Rests()
     for batch in batches:
+        if not batch["heavy"].any():
+            yield batch.drop(columns="heavy").rename(columns={"half": "route"})
+            continue
         out = []
         for h, word, n, own, heavy in batch.itertuples(index=False, name=None):
             if not heavy:
@@ -129,45 +132,46 @@ def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if _hash(kind, half(word, m, kind)) == h:
                         for block in rests[m, kind]:
                             key = _hash(*leaf_key(word, m, kind, block))
-                            fine[key] = fine.get(key, False) or (own and m == len(word))
+                            fine[key] = max(fine.get(key, 0), own if m == len(word) else 0)
             out += [(key, word, n, mine) for key, mine in fine.items()]
         yield pd.DataFrame(out, columns=["route", "word", "n", "own"])
 
 
 def _shard(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (word, near, near_n) of a shard's words and patterns."""
-    words, rests, filed, times = dict(zip(rows["word"], rows["n"], strict=True)), Rests(), {}, {}
-    automaton = ahocorasick.Automaton()
-    for p in set(rows.loc[rows["own"], "word"]):
-        times[p] = words[p]
+    """Pairs (word, near, near_n) of a shard's words and of the patterns whose half it holds."""
+    rests, filed, automaton = Rests(), {}, ahocorasick.Automaton()
+    times = dict(zip(rows["word"], rows["n"], strict=True))
+    for p, own in zip(rows["word"], rows["own"], strict=True):
         for kind in (0, 1):
-            piece = half(p, len(p), kind)
-            automaton.add_word(piece, len(piece))
-            for block in rests[len(p), kind]:
-                filed.setdefault(leaf_key(p, len(p), kind, block), []).append(p)
-    out = set()
+            if own & (kind + 1):
+                piece = half(p, len(p), kind)
+                automaton.add_word(piece, len(piece))
+                for block in rests[len(p), kind]:
+                    filed.setdefault(leaf_key(p, len(p), kind, block), []).append(p)
+    words, near_words = [], []
     if filed:
         automaton.make_automaton()
-        for w in words:
-            fits = set()
+        for w in times:
+            size_of_w, fits = len(w), set()
             for end, size in automaton.iter(w):
-                for m in _lengths(w):
-                    if size == m // 2 and end == size - 1:
-                        fits.add((m, 0))
-                    if size == m - m // 2 and end == len(w) - 1:
-                        fits.add((m, 1))
+                if end == size - 1:
+                    fits.update((m, 0) for m in (2 * size, 2 * size + 1) if abs(m - size_of_w) <= 1)
+                if end == size_of_w - 1:
+                    fits.update((m, 1) for m in (2 * size, 2 * size - 1) if abs(m - size_of_w) <= 1)
             found = {p for m, kind in fits for block in rests[m, kind] for p in filed.get(leaf_key(w, m, kind, block), ())}
-            out.update((w, p) for p in found if near(w, p))
-    return pd.DataFrame([(w, p, times[p]) for w, p in out], columns=["word", "near", "near_n"])
+            met = [p for p in found if near(w, p)]
+            words += [w] * len(met)
+            near_words += met
+    return pd.DataFrame({"word": words, "near": near_words, "near_n": [times[p] for p in near_words]})
 
 
 def near_pairs(counted: DataFrame, n_words: int) -> DataFrame:
     """word, near, near_n: every pair of different words at distance one, in both directions."""
     shards = max(1, -(-n_words // WORDS_PER_SHARD))
-    routed = counted.select("word", "n").mapInPandas(_routes, "half bigint, word string, n bigint, own boolean")
-    heavy = routed.where("own").groupBy("half").agg(F.count("*").alias("_n")).where(F.col("_n") > HEAVY).select("half", F.lit(True).alias("heavy"))
-    spread = routed.join(heavy, "half", "left").select("half", "word", "n", "own", F.coalesce("heavy", F.lit(False)).alias("heavy")).mapInPandas(_spread, "route bigint, word string, n bigint, own boolean")
-    dealt = spread.withColumn("shard", F.pmod("route", F.lit(shards))).groupBy("shard", "word").agg(F.max("n").alias("n"), F.max("own").alias("own"))
+    routed = counted.select("word", "n").mapInPandas(_routes, "half bigint, word string, n bigint, own int")
+    heavy = routed.where("own > 0").groupBy("half").agg(F.count("*").alias("_n")).where(F.col("_n") > HEAVY).select("half", F.lit(True).alias("heavy"))
+    spread = routed.join(heavy, "half", "left").select("half", "word", "n", "own", F.coalesce("heavy", F.lit(False)).alias("heavy")).mapInPandas(_spread, "route bigint, word string, n bigint, own int")
+    dealt = spread.withColumn("shard", F.pmod("route", F.lit(shards))).groupBy("shard", "word").agg(F.max("n").alias("n"), F.bit_or("own").alias("own"))
     return dealt.groupBy("shard").applyInPandas(_shard, "word string, near string, near_n bigint").distinct()
 
 
