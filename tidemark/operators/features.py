@@ -104,9 +104,9 @@ def report_features(reports: DataFrame) -> DataFrame:
     )
 
 
-def feature_panel(stocks: DataFrame, prices: DataFrame, benchmark: DataFrame, reports: DataFrame, carry: list[str] = ()) -> DataFrame:
-    """Every entity at every month of the benchmark with what was known then."""
-    dates = benchmark.select(F.col("date").alias("feature_date")).distinct()
+def feature_panel(stocks: DataFrame, prices: DataFrame, benchmark: DataFrame, reports: DataFrame, carry: list[str] = (), dates: DataFrame | None = None) -> DataFrame:
+    """Every entity at every month of the benchmark, or at each feature_date of ``dates``, with what was known then."""
+    dates = benchmark.select(F.col("date").alias("feature_date")).distinct() if dates is None else dates.select("feature_date").distinct()
     base = spine(dates, stocks)
     priced = backward(base, price_features(prices, benchmark), "ticker", "feature_date", "date")
     known = backward(priced, report_features(reports), "ticker", "feature_date", "known_from")

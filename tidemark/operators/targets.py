@@ -14,12 +14,11 @@ def targets(keys: DataFrame, prices: DataFrame, benchmark: DataFrame, months: in
 
     Labels whose horizon lies after ``as_of`` stay null.
     """
-    asked = keys.select("feature_date", "ticker").withColumn("target_date", target_date(F.col("feature_date"), months)).withColumn("market", F.lit("ALL"))
-    market = benchmark.withColumn("market", F.lit("ALL"))
+    asked = keys.select("feature_date", "ticker").withColumn("target_date", target_date(F.col("feature_date"), months))
     got = nearest(asked, prices, "ticker", "feature_date", "date", "adjusted_close", "p0")
     got = nearest(got, prices, "ticker", "target_date", "date", "adjusted_close", "p1")
-    got = nearest(got, market, "market", "feature_date", "date", "adjusted_close", "b0")
-    got = nearest(got, market, "market", "target_date", "date", "adjusted_close", "b1")
+    got = nearest(got, benchmark, None, "feature_date", "date", "adjusted_close", "b0")
+    got = nearest(got, benchmark, None, "target_date", "date", "adjusted_close", "b1")
     stock, bench = safe_divide(F.col("p1"), F.col("p0")) - 1, safe_divide(F.col("b1"), F.col("b0")) - 1
     if as_of is not None:
         due = F.col("target_date") <= F.lit(as_of)
@@ -59,5 +58,5 @@ def target_summary(labels: DataFrame) -> DataFrame:
 
 
 def winner_rate_by_sector(labels: DataFrame, stocks: DataFrame) -> DataFrame:
-    rows = labels.where("winner is not null").join(F.broadcast(stocks.select("ticker", "sector")), "ticker", "left")
+    rows = labels.where("winner is not null").join(stocks.select("ticker", "sector"), "ticker", "left")
     return rows.groupBy("sector").agg(F.count("*").alias("n"), F.avg("winner").alias("winner_rate"), F.avg("excess_return").alias("mean_excess"), F.stddev_samp("excess_return").alias("std_excess"))

@@ -377,16 +377,15 @@ def b11_growth(spark, sf_dir):
     return tidy(grown.select("date", *[F.ln(c).alias(f"log_{c}") for c in ("portfolio", "benchmark", "ratio")]))
 
 
-@query(
-    Q.query(
-        *SCORED,
-        Q.SIM,
-        "gw AS (SELECT date, product(1 + portfolio_return) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM sim), dd AS (SELECT min(d) AS max_drawdown FROM (SELECT g / max(g) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS d FROM gw)), one AS (SELECT count(*) AS n_months, product(1 + portfolio_return) - 1 AS total_return, product(1 + benchmark_return) - 1 AS benchmark_total_return, pow(product(1 + portfolio_return), 12.0::DOUBLE / count(*)) - 1 AS annual_return, pow(product(1 + benchmark_return), 12.0::DOUBLE / count(*)) - 1 AS benchmark_annual_return, stddev_samp(portfolio_return) * sqrt(12) AS volatility, stddev_samp(CASE WHEN portfolio_return < 0 THEN portfolio_return END) * sqrt(12) AS downside_volatility, pow(product(1 + excess_return), 12.0::DOUBLE / count(*)) - 1 AS annual_excess, stddev_samp(excess_return) * sqrt(12) AS tracking_error, avg((portfolio_return > benchmark_return)::INT) AS hit_rate FROM sim)",
-        select="SELECT n_months, "
-        + ", ".join(f"round({c}, 6) AS {c}" for c in ("total_return", "benchmark_total_return", "annual_return", "benchmark_annual_return", "volatility", "downside_volatility", "annual_excess", "tracking_error", "hit_rate", "max_drawdown"))
-        + ", round(annual_return / volatility, 6) AS sharpe, round(annual_return / downside_volatility, 6) AS sortino, round(annual_excess / tracking_error, 6) AS information_ratio, round(annual_return / nullif(abs(max_drawdown), 0), 6) AS calmar FROM one, dd",
-    )
+SIM_SUMS = "gw AS (SELECT date, product(1 + portfolio_return) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM sim), dd AS (SELECT min(d) AS max_drawdown FROM (SELECT g / max(g) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS d FROM gw)), one AS (SELECT count(*) AS n_months, product(1 + portfolio_return) - 1 AS total_return, product(1 + benchmark_return) - 1 AS benchmark_total_return, pow(product(1 + portfolio_return), 12.0::DOUBLE / count(*)) - 1 AS annual_return, pow(product(1 + benchmark_return), 12.0::DOUBLE / count(*)) - 1 AS benchmark_annual_return, stddev_samp(portfolio_return) * sqrt(12) AS volatility, stddev_samp(CASE WHEN portfolio_return < 0 THEN portfolio_return END) * sqrt(12) AS downside_volatility, pow(product(1 + excess_return), 12.0::DOUBLE / count(*)) - 1 AS annual_excess, stddev_samp(excess_return) * sqrt(12) AS tracking_error, avg((portfolio_return > benchmark_return)::INT) AS hit_rate FROM sim)"
+SIM_METRICS = (
+    "n_months, "
+    + ", ".join(f"round({c}, 6) AS {c}" for c in ("total_return", "benchmark_total_return", "annual_return", "benchmark_annual_return", "volatility", "downside_volatility", "annual_excess", "tracking_error", "hit_rate", "max_drawdown"))
+    + ", round(annual_return / volatility, 6) AS sharpe, round(annual_return / downside_volatility, 6) AS sortino, round(annual_excess / tracking_error, 6) AS information_ratio, round(annual_return / nullif(abs(max_drawdown), 0), 6) AS calmar"
 )
+
+
+@query(Q.query(*SCORED, Q.SIM, SIM_SUMS, select=f"SELECT {SIM_METRICS} FROM one, dd"))
 def b21_metrics(spark, sf_dir):
     return tidy(backtest.metrics(simulation(load_panel(spark, sf_dir))))
 

@@ -7,22 +7,41 @@ is small whatever the size of the facts.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import quarter_label, report_lag_days
+from .shared import fresh_folder
 
 
-@dataclass(frozen=True)
 class Panel:
-    stocks: DataFrame
-    prices: DataFrame
-    benchmark: DataFrame
-    fundamentals: DataFrame
+    """The four tables; each is made, and written where ``written`` says so, when it is first asked for."""
+
+    def __init__(self, make: dict[str, Callable[[], DataFrame]]):
+        self._make, self._made = make, {}
+
+    def _table(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._make[name]()
+        return self._made[name]
+
+    @property
+    def stocks(self) -> DataFrame:
+        return self._table("stocks")
+
+    @property
+    def prices(self) -> DataFrame:
+        return self._table("prices")
+
+    @property
+    def benchmark(self) -> DataFrame:
+        return self._table("benchmark")
+
+    @property
+    def fundamentals(self) -> DataFrame:
+        return self._table("fundamentals")
 
 
 def with_returns(prices: DataFrame, *key: str) -> DataFrame:
@@ -30,22 +49,40 @@ def with_returns(prices: DataFrame, *key: str) -> DataFrame:
     return prices.withColumn("monthly_return", F.try_divide("adjusted_close", F.lag("adjusted_close").over(w)) - 1)
 
 
-def mean_amount(c: str) -> Column:
-    """Mean of amounts in cents from their exact sum, whatever the order of the rows."""
-    return F.sum(F.col(c).cast("decimal(18,2)")).cast("double") / F.count(c)
+def facts(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], DataFrame]]:
+    """How each table is aggregated from the facts.
 
-
-def load_panel(spark: SparkSession, sf_dir: str) -> Panel:
+    Prices and the benchmark share one table, ``monthly``: sums of amounts by nation and
+    month (orders of no known nation under null). Reports alone read the line items.
+    """
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    # nation and region have 25 and 5 rows by definition of the schema.
-    nations = F.broadcast(read("nation").join(F.broadcast(read("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("ticker"), F.col("r_name").alias("sector")))
-    customers = read("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "ticker", "sector")
-    stocks = customers.groupBy("ticker", "sector").agg(F.count("*").cast("double").alias("shares_outstanding_m"))
-    placed = read("orders").select("o_orderkey", "o_custkey", "o_totalprice", F.to_date("o_orderdate").alias("day")).join(customers.select("c_custkey", "ticker"), F.col("o_custkey") == F.col("c_custkey"))
-    monthly = placed.groupBy("ticker", F.last_day("day").alias("date")).agg(mean_amount("o_totalprice").alias("adjusted_close"), F.count("*").cast("double").alias("volume"))
-    market = read("orders").groupBy(F.last_day(F.to_date("o_orderdate")).alias("date")).agg(mean_amount("o_totalprice").alias("adjusted_close")).withColumn("benchmark_ticker", F.lit("ALL"))
-    quarter_end = F.last_day(F.add_months(F.trunc("day", "quarter"), 2))
-    lines = read("lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax").join(placed.select("o_orderkey", "ticker", quarter_end.alias("fiscal_date")), F.col("l_orderkey") == F.col("o_orderkey"))
+
+    def customers() -> DataFrame:
+        # nation and region have 25 and 5 rows by definition of the schema.
+        nations = F.broadcast(read("nation").join(F.broadcast(read("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("ticker"), F.col("r_name").alias("sector")))
+        return read("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "ticker", "sector")
+
+    def placed(how: str, *columns: str) -> DataFrame:
+        orders = read("orders").select("o_custkey", F.to_date("o_orderdate").alias("day"), *columns)
+        return orders.join(customers().select("c_custkey", "ticker"), F.col("o_custkey") == F.col("c_custkey"), how)
+
+    def stocks() -> DataFrame:
+        return customers().groupBy("ticker", "sector").agg(F.count("*").cast("double").alias("shares_outstanding_m"))
+
+    def monthly() -> DataFrame:
+        amount = F.col("o_totalprice").cast("decimal(18,2)")
+        return placed("left", "o_totalprice").groupBy("ticker", F.last_day("day").alias("date")).agg(F.sum(amount).alias("amount"), F.count("o_totalprice").alias("n"), F.count("*").alias("orders"))
+
+    def fundamentals() -> DataFrame:
+        quarter_end = F.last_day(F.add_months(F.trunc("day", "quarter"), 2))
+        lines = read("lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax").join(placed("inner", "o_orderkey").select("o_orderkey", "ticker", quarter_end.alias("fiscal_date")), F.col("l_orderkey") == F.col("o_orderkey"))
+        return _reported(lines)
+
+    return {"stocks": stocks, "monthly": monthly, "fundamentals": fundamentals}
+
+
+def _reported(lines: DataFrame) -> DataFrame:
+    """Quarterly figures from line items with ticker and fiscal_date."""
     price, discount, tax = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
     reports = lines.groupBy("ticker", "fiscal_date").agg(
         F.sum(price * (1 - discount)).alias("revenue"),
@@ -55,7 +92,7 @@ def load_panel(spark: SparkSession, sf_dir: str) -> Panel:
         (F.sum(price * tax) * 5).alias("total_debt"),
         F.sum(price * (F.lit(0.1) - discount + tax)).alias("free_cash_flow"),
     )
-    fundamentals = reports.select(
+    return reports.select(
         "ticker",
         "fiscal_date",
         quarter_label(F.col("fiscal_date")).alias("fiscal_period"),
@@ -70,25 +107,37 @@ def load_panel(spark: SparkSession, sf_dir: str) -> Panel:
         (F.col("total_debt") / F.col("equity")).alias("debt_to_equity"),
         (F.col("net_income") / F.col("revenue")).alias("operating_margin"),
     )
-    return Panel(stocks, with_returns(monthly, "ticker"), with_returns(market, "benchmark_ticker"), fundamentals)
 
 
 def materialised_panel(spark: SparkSession, sf_dir: str) -> Panel:
-    """The panel as written tables, so that a plan that needs it often reads the facts once."""
-    panel = load_panel(spark, sf_dir)
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spark-panel-")
-    folder = f"{root.rstrip('/')}/panel-{uuid.uuid4().hex}"
-
-    def stored(name: str) -> DataFrame:
-        df = getattr(panel, name)
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    return Panel(*(stored(f.name) for f in fields(Panel)))
+    """The panel as written tables, so that a plan that needs one often reads the facts once.
+
+    A table is written when a query first asks for it: what reads prices alone never reads
+    line items. The folder is the query's own and stays, since the query's rows are read later.
+    """
+    make, folder, kept = facts(spark, sf_dir), [], {}
+
+    def written(name: str) -> DataFrame:
+        if name not in kept:
+            if not folder:
+                folder.append(fresh_folder(spark, "panel"))
+            df = make[name]()
+            df.write.parquet(f"{folder[0]}/{name}")
+            kept[name] = spark.read.schema(df.schema).parquet(f"{folder[0]}/{name}")
+        return kept[name]
+
+    def mean() -> Column:
+        """From exact sums, whatever the order of the rows."""
+        return F.sum("amount").cast("double") / F.sum("n")
+
+    def prices() -> DataFrame:
+        own = written("monthly").where("ticker is not null").groupBy("ticker", "date").agg(mean().alias("adjusted_close"), F.sum("orders").cast("double").alias("volume"))
+        return with_returns(own, "ticker")
+
+    def benchmark() -> DataFrame:
+        return with_returns(written("monthly").groupBy("date").agg(mean().alias("adjusted_close")).withColumn("benchmark_ticker", F.lit("ALL")), "benchmark_ticker")
+
+    return Panel({"stocks": lambda: written("stocks"), "fundamentals": lambda: written("fundamentals"), "prices": prices, "benchmark": benchmark})
 
 
 SQL = """

@@ -16,5 +16,8 @@ def windowed(events: DataFrame, late: str = "1 hour", size: str = "1 hour") -> D
 
 
 def upsert_stream(batches: DataFrame, store: TableStore, name: str, keys: list[str], order: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch replaces the rows of its keys; a batch that comes twice changes nothing."""
-    return batches.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: store.upsert(name, df, keys, order)).start()
+    """Each micro-batch replaces the rows of its keys, in the files that hold them.
+
+    A batch's number is marked in the commit, so one that comes twice changes nothing.
+    """
+    return batches.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, k: store.upsert(name, df, keys, order, mark=(checkpoint, k))).start()
