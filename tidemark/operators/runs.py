@@ -21,7 +21,9 @@ from .asof import spine
 from .targets import targets
 
 STEPS = ("ingest", "features", "targets", "train", "score", "realize")
-STATE = ("peers", "ladders", "rungs")
+#: The keys of the stored state; its rows of a date come together.
+STATE = {"peers": ["feature_date", "sector", "figure"], "ladders": ["feature_date", "figure"], "rungs": ["feature_date", "figure", "slice", "value"]}
+KEYS = ["feature_date", "ticker"]
 
 
 class Stopped(RuntimeError):
@@ -32,9 +34,10 @@ def save_universe(store: TableStore, universe: DataFrame, train: DataFrame, name
     """Fits on ``train``, scores ``universe`` and stores model table and state; returns the scored universe."""
     save_models(store, train, names, version, full)
     rows, used = model_table.predicted(universe, read_models(store, version))
-    scored = scoring.scores(rows, **used)
+    store.write("scored_universe", scoring.scores(rows, **used), KEYS)
+    scored = store.read("scored_universe")
     for name, table in outside.stored_state(scored, used).items():
-        store.write(name, table, ["feature_date"])
+        store.write(name, table, KEYS[:1])
     return scored
 
 
@@ -144,8 +147,10 @@ class MonthlyRun:
         made = scoring.scores(rows, **used)
         made = made.withColumns({"class": scoring.classify(*[F.col(c) for c in ("probability", "predicted_excess", "agreement_score", "data_quality_score")]), "label": scoring.label_of_score(F.col("final_score"))})
         made = scoring.agreement_flag(made, ["weakest"])
+        self.store.upsert("scored_universe", made, KEYS, "final_score", mark)
+        made = self.store.read("scored_universe").where(F.col("feature_date") == F.lit(month))  # several tables come from it
         for name, table in outside.stored_state(made, used).items():
-            self.store.upsert(name, table, ["feature_date", *[c for c in ("sector", "figure", "slice", "value") if c in table.columns and not (name == "ladders" and c == "value")]], "figure", (f"{mark[0]}:{name}", 0))
+            self.store.upsert(name, table, STATE[name], "figure", mark)
         records = fitted.snapshot_records(made, self.names, version).withColumnRenamed("feature_date", "prediction_date")
         save(self.store, "prediction_snapshots", records, order="final_score", mark=mark)
 

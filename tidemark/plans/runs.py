@@ -84,7 +84,8 @@ PLACED = ["risk_score", "valuation_score", "momentum_score", "fundamental_score"
 def g13_outside_entity(spark, sf_dir):
     """One nation is withheld; the others are fitted, scored and stored; it is scored from the tables."""
     p, store = load_panel(spark, sf_dir), _store(spark)
-    universe = relative_of(p, p.stocks.where(F.col("ticker") != OUTSIDE))
+    store.write("monthly_features", relative_of(p, p.stocks.where(F.col("ticker") != OUTSIDE)), runs.KEYS)
+    universe = store.read("monthly_features")
     train = universe.join(labels(p).where("winner is not null").select("feature_date", "ticker", "excess_return", "winner"), ["feature_date", "ticker"])
     runs.save_universe(store, universe, train, list(OLS), VERSION, full=False)
     return tidy(runs.score_outside(store, own_features(p, OUTSIDE), VERSION).select("feature_date", "ticker", *PLACED, "rank", "class", "would_pass"))
