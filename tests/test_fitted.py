@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import fitted, models
+from tidemark.operators import fitted, models, newton
 
 NAMES = ["a", "b", "c"]
 
@@ -74,7 +74,7 @@ def test_fits_without_rows_are_empty(panel):
     none = panel.where("false")
     assert (fitted.ridge_of(none, NAMES)[1] == 0).all()
     assert fitted.lasso_path(none, NAMES) == [] and fitted.rolling_r_squared(none, NAMES) == []
-    assert fitted.rolling_auc(none, NAMES).count() == 0 and fitted.logit_table(none, NAMES)[0] == []
+    assert newton.rolling_auc(none, NAMES).count() == 0 and fitted.logit_table(none, NAMES)[0] == []
     assert fitted.actual_vs_predicted(none, NAMES).count() == 0
 
 
@@ -105,13 +105,24 @@ def test_rolling_r_squared_equals_fits_of_each_run(panel, rows):
         assert abs(r2 - (1 - e @ e / ((y[part] - y[part].mean()) ** 2).sum())) < 1e-9
 
 
+def one_logit(x, y):
+    """Means, deviations and weights of a penalised fit of one window, on standardised features."""
+    mean, sd = x.mean(axis=0), x.std(axis=0)
+    z = np.column_stack([np.ones(len(x)), (x - mean) / sd])
+    penalty, w = np.diag([0.0, *[1.0] * x.shape[1]]), np.zeros(x.shape[1] + 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        w = w + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
+    return mean, sd, w
+
+
 def test_rolling_auc_equals_a_count_over_pairs(panel, rows):
     x, _, won = arrays(rows)
-    got = {r.feature_date: r for r in fitted.rolling_auc(panel, NAMES).collect()}
+    got = {r.feature_date: r for r in newton.rolling_auc(panel, NAMES).collect()}
     assert set(got) == {day(k) for k in range(36, 48)}
     k = 40
     low, cut, high = (k - 36) * 6, (k - 36 + 25) * 6, k * 6
-    mean, sd, w = fitted._logit(x[low:cut], won[low:cut])
+    mean, sd, w = one_logit(x[low:cut], won[low:cut])
     p, y = w[0] + ((x[cut:high] - mean) / sd) @ w[1:], won[cut:high]
     pairs = [(a > b) + (a == b) / 2 for a in p[y == 1] for b in p[y == 0]]
     assert abs(got[day(k)].auc - np.mean(pairs)) < 1e-12 and got[day(k)].n_train == cut - low

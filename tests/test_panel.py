@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidemark.functions import scalars as S
-from tidemark.operators import asof, models, stats
+from tidemark.operators import asof, fitted, models, stats
 from tidemark.sources.store import TableStore, insert_ignore, upsert
 from tidemark.streaming.events import upsert_stream
 
@@ -60,8 +60,8 @@ def test_linear_models_agree_with_numpy(spark):
     fit = models.ols(matrix, ["a", "b", "c"])
     want = np.linalg.lstsq(np.column_stack([np.ones(200), x]), y, rcond=None)[0]
     assert np.allclose([r[1] for r in fit["coefficients"]], want)
-    assert np.allclose(models.ridge(matrix, 1e-9), want, atol=1e-6)
-    assert abs(models.lasso(matrix, 0.05)[3]) < 1e-9
+    assert np.allclose(fitted.ridge(matrix, 1e-9), want, atol=1e-6)
+    assert abs(fitted.lasso(matrix, 0.05)[3]) < 1e-9
     assert all(v >= 1 for _, v in models.vif(matrix, ["a", "b", "c"]))
 
 

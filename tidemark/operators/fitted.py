@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,6 +129,28 @@ def compared(ridge_table: DataFrame, lasso_table: DataFrame) -> DataFrame:
     return both.withColumn("agreement", F.when(c == 0, ZEROED).when((r > 0) & (c > 0), POSITIVE).when((r < 0) & (c < 0), NEGATIVE).otherwise(APART))
 
 
+def model_comparison(df: DataFrame, features: list[str], label: str = "excess_return", share: float = 0.7, date: str = "feature_date") -> tuple[list[tuple], list[tuple]]:
+    """OLS, ridge and lasso fitted on the first share of the dates and measured on both parts, from two matrices.
+
+    Returns (model, penalty, n_train, n_test, r2_train, r2_test, rmse_train, rmse_test, gap,
+    n_used) of each model, gap being the R² lost on the later dates, and (feature, ridge
+    weight, lasso weight) on standardised features.
+    """
+    rows = models.time_split(df.na.drop(subset=[*features, label]), share, date)
+    parts = {k[0]: m for k, m in models.gram(rows, [*features, label], "is_train")}
+    if True not in parts or False not in parts:
+        return [], []
+    train, test = parts[True], parts[False]
+    earlier = rows.where("is_train")
+    found = {"ols": (None, np.linalg.pinv(train[:-1, :-1], hermitian=True) @ train[:-1, -1], None), "ridge": ridge_of(earlier, features, label), "lasso": lasso_of(earlier, features, label)}
+    table = []
+    for name, (alpha, w, standard) in found.items():
+        r2 = [r_squared(m, w) for m in (train, test)]
+        rmse = [math.sqrt(max(models.squared_error(m, w), 0.0) / m[0, 0]) for m in (train, test)]
+        table.append((name, alpha, int(train[0, 0]), int(test[0, 0]), *map(float, r2), *rmse, float(r2[0] - r2[1]), int(np.count_nonzero(w[1:] if standard is None else standard[1:]))))
+    return table, [(f, float(r), float(c)) for f, r, c in zip(features, found["ridge"][2][1:], found["lasso"][2][1:], strict=True)]
+
+
 # --- fits by date
 
 
@@ -157,91 +178,24 @@ def rolling_r_squared(df: DataFrame, features: list[str], label: str = "excess_r
     return out
 
 
-def _logit(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means, deviations and weights of an L2-penalised logistic fit on standardised features."""
-    mean, sd = x.mean(axis=0), x.std(axis=0)
-    sd[sd == 0] = 1.0
-    z = np.column_stack([np.ones(len(x)), (x - mean) / sd])
-    penalty = np.diag([0.0, *[1 / c] * x.shape[1]])
-    w = np.zeros(z.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-z @ w))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
-        w = w + step
-        if np.abs(step).max() < 1e-10:
-            break
-    return mean, sd, w
-
-
-def rank_auc(p: np.ndarray, y: np.ndarray) -> float:
-    ranks, n1 = pd.Series(p).rank().to_numpy(), int(y.sum())
-    return float((ranks[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1)))
-
-
-def rolling_auc(df: DataFrame, features: list[str], label: str = "winner", dates: int = 36, share: float = 0.7, date: str = "feature_date") -> DataFrame:
-    """AUC of a logistic fit over the ``dates`` dates before each date: fitted on the first share, measured on the rest.
-
-    Runs of fewer than 30 rows (15 to fit, 5 to measure) or with one label only in either part are left out. A task holds the rows of
-    ``dates`` dates; runs are fitted side by side.
-    """
-    rows = df.na.drop(subset=[*features, label]).select(date, F.col(label).cast("int").alias("_y"), *[F.col(c).cast("double").alias(c) for c in features])
-    days = rows.select(date).distinct()
-    nth, n = F.row_number().over(Window.orderBy(date)).cast("int"), F.count("*").over(Window.partitionBy()).cast("int")
-    days = days.select(date, nth.alias("_nth"), n.alias("_n"))  # a row a date
-    first = F.greatest(F.col("_nth"), F.lit(dates)) + 1
-    run_end = F.explode(F.sequence(first, F.least(F.col("_nth") + dates, F.col("_n"))))
-    runs = rows.join(F.broadcast(days.where(F.col("_n") >= first)), date).withColumn("_end", run_end)
-
-    def fit(run: pd.DataFrame) -> pd.DataFrame:
-        order = np.sort(run["_nth"].unique())
-        early = run["_nth"].to_numpy() < order[int(len(order) * share)]
-        x, y = run[features].to_numpy(float), run["_y"].to_numpy()
-        if min(len(set(y[early])), len(set(y[~early]))) < 2 or len(y) < 30 or early.sum() < 15 or (~early).sum() < 5:
-            return pd.DataFrame({"at": [], "n_train": [], "n_test": [], "auc": []})
-        mean, sd, w = _logit(x[early], y[early])
-        z = w[0] + ((x[~early] - mean) / sd) @ w[1:]
-        return pd.DataFrame({"at": [run["_end"].iloc[0]], "n_train": [int(early.sum())], "n_test": [int((~early).sum())], "auc": [rank_auc(z, y[~early])]})
-
-    fitted = runs.groupBy("_end").applyInPandas(fit, "at int, n_train bigint, n_test bigint, auc double")
-    return fitted.join(F.broadcast(days), F.col("at") == F.col("_nth")).select(date, "n_train", "n_test", "auc")
-
-
 def logit_table(df: DataFrame, features: list[str], label: str = "winner", rounds: int = 50) -> tuple[list[tuple], dict]:
     """Unpenalised logistic regression: (term, coefficient, std_error, z, p_value, low, high, odds_ratio) and the fit's figures.
 
-    Each step is one aggregation over complete rows. Figures: n, log_likelihood,
+    Each step is one pass over complete rows; without rows of both labels there is no fit. Figures: n, log_likelihood,
     null_log_likelihood, pseudo_r2, aic, bic, converged.
     """
-    rows = df.na.drop(subset=[*features, label]).select(*features, label).persist()  # read once for every step
-    try:
-        base = models.gram(rows, [*features, label])[0][1]
-        n = base[0, 0]
-        if not n:
-            return [], {"n": 0, "converged": False}
-        mean = base[0, 1:-1] / n
-        sd = np.sqrt(np.maximum(np.diag(base)[1:-1] / n - mean**2, 1e-300))
-        scaled = [F.lit(1.0), *[(F.col(f) - float(m)) / float(s) for f, m, s in zip(features, mean, sd, strict=True)]]
-        k, w, converged = len(scaled), np.zeros(len(scaled)), False
-        for _ in range(rounds):
-            z = sum((t * float(v) for t, v in zip(scaled, w, strict=True)), F.lit(0.0))
-            p = 1 / (1 + F.exp(-z))
-            y = F.col(label)
-            terms = [F.sum((y - p) * t).alias(f"g{i}") for i, t in enumerate(scaled)]
-            terms += [F.sum(p * (1 - p) * scaled[i] * scaled[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
-            r = rows.agg(*terms, F.sum(y * z - F.log1p(F.exp(z))).alias("ll")).first()
-            hessian = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-            step = np.linalg.pinv(hessian) @ np.array([r[f"g{i}"] for i in range(k)])
-            if np.abs(step).max() < 1e-9:
-                converged = True
-                break
-            w = w + step
-    finally:
-        rows.unpersist()
-    back = np.diag([1.0, *(1 / sd)])
-    back[0, 1:] = -mean / sd
-    b, covariance = back @ w, back @ np.linalg.pinv(hessian) @ back.T
+    from . import newton  # which builds on this module
+
+    rows = df.na.drop(subset=[*features, label]).select(F.lit(0).alias("_all"), *features, label)
+    fit = newton.fits(rows, features, label, [(0, 0)], "_all", None, rounds)[0]
+    if fit is None:
+        return [], {"n": 0, "converged": False}
+    n, k, converged = fit.n, len(features) + 1, fit.converged
+    back = np.diag([1.0, *(1 / fit.sd)])
+    back[0, 1:] = -fit.mean / fit.sd
+    b, covariance = back @ fit.weights, back @ np.linalg.pinv(fit.hessian) @ back.T
     se = np.sqrt(np.maximum(np.diag(covariance), 0.0))
-    share, ll = base[0, -1] / n, float(r["ll"])
+    share, ll = float(rows.agg(F.avg(label)).first()[0]), fit.log_likelihood
     null = float(n * sum(q * math.log(q) for q in (share, 1 - share) if q > 0))
     table = []
     for term, v, s in zip(["intercept", *features], b.tolist(), se.tolist(), strict=True):
@@ -253,10 +207,10 @@ def logit_table(df: DataFrame, features: list[str], label: str = "winner", round
 # --- scoring with models, snapshots
 
 
-def filled(panel: DataFrame, features: list[str], by: str = "feature_date") -> DataFrame:
-    """Missing features as the date's median, else 0."""
-    w = Window.partitionBy(by)
-    return panel.withColumns({c: F.coalesce(F.col(c), F.percentile(c, F.lit(0.5)).over(w), F.lit(0.0)) for c in features})
+def filled(panel: DataFrame, train: DataFrame, features: list[str]) -> DataFrame:
+    """Missing features as the mean of the training rows, else 0."""
+    means = train.agg(*[F.avg(c).alias(c) for c in features]).first()
+    return panel.withColumns({c: F.coalesce(F.col(c), F.lit(means[c]).cast("double"), F.lit(0.0)) for c in features})
 
 
 def with_predictions(panel: DataFrame, train: DataFrame, features: list[str]) -> tuple[DataFrame, dict]:
@@ -269,7 +223,7 @@ def with_predictions(panel: DataFrame, train: DataFrame, features: list[str]) ->
         return panel, {}
     logit = models.logistic(complete, features, "winner")
     weights = {"ridge_prediction": ridge_of(complete, features)[1], "lasso_prediction": lasso_of(complete, features)[1]}
-    x = filled(panel.select("feature_date", "ticker", *features), features)
+    x = filled(panel.select("feature_date", "ticker", *features), complete, features)
     shown = {"probability": 1 / (1 + F.exp(-models.linear(features, logit))), **{c: models.linear(features, w) for c, w in weights.items()}}
     predicted = x.select("feature_date", "ticker", *[v.alias(c) for c, v in shown.items()])
     return panel.join(predicted, ["feature_date", "ticker"]), {"probability": "probability", "excess": "ridge_prediction", "votes": ("probability", *weights)}

@@ -8,11 +8,14 @@ matrices, whose size depends on the number of features alone, reach the driver.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import student
 from .stats import t_p_value
 
 
@@ -25,14 +28,18 @@ def time_split(df: DataFrame, share: float = 0.7, date: str = "feature_date") ->
 
 
 def simple_regressions(long: DataFrame, least: int = 20) -> DataFrame:
-    """One-variable OLS of y on x for each feature, in closed form."""
+    """One-variable OLS of y on x for each feature, in closed form, with t tests and 95% intervals."""
     agg = long.groupBy("feature").agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"))
     n = F.col("n")
     residual = (1 - F.col("r2")) * F.col("syy") / (n - 2)
     out = agg.where(n >= least).withColumn("std_error", F.sqrt(residual / F.col("sxx")))
+    t, half = F.try_divide("slope", "std_error"), student.t_quantile(0.05, n - 2) * F.col("std_error")
     return out.select(
         "feature",
         "n",
+        student.t_p_value(t, n - 2).alias("p_value"),
+        (F.col("slope") - half).alias("ci_low"),
+        (F.col("slope") + half).alias("ci_high"),
         "slope",
         "intercept",
         "r2",
@@ -44,6 +51,21 @@ def simple_regressions(long: DataFrame, least: int = 20) -> DataFrame:
     )
 
 
+def held_out_r_squared(long: DataFrame, share: float = 0.7, least: tuple[int, int] = (20, 10)) -> DataFrame:
+    """feature, r2_test: each fit on the first share of its own dates, measured on the rest; from sums by date."""
+    x, y = F.col("x"), F.col("y")
+    names = ("n", "sx", "sy", "sxx", "sxy", "syy")
+    daily = long.groupBy("feature", "feature_date").agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"), F.sum(y * y).alias("syy"))
+    w = Window.partitionBy("feature")
+    train = F.row_number().over(w.orderBy("feature_date")) - 1 < F.floor(F.count("*").over(w) * share)
+    parts = daily.withColumn("_train", train).groupBy("feature").agg(*[F.sum(F.when(F.col("_train") == side, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k, side in ((0, True), (1, False)) for c in names])
+    b = F.try_divide(F.col("n0") * F.col("sxy0") - F.col("sx0") * F.col("sy0"), F.col("n0") * F.col("sxx0") - F.col("sx0") * F.col("sx0"))
+    a = (F.col("sy0") - F.col("b") * F.col("sx0")) / F.col("n0")
+    made = parts.where((F.col("n0") >= least[0]) & (F.col("n1") >= least[1])).withColumn("b", b).withColumn("a", a)
+    rss = F.expr("syy1 - 2 * a * sy1 - 2 * b * sxy1 + n1 * a * a + 2 * a * b * sx1 + b * b * sxx1")
+    return made.select("feature", (1 - F.try_divide(rss, F.expr("syy1 - sy1 * sy1 / n1"))).alias("r2_test"))
+
+
 def residuals(long: DataFrame, fits: DataFrame) -> DataFrame:
     fitted = F.col("intercept") + F.col("slope") * F.col("x")
     return long.join(F.broadcast(fits.select("feature", "slope", "intercept")), "feature").withColumns({"fitted": fitted, "residual": F.col("y") - fitted})
@@ -81,23 +103,43 @@ def apply_simple(panel: DataFrame, fits: DataFrame, features: list[str], by: str
     return long.join(F.broadcast(fits.select("feature", "slope", "intercept")), "feature").select(by, "ticker", "feature", (F.col("intercept") + F.col("slope") * F.col("x")).alias("prediction"))
 
 
-def gram(df: DataFrame, columns: list[str], *by: str) -> list:
-    """Sums of products of (1, columns...) over complete rows, one matrix for each group of ``by``."""
-    complete = df.na.drop(subset=columns)
-    terms: list[Column] = [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
-    k = len(terms)
-    sums = [F.sum(terms[i] * terms[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
-    rows = (complete.groupBy(*by) if by else complete).agg(*sums).collect()
-    out = []
+def moments(df: DataFrame, columns: list[str], *by: str) -> list[tuple[tuple, np.ndarray]]:
+    """Sums of products of (1, columns...) over complete rows, one matrix for each group of ``by``.
+
+    Tasks multiply their batches and hand on one matrix a group; those meet by group and
+    place, so a wide matrix needs no wide aggregation.
+    """
+    complete = df.na.drop(subset=columns).select(*by, *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)])
+    names, k = [f"_c{i}" for i in range(len(columns))], len(columns) + 1
+    upper = np.triu_indices(k)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            z = np.column_stack([np.ones(len(batch)), batch[names].to_numpy(float)])
+            groups = batch.groupby(list(by), sort=False).indices if by else {(): np.arange(len(batch))}
+            for key, at in groups.items():
+                key, m = key if isinstance(key, tuple) else (key,), (z[at].T @ z[at])[upper]
+                total[key] = total[key] + m if key in total else m
+        for key, m in total.items():
+            yield pd.DataFrame({**{b: [v] * len(m) for b, v in zip(by, key, strict=True)}, "_place": np.arange(len(m)), "_value": m})
+
+    kinds = "".join(f"`{b}` {complete.schema[b].dataType.simpleString()}, " for b in by)
+    rows = complete.mapInPandas(sums, f"{kinds}_place int, _value double").groupBy(*by, "_place").agg(F.sum("_value").alias("_value")).collect()
+    found: dict[tuple, np.ndarray] = {} if by else {(): np.zeros(len(upper[0]))}
     for r in rows:
+        found.setdefault(tuple(r[b] for b in by), np.zeros(len(upper[0])))[r["_place"]] = r["_value"]
+    out = []
+    for key, v in found.items():
         m = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                m[i, j] = m[j, i] = r[f"s{i}_{j}"] or 0.0
-        out.append((tuple(r[b] for b in by), m))
+        m[upper] = v
+        out.append((key, m + np.triu(m, 1).T))
     return out
 
 
+gram = moments
+
+
 def ols(matrix: np.ndarray, names: list[str]) -> dict:
     """Multiple regression from a Gram matrix of (1, features..., label)."""
     n, xx, xy, yy = float(matrix[0, 0]), matrix[:-1, :-1], matrix[:-1, -1], matrix[-1, -1]
@@ -121,47 +163,6 @@ def vif(matrix: np.ndarray, names: list[str]) -> list[tuple[str, float]]:
     return [(name, float(g[i, i] * inverse[i, i])) for i, name in enumerate(names)]
 
 
-def select_by_vif(matrix: np.ndarray, names: list[str], threshold: float = 10.0) -> list[str]:
-    kept = list(names)
-    while len(kept) > 1:
-        at = [0, *[1 + names.index(c) for c in kept]]
-        worst = max(vif(matrix[np.ix_(at, at)], kept), key=lambda v: v[1])
-        if worst[1] <= threshold:
-            break
-        kept.remove(worst[0])
-    return kept
-
-
-def _standardised(matrix: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
-    """n, means, deviations, correlation-like X'X and X'y of standardised features, mean of y."""
-    n = matrix[0, 0]
-    mean = matrix[0, 1:] / n
-    cov = matrix[1:, 1:] / n - np.outer(mean, mean)
-    sd = np.sqrt(np.maximum(np.diag(cov)[:-1], 1e-300))
-    return n, mean[:-1], sd, cov[:-1, :-1] / np.outer(sd, sd) * n, cov[:-1, -1] / sd * n, mean[-1]
-
-
-def ridge(matrix: np.ndarray, alpha: float) -> np.ndarray:
-    """(intercept, coefficients...) on the features' own scale."""
-    _, mean, sd, xx, xy, my = _standardised(matrix)
-    b = np.linalg.solve(xx + alpha * np.eye(len(xy)), xy) / sd
-    return np.append(my - mean @ b, b)
-
-
-def lasso(matrix: np.ndarray, alpha: float, rounds: int = 2000) -> np.ndarray:
-    """Coordinate descent on the Gram matrix; penalty alpha * n as in (1/2n) squared loss."""
-    n, mean, sd, xx, xy, my = _standardised(matrix)
-    b = np.zeros(len(xy))
-    for _ in range(rounds):
-        before = b.copy()
-        for j in range(len(b)):
-            rho = xy[j] - xx[j] @ b + xx[j, j] * b[j]
-            b[j] = math.copysign(max(abs(rho) - alpha * n, 0.0), rho) / xx[j, j]
-        if np.abs(b - before).max() < 1e-10:
-            break
-    return np.append(my - mean @ (b / sd), b / sd)
-
-
 def squared_error(matrix: np.ndarray, w: np.ndarray) -> float:
     full = np.append(w, -1.0)
     return float(full @ matrix @ full)
@@ -172,33 +173,13 @@ def linear(names: list[str], weights) -> Column:
     return sum((F.coalesce(F.col(c), F.lit(0.0)) * float(w) for c, w in zip(names, weights[1:], strict=True)), F.lit(float(weights[0])))
 
 
-def logistic(df: DataFrame, features: list[str], label: str, c: float = 1.0, rounds: int = 12) -> np.ndarray:
-    """L2-penalised logistic regression by Newton steps; each step is one aggregation."""
-    rows = df.na.drop(subset=[*features, label]).select(*features, label).persist()  # read once for every step
-    base = gram(rows, features)[0][1]
-    n = base[0, 0]
-    if not n:
-        return np.zeros(len(features) + 1)
-    mean = base[0, 1:] / n
-    sd = np.sqrt(np.maximum(np.diag(base)[1:] / n - mean**2, 1e-300))
-    scaled = [F.lit(1.0), *[(F.col(f) - float(m)) / float(s) for f, m, s in zip(features, mean, sd, strict=True)]]
-    w, k = np.zeros(len(features) + 1), len(features) + 1
-    ridge_ = np.diag([0.0, *[1 / c] * len(features)])
-    for _ in range(rounds):
-        z = sum((t * float(v) for t, v in zip(scaled, w, strict=True)), F.lit(0.0))
-        p = 1 / (1 + F.exp(-z))
-        g = [F.sum((F.col(label) - p) * t).alias(f"g{i}") for i, t in enumerate(scaled)]
-        h = [F.sum(p * (1 - p) * scaled[i] * scaled[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
-        r = rows.agg(*g, *h).first()
-        gradient = np.array([r[f"g{i}"] for i in range(k)]) - ridge_ @ w
-        hessian = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) + ridge_
-        step = np.linalg.solve(hessian, gradient)
-        w = w + step
-        if np.abs(step).max() < 1e-9:
-            break
-    rows.unpersist()
-    b = w[1:] / sd
-    return np.append(w[0] - mean @ b, b)
+def logistic(df: DataFrame, features: list[str], label: str, c: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """L2-penalised logistic regression: (intercept, weights...) on the features' own scale; 0 without rows of both labels."""
+    from . import newton  # which builds on this module
+
+    rows = df.na.drop(subset=[*features, label]).select(F.lit(0).alias("_all"), *features, label)
+    fit = newton.fits(rows, features, label, [(0, 0)], "_all", c, rounds)[0]
+    return np.zeros(len(features) + 1) if fit is None else fit.own_scale()
 
 
 def running(at: DataFrame, value: str, columns: list[str], slices: int = 256) -> DataFrame:

@@ -140,7 +140,3 @@ def accuracy_by_class(realized: DataFrame, classes: DataFrame) -> DataFrame:
 def ic_heatmap(monthly: DataFrame, features: list[str]) -> DataFrame:
     """Information coefficients with a column for each feature and a row for each month."""
     return monthly.groupBy("feature_date").pivot("feature", features).agg(F.first("ic"))
-
-
-def ordered_first(df: DataFrame, key: str, *by: Column) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*by))).where("_n = 1").drop("_n")

@@ -90,12 +90,20 @@ def warnings(quality: Column, p: Column, agree: Column, risk: Column) -> Column:
     return F.filter(found, lambda m: m.isNotNull())
 
 
-def rank_in_universe(universe: DataFrame, ticker_score: float) -> DataFrame:
-    """Place of one more score among the others, and its percentile."""
-    rank = 1 + F.count_if(F.col("final_score") >= ticker_score)
-    return universe.agg(rank.alias("rank"), (rank / (F.count("*") + 1)).alias("percentile"))
-
-
 def draw(pool: DataFrame, month: str, n: int) -> DataFrame:
     """A sample of the pool fixed by the month: the n smallest digests."""
     return pool.withColumn("_d", F.md5(F.concat(F.lit(month), "ticker").cast("binary"))).orderBy("_d", "ticker").limit(n).drop("_d")
+
+
+def draw_refilled(pool: DataFrame, able: DataFrame, month: str, n: int) -> DataFrame:
+    """ticker, place in the month's order and whether it is a substitute: the first ``n`` of the order that are ``able``.
+
+    One pass: what fails the check is left out before the smallest digests are taken, and a
+    place beyond ``n`` says that it stands in for one that failed. Places are counted
+    among digests up to the last one taken, not over a sort of the pool.
+    """
+    digest = F.md5(F.concat(F.lit(month), "ticker").cast("binary"))
+    ordered = pool.select("ticker", digest.alias("_d"))
+    taken = ordered.join(able.select("ticker").distinct(), "ticker", "left_semi").orderBy("_d", "ticker").limit(n)
+    before = ordered.select(F.struct("_d", "ticker").alias("_o")).join(F.broadcast(taken.select("ticker", F.struct("_d", "ticker").alias("_t"))), F.col("_o") <= F.col("_t"))  # n rows
+    return before.groupBy("ticker").agg(F.count("*").alias("place")).withColumn("substitute", F.col("place") > n)

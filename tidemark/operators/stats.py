@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import student
 from ..functions.scalars import average_rank, quantile_bucket
 
 
@@ -95,8 +96,7 @@ def correlation_report(panel: DataFrame, features: list[str]) -> DataFrame:
     """
     long = long_form(panel, features)
     ics = monthly_ic(long)
-    spark = panel.sparkSession
-    rows = pooled(long).collect()  # one row a feature
-    p = [(r.feature, t_p_value(r.r * math.sqrt((r.n - 2) / max(1 - r.r**2, 1e-15)), r.n - 2) if r.r is not None else None) for r in rows]
-    p_table = corrected(spark.createDataFrame(p, "feature string, p_value double"))
+    r, n = F.col("r"), F.col("n")
+    t = r * F.sqrt((n - 2) / F.greatest(1 - r * r, F.lit(1e-15)))
+    p_table = corrected(pooled(long).select("feature", student.t_p_value(t, n - 2).alias("p_value")))
     return pooled(long).join(ic_summary(ics), "feature", "left").join(ic_stability(ics), "feature", "left").join(p_table, "feature", "left").orderBy(F.abs("mean_ic").desc_nulls_last(), "feature")

@@ -27,11 +27,6 @@ def targets(keys: DataFrame, prices: DataFrame, benchmark: DataFrame, months: in
     return made.select("feature_date", "ticker", "target_date", "stock_return", "benchmark_return", "excess_return", F.when(F.col("excess_return").isNotNull(), (F.col("excess_return") > 0).cast("int")).alias("winner"))
 
 
-def labelled_dates(labels: DataFrame) -> DataFrame:
-    """Only dates that have a label at all."""
-    return labels.join(labels.where("winner is not null").select("feature_date").distinct(), "feature_date", "left_semi")
-
-
 def fill_elapsed(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old labels with nulls filled from newly computed ones."""
     keys = ["feature_date", "ticker"]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import fitted, models, scoring
+from ..operators import asof, fitted, models, newton, scoring, signals, stats, targets
 from . import panel_sql as Q
-from .registry import ALL, LF, MODEL_FEATURES, SCORED, _simple, labelled, labels, load_panel, long, panel_features, query, relative, snapshots, tidy
+from .registry import ALL, LF, MODEL_FEATURES, SCORED, SNAP, _simple, labelled, labels, load_panel, long, panel_features, query, relative, snapshots, tidy
 from .screens import FROM, SOME
 
 _some = ", ".join(f"'{t}'" for t in SOME)
@@ -55,9 +58,17 @@ def m15_logit_table(spark, sf_dir):
     return spark.createDataFrame(table, "term string, coefficient double, std_error double, z double, p_value double, low double, high double, odds_ratio double")
 
 
+@query()
+def m15_logit_figures(spark, sf_dir):
+    """Log-likelihood, pseudo R², AIC and BIC of that fit, and whether it converged."""
+    _, f = fitted.logit_table(labelled(load_panel(spark, sf_dir)), MODEL_FEATURES)
+    names = ("log_likelihood", "null_log_likelihood", "pseudo_r2", "aic", "bic")
+    return spark.createDataFrame([(f["n"], *[f.get(c) for c in names], f["converged"])], "n bigint, " + ", ".join(f"{c} double" for c in names) + ", converged boolean")
+
+
 @query()
 def m21_rolling_auc(spark, sf_dir):
-    return fitted.rolling_auc(labelled(load_panel(spark, sf_dir)), MODEL_FEATURES)
+    return newton.rolling_auc(labelled(load_panel(spark, sf_dir)), MODEL_FEATURES)
 
 
 @query()
@@ -122,3 +133,94 @@ def m22_regularised(spark, sf_dir):
         rows += [(name, alpha, c, float(v)) for c, v in zip(["intercept", *MODEL_FEATURES], w, strict=True)]
     return spark.createDataFrame(rows, "model string, alpha double, term string, coefficient double")
 
+
+
+# --- M02, P21, M29
+
+
+@query()
+def m02_inference(spark, sf_dir):
+    """P-values, 95% intervals and R² on the later dates of the one-variable fits."""
+    rows = long(load_panel(spark, sf_dir))
+    fits = models.simple_regressions(rows).join(models.held_out_r_squared(rows), "feature", "left")
+    return tidy(fits.select("feature", "n", "slope", "p_value", "ci_low", "ci_high", "r2", "r2_test", (F.col("p_value") < 0.05).alias("significant")))
+
+
+_halves = "hd AS (SELECT feature, feature_date, row_number() OVER (PARTITION BY feature ORDER BY feature_date) - 1 < floor(count(*) OVER (PARTITION BY feature) * 0.7::DOUBLE) AS tr FROM (SELECT DISTINCT feature, feature_date FROM lf)), hl AS (SELECT lf.*, tr FROM lf JOIN hd USING (feature, feature_date)), hf AS (SELECT feature, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM hl WHERE tr GROUP BY 1 HAVING count(*) >= 20), ht AS (SELECT feature, avg(y) AS m, count(*) AS n_test FROM hl WHERE NOT tr GROUP BY 1 HAVING count(*) >= 10)"
+
+
+@query(Q.query(*LF, _halves, select="SELECT feature, any_value(n_test) AS n_test, round(1 - sum(pow(y - a - b * x, 2)) / sum(pow(y - m, 2)), 5) AS r2_test FROM hl JOIN hf USING (feature) JOIN ht USING (feature) WHERE NOT tr GROUP BY feature"))
+def m02_held_out(spark, sf_dir):
+    """R² of the later dates by fits on the earlier ones, from sums by date."""
+    rows = long(load_panel(spark, sf_dir))
+    w = Window.partitionBy("feature")
+    days = rows.select("feature", "feature_date").distinct().withColumn("test", F.row_number().over(w.orderBy("feature_date")) - 1 >= F.floor(F.count("*").over(w) * 0.7))
+    n = rows.join(days.where("test"), ["feature", "feature_date"]).groupBy("feature").agg(F.count("*").alias("n_test"))
+    return tidy(models.held_out_r_squared(rows).join(n, "feature").select("feature", "n_test", "r2_test"), 5)
+
+
+SHOWN = [c for c in (*Q.FEATURE_NAMES, "sector_relative_pe", "sector_relative_momentum", "peer_momentum_zscore", "peer_valuation_zscore")]
+_rules = ", ".join("('{}', {}, [{}], [{}])".format(f, str(side == signals.ABOVE).lower(), ", ".join(f"{b!r}::DOUBLE" for b in bounds), ", ".join(f"'{x}'" for x in texts)) for f, (side, bounds, texts) in signals.RULES.items())
+
+
+@query(
+    Q.query(
+        *ALL,
+        Q.RELATIVE,
+        f"sg AS (SELECT * FROM (VALUES {_rules}) t(f, above, bounds, labels))",
+        "sv AS (" + " UNION ALL ".join(f"SELECT feature_date, ticker, '{c}' AS feature, {c} AS value FROM rel" for c in SHOWN) + ")",
+        select="SELECT feature_date, ticker, feature, CASE WHEN value IS NULL OR f IS NULL OR isnan(value) OR isinf(value) THEN '—' ELSE labels[1 + len(list_filter(bounds, lambda b: CASE WHEN above THEN b >= value ELSE b <= value END))] END AS signal FROM sv LEFT JOIN sg ON f = feature",
+    )
+)
+def p21_signals(spark, sf_dir):
+    """The verdict on every feature of every entity and date."""
+    rows = relative(load_panel(spark, sf_dir)).select("feature_date", "ticker", *SHOWN).unpivot(["feature_date", "ticker"], SHOWN, "feature", "value")
+    return signals.signalled(rows, signals.rule_table(spark)).drop("value")
+
+
+@query()
+def m29_model_comparison(spark, sf_dir):
+    """OLS, ridge and lasso side by side on the earlier and the later dates."""
+    table, _ = fitted.model_comparison(labelled(load_panel(spark, sf_dir)), MODEL_FEATURES)
+    return spark.createDataFrame(table, "model string, penalty double, n_train bigint, n_test bigint, r2_train double, r2_test double, rmse_train double, rmse_test double, gap double, n_used int")
+
+
+@query()
+def m25_ridge_and_lasso(spark, sf_dir):
+    """The coefficients of both penalised fits side by side."""
+    _, pairs = fitted.model_comparison(labelled(load_panel(spark, sf_dir)), MODEL_FEATURES)
+    both = spark.createDataFrame(pairs, "feature string, r double, c double")
+    return fitted.compared(both.select("feature", F.col("r").alias("coefficient")), both.select("feature", F.col("c").alias("coefficient"), (F.col("c") != 0).alias("selected")))
+
+
+# --- what was reached by no query
+
+
+@query(Q.query(Q.TARGETS, select="SELECT feature_date, ticker, target_date, CASE WHEN target_date <= m THEN round(stock_return, 6) END AS stock_return, CASE WHEN target_date <= m THEN round(benchmark_return, 6) END AS benchmark_return, CASE WHEN target_date <= m THEN winner END AS winner FROM tg, (SELECT max(date) AS m FROM bench)"))
+def t04_filled_labels(spark, sf_dir):
+    """Labels known at the end of 1997, filled with those that have elapsed by the last date."""
+    p = load_panel(spark, sf_dir)
+    keys = asof.spine(p.benchmark.select(F.col("date").alias("feature_date")), p.stocks.select("ticker"))
+    last = p.benchmark.agg(F.max("date")).first()[0]
+    then, now = (targets.targets(keys, p.prices, p.benchmark, as_of=d) for d in (dt.date(1997, 12, 31), last))
+    return tidy(targets.fill_elapsed(then, now).select("feature_date", "ticker", "target_date", "stock_return", "benchmark_return", "winner"))
+
+
+@query(Q.query(select="SELECT day, (SELECT min(date) FROM bench WHERE date > day) AS date FROM (SELECT DISTINCT o_orderdate::DATE AS day FROM orders)"))
+def j12_first_after(spark, sf_dir):
+    """The first benchmark date strictly after each day."""
+    days = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.to_date("o_orderdate").alias("day"))
+    return asof.first_after(load_panel(spark, sf_dir).benchmark.select("date"), days, "date", "day")
+
+
+@query(Q.query(*LF, Q.IC, select="SELECT feature, feature_date, round(CASE WHEN count(ic) OVER w = 36 THEN avg(ic) OVER w END, 6) AS rolling_ic FROM ic WINDOW w AS (PARTITION BY feature ORDER BY feature_date ROWS BETWEEN 35 PRECEDING AND CURRENT ROW)"))
+def u18_rolling_ic(spark, sf_dir):
+    """Mean information coefficient of the last 36 months."""
+    return tidy(stats.rolling_ic(stats.monthly_ic(long(load_panel(spark, sf_dir)))))
+
+
+@query(Q.query(*SCORED, SNAP, select="SELECT feature_date, ticker, (probability >= 0.5 AND predicted_excess >= 0 AND risk_score >= 60 AND data_quality_score >= 60)::INT AS flag FROM sn"))
+def g12_flag_by_models(spark, sf_dir):
+    """The agreement flag where no one-variable fits are at hand."""
+    s = snapshots(load_panel(spark, sf_dir))
+    return s.select("feature_date", "ticker", scoring.flag_by_models(*[F.col(c) for c in ("probability", "predicted_excess", "risk_score", "data_quality_score")]).alias("flag"))

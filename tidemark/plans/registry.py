@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import asof, backtest, features, models, scoring, stats, targets
+from ..operators import asof, backtest, complete_cases, features, models, newton, scoring, stats, targets
 from ..sources.panel import Panel
 from ..sources.panel import materialised_panel as load_panel
 from ..sources.store import insert_ignore, upsert
@@ -243,7 +243,7 @@ _simple = "fit AS (SELECT feature, count(*) AS n, regr_slope(y, x) AS slope, reg
 
 @query(Q.query(*LF, _simple, select="SELECT feature, n, round(slope, 6) + 0.0::DOUBLE AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, round(std_error, 6) AS std_error, round(slope / std_error, 6) AS t_stat, round(1 - (1 - r2) * (n - 1) / (n - 2), 6) AS adj_r2, round(r2 * (n - 2) / (1 - r2), 6) AS f_stat, round(slope * sqrt(sxx / syy), 6) AS std_slope FROM fs"))
 def m02_simple_regressions(spark, sf_dir):
-    return tidy(models.simple_regressions(long(load_panel(spark, sf_dir))))
+    return tidy(models.simple_regressions(long(load_panel(spark, sf_dir))).drop("p_value", "ci_low", "ci_high"))
 
 
 @query(
@@ -275,29 +275,50 @@ def m01_time_split(spark, sf_dir):
     return models.time_split(labels(load_panel(spark, sf_dir))).groupBy("is_train").agg(F.count("*").alias("n"), F.count("winner").alias("n_labelled"))
 
 
-MODEL_FEATURES = ["twelve_month_momentum", "six_month_momentum", "return_3m", "volatility_12m", "abnormal_volume"]
+#: The features that models are fitted on together. With those over five years, of which this panel has few, fewer
+#: complete rows are left than a fit asks for; m10 selects from all.
+MODEL_FEATURES = [c for c in Q.FEATURE_NAMES if not c.startswith("five_year")]
+
+
+def with_labels(p: Panel) -> DataFrame:
+    return panel_features(p).join(labels(p).select("feature_date", "ticker", "excess_return", "winner"), ["feature_date", "ticker"]).where("winner is not null")
 
 
 def labelled(p: Panel) -> DataFrame:
-    return panel_features(p).join(labels(p).select("feature_date", "ticker", "excess_return", "winner"), ["feature_date", "ticker"]).where("winner is not null").na.drop(subset=MODEL_FEATURES)
+    return with_labels(p).na.drop(subset=MODEL_FEATURES)
+
+
+@query()
+def m10_vif_selection(spark, sf_dir):
+    """Features dropped by variance inflation one by one, complete cases taken anew, and what is left."""
+    fit = complete_cases.multiple_regression(with_labels(load_panel(spark, sf_dir)), Q.FEATURE_NAMES)
+    rows = [(c, float(v), k) for k, (c, v) in enumerate(fit["dropped"], 1)] + [(c, float(v), None) for c, v in fit["vif_filtered"]]
+    return spark.createDataFrame(rows, "feature string, vif double, dropped int")
 
 
 @query()
 def m11_multiple_regression(spark, sf_dir):
-    train = models.time_split(labelled(load_panel(spark, sf_dir))).where("is_train")
-    matrix = models.gram(train, [*MODEL_FEATURES, "excess_return"])[0][1]
-    kept = models.select_by_vif(matrix, MODEL_FEATURES)
-    at = [0, *[1 + MODEL_FEATURES.index(c) for c in kept], len(MODEL_FEATURES) + 1]
-    fit = models.ols(matrix[at][:, at], kept)
-    return spark.createDataFrame(fit["coefficients"], "term string, coefficient double, std_error double, t_stat double, p_value double")
+    """The fit on what is left, with t tests and intervals, and R² on the later dates."""
+    fit = complete_cases.multiple_regression(with_labels(load_panel(spark, sf_dir)), MODEL_FEATURES)["filtered"]
+    figures = [F.lit(fit[c] if fit else None).cast("double").alias(c) for c in ("n", "n_test", "r2", "adj_r2", "r2_test", "f_stat", "aic", "bic")]
+    return complete_cases.coefficient_table(spark, fit).select("*", *figures)
 
 
 @query()
 def m14_logistic(spark, sf_dir):
-    split = models.time_split(labelled(load_panel(spark, sf_dir)))
-    w = models.logistic(split.where("is_train"), MODEL_FEATURES, "winner")
-    p = 1 / (1 + F.exp(-models.linear(MODEL_FEATURES, w)))
-    return models.classification_metrics(split.where("not is_train").withColumn("p", p))
+    """Features up to an inflation of 20, fitted on the earlier dates, measured on the later ones."""
+    frame = with_labels(load_panel(spark, sf_dir))
+    with complete_cases.CompleteCases(frame, MODEL_FEATURES, "winner") as cases:
+        names, _ = complete_cases.select_by_vif(cases, 20.0)
+    split = models.time_split(frame.na.drop(subset=names))
+    train = split.where("is_train").select(F.lit(0).alias("_all"), *names, "winner")
+    fit = newton.fits(train, names, "winner", [(0, 0)], "_all")[0]
+    w = fit.own_scale() if fit else [0.0] * (len(names) + 1)
+    test = split.where("not is_train").withColumn("p", 1 / (1 + F.exp(-models.linear(names, w))))
+    hit = F.col("p") >= 0.5
+    cells = test.agg(*[F.count_if(a & (F.col("winner") == y)).alias(n) for n, a, y in (("tn", ~hit, 0), ("fp", hit, 0), ("fn", ~hit, 1), ("tp", hit, 1))])
+    measured = models.classification_metrics(test).crossJoin(F.broadcast(cells))  # one row each
+    return measured.select("*", F.lit(len(names)).alias("n_features"), F.lit(fit.n if fit else 0).cast("bigint").alias("n_train"), F.lit(bool(fit and fit.converged)).alias("converged"))
 
 
 PRED = "pr AS (SELECT probability AS p, winner FROM sn JOIN tg USING (feature_date, ticker) WHERE winner IS NOT NULL)"
@@ -362,6 +383,15 @@ def g11_agreement_flag(spark, sf_dir):
     return scoring.agreement_flag(s.withColumns({c: F.round(c, 6) for c in names}), names, quality=30.0).select("feature_date", "ticker", "flag")
 
 
+@query(Q.query("up AS (SELECT ticker, count(*) FILTER (monthly_return > 0) AS k FROM prices GROUP BY 1), rk AS (SELECT ticker, row_number() OVER (ORDER BY md5('1997-05' || ticker), ticker) AS place, k, avg(k) OVER () AS m FROM up)", select="SELECT ticker, place, place > 10 AS substitute FROM rk WHERE k >= m ORDER BY place LIMIT 10"))
+def g15_refilled_draw(spark, sf_dir):
+    """Ten entities by the month's digests; those that rose in fewer months than the mean fail the check and the next ones take their place."""
+    prices = load_panel(spark, sf_dir).prices.groupBy("ticker").agg(F.count_if(F.col("monthly_return") > 0).alias("k"))
+    mean = prices.agg(F.avg("k").alias("m"))
+    able = prices.crossJoin(F.broadcast(mean)).where("k >= m")  # one row
+    return scoring.draw_refilled(prices.select("ticker"), able.select("ticker"), "1997-05", 10)
+
+
 @query("SELECT n_name AS ticker, md5('1997-05' || n_name) AS digest FROM nation ORDER BY 2, 1 LIMIT 10")
 def g15_monthly_draw(spark, sf_dir):
     pool = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("ticker"))
