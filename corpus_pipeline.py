@@ -2,18 +2,20 @@
 
 Every stage judges each row by its own verdict: rows without an id, of one id or equal in
 every column, empty and very long texts and extra columns have the results that the stage
-functions state. An empty table stays empty. All stages but the last return the columns of
-documents; mixing adds mix_position and mix_copy, the place of a copy in the training
-order, which the last stage passes on, since files read back need not keep an order.
+functions state. An empty table stays empty. The first three stages return the columns of
+documents as they are; mixing returns them with mix_position and mix_copy after them, the
+place of a copy in the training order, since files read back need not keep an order; the
+last stage passes those two on.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import delete, stored, written
+from tidemark.llm.common import collecting, delete, stored
 from tidemark.llm.jaccard_join import one_of_each
 from tidemark.llm.mixture import mix_documents
 from tidemark.llm.quality_classifier import drop_rejected
@@ -22,22 +24,28 @@ from tidemark.llm.toxicity import drop_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Scratch tables that the last call of each stage has written, by the stage's place.
-_LEFT: dict[int, list[str]] = {}
+#: Scratch tables of stages whose rows may still be read, by thread, input and the stage's place.
+_LEFT: dict[tuple[int, str, int], list[str]] = {}
 
 
 def _stage(place: int, operator: Stage) -> Stage:
-    """The operator; the scratch tables of the stage before it go first.
+    """The operator; scratch tables of earlier stages of this thread's run on this input go first.
 
-    A stage is called when its predecessor's rows have been written, so nothing reads
-    that one's scratch tables any more.
+    They have been read when their stage's rows were written. If ``docs`` still reads
+    them (stages chained without a write between), they stay.
     """
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        delete(spark, *_LEFT.pop(place - 1, []))
-        before = set(written())
-        out = operator(spark, docs, sf_dir)
-        _LEFT[place] = [path for path in written() if path not in before]
+        here = threading.get_ident(), sf_dir
+        before = [key for key in _LEFT if key[:2] == here and key[2] < place]
+        if before:
+            read = docs.inputFiles()
+            for key in before:
+                if not any(path.rsplit("/", 1)[-1] in f for path in _LEFT[key] for f in read):
+                    delete(spark, *_LEFT.pop(key))
+        with collecting() as mine:
+            out = operator(spark, docs, sf_dir)
+        _LEFT[(*here, place)] = [*_LEFT.get((*here, place), []), *mine]
         return out
 
     return run_stage
@@ -56,14 +64,16 @@ STAGES = [
     )
 ]
 
-#: The classifiers' fits and the Viterbi encoding have no SQL form; tests/llm/test_pipeline.py compares the rows.
+#: The classifiers' fits and the Viterbi encoding have no SQL form; tests/llm/test_round2.py compares the rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        made = stage(spark, docs, sf_dir)
+        with collecting() as mine:
+            docs = stored(made, name.replace(" ", "-"))
         delete(spark, *last)
-        last = written()[-1:]
+        last = mine
     return docs

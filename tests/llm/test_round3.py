@@ -210,3 +210,33 @@ def test_op13_settings(spark):
     assert set(forms) == {"plain", "psm"} and 60 < forms["plain"] < 140
     assert half.where("n != 5").count() == 0
     assert half.where(fim.restored(F.col("output"), F.col("form"), ("[P]", "[S]", "[M]")) != "a b c\nd e").count() == 0
+
+
+# --- stages of the pipeline
+
+
+CLASHING = ["text__", "n_words__", "pattern__", "buckets__", "shares__", "weak__", "score__", "kept__", "row_one__", "row_two__", "row_nth__", "one", "two", "carried_0", "scanned"]
+
+
+@pytest.mark.parametrize(("names", "written"), [(CLASHING, True), (CLASHING[:1], False)])
+def test_stages_take_maps_and_clashing_names_and_need_no_write_between(spark, tmp_path, names, written):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    words = [f"{a}{b}" for a in ("ba", "co", "du", "fe", "gi") for b in ("lan", "mer", "not", "ris", "ten")]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(80)) + ".", rng.choice("ab"), {"k": k}, "t") for k in range(40)] + [(50, None, "a", None, None), (7, "", None, {}, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, more map<string, int>, clash string").withColumns({n: F.col("clash") for n in names}).drop("clash")
+    docs.unionByName(docs.where("doc_id = 3")).write.parquet(f"{tmp_path}/documents.parquet")
+    out = docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        out = stage(spark, out, str(tmp_path))
+        assert out.columns[: len(docs.columns)] == docs.columns
+        if written:
+            out.write.parquet(f"{tmp_path}/stage-{k}")
+            out = spark.read.parquet(f"{tmp_path}/stage-{k}")
+    got = out.collect()
+    kept = {r.doc_id for r in got}
+    assert kept <= set(range(40)) and len(kept) > 15 and all(r.more == {"k": r.doc_id} and r.text__ == "t" for r in got)
+    last = corpus_pipeline.STAGES[4][1](spark, out, str(tmp_path))
+    assert last.count() == len(got) and last.where("not round_trip").count() == 0

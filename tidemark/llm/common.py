@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,10 +51,24 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark, path = df.sparkSession, scratch(df.sparkSession, tag)
     df.write.parquet(path)
     _WRITTEN.append(path)
+    if (mine := _COLLECTED.get()) is not None:
+        mine.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _WRITTEN: list[str] = []
+_COLLECTED: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("collected", default=None)
+
+
+@contextlib.contextmanager
+def collecting() -> Iterator[list[str]]:
+    """Lists the scratch tables that this thread writes inside the block."""
+    mine: list[str] = []
+    token = _COLLECTED.set(mine)
+    try:
+        yield mine
+    finally:
+        _COLLECTED.reset(token)
 
 
 def written() -> list[str]:
@@ -87,9 +104,10 @@ class Scratch:
         delete(self.spark, *(path for _, path in gone))
 
 
-def digests(columns: list[str]) -> tuple[Column, Column]:
-    """Two 64-bit digests of a row; nulls count by their place."""
-    parts = [*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns]]
+def digests(df: DataFrame, columns: list[str]) -> tuple[Column, Column]:
+    """Two 64-bit digests of a row; nulls count by their place, maps by the order of their entries."""
+    has_map = {f.name for f in df.schema if "map<" in f.dataType.simpleString()}
+    parts = [*[F.to_json(F.struct(c)) if c in has_map else F.col(c) for c in columns], *[F.col(c).isNull() for c in columns]]
     return F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)
 
 

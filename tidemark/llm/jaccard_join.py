@@ -586,11 +586,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and of rows that are equal in every column one stays. Rows without words are kept as
     they are. Only ids and digests go through the join; the texts move once, to the verdicts.
     """
-    one, two = digests(docs.columns)
+    one, two = digests(docs, docs.columns)
     rows, comps = _components_of(_keyed(docs, "doc_id", "text", one.alias("one"), two.alias("two")), "true", WORDS, PERCENT)
     placed = rows.where("n > 0").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    first = placed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "one", "two")).alias("rank")).select(F.col("rank.one").alias("row_one__"), F.col("rank.two").alias("row_two__"))
+    first = placed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "one", "two")).alias("rank")).select(F.col("rank.one").alias("one"), F.col("rank.two").alias("two"))
+    carried = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(docs.columns)]
     worded = F.coalesce(F.rlike("text", F.lit(WORD)), F.lit(False))
-    keyed = docs.where(worded).withColumns({"row_one__": one, "row_two__": two}).join(first, ["row_one__", "row_two__"], "left_semi")
-    kept = keyed.withColumn("row_nth__", F.row_number().over(Window.partitionBy("row_one__", "row_two__").orderBy("row_one__"))).where("row_nth__ = 1")
-    return kept.select(*docs.columns).unionByName(docs.where(~worded))
+    keyed = docs.where(worded).select(*carried, one.alias("one"), two.alias("two")).join(first, ["one", "two"], "left_semi")
+    kept = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("one", "two").orderBy("one"))).where("nth = 1")
+    return kept.select(*[F.col(f"carried_{i}").alias(c) for i, c in enumerate(docs.columns)]).unionByName(docs.where(~worded))

@@ -156,11 +156,12 @@ def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     equal in every column share a plan row and are numbered where they meet it.
     """
     names = [c for c in docs.columns if c not in ("mix_position", "mix_copy")]
-    one, two = digests(names)
+    one, two = digests(docs, names)
     sized = docs.select(one.alias("one"), two.alias("two"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), order_key(F.col("doc_id"), F.col("text")).alias("order_key"))
     groups = sized.groupBy("one", "two").agg(F.count("*").alias("same"), F.max("size").alias("size"), F.max("source").alias("source"), F.max("order_key").alias("order_key"))
     kept = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(names)]
-    met = docs.select(one.alias("one"), two.alias("two"), *kept).join(placed(groups, Scratch(spark)), ["one", "two"])
+    # The digests come last: the planner restates what it knows of a column under each later alias of its inputs.
+    met = docs.select(*kept, one.alias("one"), two.alias("two")).join(placed(groups, Scratch(spark)), ["one", "two"])
     nth = F.row_number().over(Window.partitionBy("one", "two").orderBy("one")) - 1
     _, at = copies_and_positions()
     due = met.withColumn("start", F.col("start") + nth * F.col("size"))

@@ -170,8 +170,8 @@ def fit_scorer(buckets: list[np.ndarray], shares: list[np.ndarray], target: np.n
     return w
 
 
-def scored(docs: DataFrame, names: list[str], text: str = "text") -> DataFrame:
-    """The columns ``names`` with n_words__, weak__ (posterior of good), score__ and kept__ of every row."""
+def scored(docs: DataFrame, names: list[str], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The columns ``names`` with n_words__, weak__ (posterior of good), score__ and kept__ of every row; ``doc_id``, where there, helps to draw the sample."""
     spark = docs.sparkSession
     read = stored(features(docs, names, text), "quality-features")
     counts = {r.pattern__: r.n for r in read.where("n_words__ > 0").groupBy("pattern__").agg(F.count("*").alias("n")).collect()}
@@ -182,7 +182,7 @@ def scored(docs: DataFrame, names: list[str], text: str = "text") -> DataFrame:
     weak = spark.createDataFrame(list(zip(patterns, map(float, posterior), strict=True)), "pattern__ int, weak__ double")
     joined = read.join(F.broadcast(weak), "pattern__", "left")  # a row for each pattern: 3 ** 9 at most
     share = min(1.0, TRAIN_ROWS / sum(counts.values()))
-    drawn = F.pmod(F.xxhash64("buckets__", "shares__", *[c for c in ("doc_id",) if c in names]), F.lit(1 << 30)) <= int(share * (1 << 30))
+    drawn = F.pmod(F.xxhash64("buckets__", "shares__", *[c for c in (doc_id,) if c in names]), F.lit(1 << 30)) <= int(share * (1 << 30))
     sample = joined.where((F.col("n_words__") > 0) & drawn).select("buckets__", "shares__", "weak__").toPandas()
     target = sample["weak__"].to_numpy()
     if len(sample) and target.min() < 0.5 <= target.max():
@@ -207,4 +207,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejected rows go, whatever their id."""
-    return scored(docs, docs.columns).where("kept__").select(*docs.columns)
+    carried = {c: f"carried_{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select(*[F.col(c).alias(n) for c, n in carried.items()], F.col("text").cast("string").alias("scanned"))
+    kept = scored(own, list(carried.values()), "scanned", carried.get("doc_id", "doc_id")).where("kept__")
+    return kept.select(*[F.col(n).alias(c) for c, n in carried.items()])
