@@ -150,3 +150,13 @@ def test_signals_take_the_first_rule_and_dash_the_rest(spark):
     made = signals.signalled(spark.createDataFrame(rows, "feature string, value double, want string"), signals.rule_table(spark))
     assert made.where("signal != want").count() == 0 and made.count() == len(rows)
     assert all(len(t) == len(b) + 1 and list(b) == sorted(b, reverse=side == signals.ABOVE) for side, b, t in signals.RULES.values())
+
+
+def test_a_fit_does_not_depend_on_the_scale_of_its_columns():
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(80, 3))
+    y = x @ [1.0, -1.0, 0.5] + draw.normal(size=80) * 0.1
+    for scale in ([1.0, 1.0, 1.0], [1e10, 1e-3, 1.0]):
+        z = np.column_stack([np.ones(80), x * scale, y])
+        fit = models.ols(z.T @ z, ["p", "q", "r"])
+        assert fit["r2"] > 0.98 and np.allclose([r[1] for r in fit["coefficients"]][1:] * np.array(scale), [1.0, -1.0, 0.5], atol=0.05)

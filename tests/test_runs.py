@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import shutil
 
 import numpy as np
 import pytest
@@ -104,7 +105,8 @@ def test_a_run_that_dies_anywhere_ends_like_one_that_does_not(spark, panel, tmp_
     for m in months:
         report = runs.MonthlyRun(whole, panel, NAMES, full=False).run(m)
         assert report["done"] == list(runs.STEPS) and report["n_scored"] == 9 and report["model_version"].startswith(f"monthly_{m}_")
-    runs.MonthlyRun(broken, panel, NAMES, full=False).run(months[0])
+        if m == months[0]:
+            shutil.copytree(whole.folder, broken.folder)  # the state after the first month
     for step in ("ingest", "train"):
         with pytest.raises(runs.Stopped):
             runs.MonthlyRun(broken, panel, NAMES, full=False).run(months[1], stop_after=step)
@@ -118,6 +120,21 @@ def test_a_run_that_dies_anywhere_ends_like_one_that_does_not(spark, panel, tmp_
     assert whole.read("monthly_features").select("feature_date").distinct().count() == 44
 
 
+def test_features_from_carried_tails_equal_those_of_the_whole_history(spark, panel, tmp_path, monkeypatch):
+    monkeypatch.setattr(features, "PRICE_ROWS", 14)  # the longest look back that this panel's dates can have but the five-year one
+    monkeypatch.setattr(features, "COMMON_ROWS", 24)
+    once, monthly = (TableStore(spark, str(tmp_path / n)) for n in ("once", "monthly"))
+    for store, months in ((once, [43]), (monthly, [37, 38, 43])):
+        for k in months:
+            with pytest.raises(runs.Stopped):
+                runs.MonthlyRun(store, panel, NAMES, full=False).run(end(k), stop_after="features")
+    whole, carried = ({tuple(r)[:2]: [round(x, 9) if isinstance(x, float) else x for x in tuple(r)[2:]] for r in s.read("monthly_features").collect()} for s in (once, monthly))
+    assert whole == carried and len(whole) == 44 * 9
+    assert monthly.read("price_tail").count() == 24 * 9  # beta's common dates reach farthest back
+    recent = runs.MonthlyRun(monthly, panel, NAMES)._recent("prices_clean", "price_tail", "date")
+    assert recent.count() == 24 * 9 and monthly.read("report_tail").count() == 14 * 9
+
+
 def test_a_step_that_dies_between_its_tables_is_finished(spark, panel, tmp_path, monkeypatch):
     store = TableStore(spark, str(tmp_path))
     real = runs.save

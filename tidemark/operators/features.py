@@ -86,7 +86,7 @@ def betas(prices: DataFrame, benchmark: DataFrame, rows: int = 24, least: int =
 
 def report_features(reports: DataFrame) -> DataFrame:
     """From each report date on: trailing sums, latest ratios, growth accelerations."""
-    known = known_at_reports(reports, "ticker", 28)
+    known = known_at_reports(reports, "ticker", REPORT_ROWS)
     q = lambda i: F.get("q", F.lit(i))
     trailing = lambda name: F.when(F.size(F.filter(F.slice("q", 1, 4), lambda x: x[name].isNotNull())) == 4, F.aggregate(F.slice("q", 1, 4), F.lit(0.0), lambda a, x: a + x[name]))
     eps_growth = lambda i: safe_divide(q(i)["eps"] - q(i + 4)["eps"], F.abs(q(i + 4)["eps"]))
@@ -204,6 +204,25 @@ def quality_score(panel: DataFrame) -> Column:
     return F.greatest(100.0 - missing - stale, F.lit(0.0))
 
 
+#: Rows that a later month's features can look back on: prices (61 and the one before, for its return), common dates for beta, reports.
+PRICE_ROWS, COMMON_ROWS, REPORT_ROWS = 62, 24, 28
+
+
+def price_tail(prices: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The price rows of each entity that features of later dates can need: its last ones, and its last dates in common with the benchmark."""
+    market = F.broadcast(benchmark.select("date", F.lit(1).alias("_common")))  # a row a month
+    w = Window.partitionBy("ticker").orderBy(F.col("date").desc())
+    placed = prices.join(market, "date", "left").withColumns({"_n": F.row_number().over(w), "_k": F.count("_common").over(w)})
+    return placed.where((F.col("_n") <= PRICE_ROWS) | (F.col("_common").isNotNull() & (F.col("_k") <= COMMON_ROWS))).select(*prices.columns)
+
+
+def report_tail(reports: DataFrame) -> DataFrame:
+    """The reports of each entity that features of later dates can need: its last ones by fiscal date, and the last to come out."""
+    newest, latest = (Window.partitionBy("ticker").orderBy(F.col(c).desc()) for c in ("fiscal_date", "report_date"))
+    placed = reports.withColumns({"_n": F.row_number().over(newest), "_k": F.row_number().over(latest)})
+    return placed.where((F.col("_n") <= REPORT_ROWS) | (F.col("_k") == 1)).select(*reports.columns)
+
+
 def missing_pairs(wanted: DataFrame, stored: DataFrame) -> DataFrame:
     """Keys not computed yet."""
     return wanted.join(stored.select("feature_date", "ticker"), ["feature_date", "ticker"], "left_anti")

@@ -142,7 +142,7 @@ def model_comparison(df: DataFrame, features: list[str], label: str = "excess_re
         return [], []
     train, test = parts[True], parts[False]
     earlier = rows.where("is_train")
-    found = {"ols": (None, np.linalg.pinv(train[:-1, :-1], hermitian=True) @ train[:-1, -1], None), "ridge": ridge_of(earlier, features, label), "lasso": lasso_of(earlier, features, label)}
+    found = {"ols": (None, models.inverse(train[:-1, :-1]) @ train[:-1, -1], None), "ridge": ridge_of(earlier, features, label), "lasso": lasso_of(earlier, features, label)}
     table = []
     for name, (alpha, w, standard) in found.items():
         r2 = [r_squared(m, w) for m in (train, test)]
@@ -158,7 +158,7 @@ def actual_vs_predicted(df: DataFrame, features: list[str], label: str = "excess
     """Actual value, full-sample fit and residual of every complete row."""
     rows = df.na.drop(subset=[*features, label])
     matrix = models.gram(rows, [*features, label])[0][1]  # all 0 without rows
-    w = np.linalg.pinv(matrix[:-1, :-1]) @ matrix[:-1, -1]
+    w = models.inverse(matrix[:-1, :-1]) @ matrix[:-1, -1]
     predicted = models.linear(features, w)
     return rows.select(*keep, F.col(label).alias("actual"), predicted.alias("predicted"), (F.col(label) - predicted).alias("residual"))
 

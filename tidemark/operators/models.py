@@ -140,15 +140,21 @@ def moments(df: DataFrame, columns: list[str], *by: str) -> list[tuple[tuple, np
 gram = moments
 
 
+def inverse(g: np.ndarray) -> np.ndarray:
+    """Pseudo-inverse of a matrix of sums of products, its columns scaled first, so that small figures beside large ones count."""
+    d = np.sqrt(np.maximum(np.diag(g), 1e-300))
+    return np.linalg.pinv(g / np.outer(d, d), rcond=1e-13, hermitian=True) / np.outer(d, d)
+
+
 def ols(matrix: np.ndarray, names: list[str]) -> dict:
     """Multiple regression from a Gram matrix of (1, features..., label)."""
     n, xx, xy, yy = float(matrix[0, 0]), matrix[:-1, :-1], matrix[:-1, -1], matrix[-1, -1]
-    inverse = np.linalg.pinv(xx)
-    beta = inverse @ xy
+    inverted = inverse(xx)
+    beta = inverted @ xy
     rss = max(yy - beta @ xy, 0.0)
     tss = yy - matrix[0, -1] ** 2 / n
     df = n - len(beta)
-    se = np.sqrt(np.maximum(np.diag(inverse) * rss / df, 0))
+    se = np.sqrt(np.maximum(np.diag(inverted) * rss / df, 0))
     t = np.divide(beta, se, out=np.zeros_like(beta), where=se > 0)
     log_likelihood = -n / 2 * (math.log(2 * math.pi) + math.log(max(rss, 1e-300) / n) + 1)
     r2 = 1 - rss / tss if tss > 0 else 0.0
@@ -159,8 +165,8 @@ def ols(matrix: np.ndarray, names: list[str]) -> dict:
 def vif(matrix: np.ndarray, names: list[str]) -> list[tuple[str, float]]:
     """Variance inflation without intercept, from the Gram matrix of the features."""
     g = matrix[1 : 1 + len(names), 1 : 1 + len(names)]
-    inverse = np.linalg.pinv(g)
-    return [(name, float(g[i, i] * inverse[i, i])) for i, name in enumerate(names)]
+    inverted = inverse(g)
+    return [(name, float(g[i, i] * inverted[i, i])) for i, name in enumerate(names)]
 
 
 def squared_error(matrix: np.ndarray, w: np.ndarray) -> float:

@@ -107,14 +107,26 @@ class MonthlyRun:
         save(self.store, "benchmark_prices", self._new("benchmark_prices", self.source.benchmark, "date", month), mark=mark)
         save(self.store, "fundamentals_clean", self._new("fundamentals_clean", self.source.fundamentals, "report_date", month), mark=mark)
 
+    def _recent(self, table: str, tail: str, date: str) -> DataFrame:
+        """What features of months not done can need: the tail that the last run left and the rows since; all rows without one."""
+        rows = self.store.read(table)
+        if not self.store.exists(tail):
+            return rows
+        kept = self.store.read(tail)
+        as_of = kept.agg(F.max("as_of")).first()[0]
+        return rows if as_of is None else kept.drop("as_of").unionByName(rows.where(F.col(date) > F.lit(as_of)))
+
     def _features(self, month: dt.date, mark: tuple) -> None:
-        """Of the dates that have none, in one plan: the first run makes all, later ones their month."""
-        stocks, prices, benchmark, reports = (self.store.read(n) for n in ("stocks", "prices_clean", "benchmark_prices", "fundamentals_clean"))
+        """Of the dates that have none, in one plan: the first run makes all, later ones theirs from the carried tails and the new rows."""
+        stocks, benchmark = self.store.read("stocks"), self.store.read("benchmark_prices")
+        prices, reports = self._recent("prices_clean", "price_tail", "date"), self._recent("fundamentals_clean", "report_tail", "report_date")
         dates = benchmark.select(F.col("date").alias("feature_date")).distinct()
         if self.store.exists("monthly_features"):
             dates = dates.join(self.store.read("monthly_features").select("feature_date").distinct(), "feature_date", "left_anti")
         made = features.sector_relative(features.feature_panel(stocks, prices, benchmark, reports, dates=dates))
         save(self.store, "monthly_features", made.withColumn("data_quality_score", features.quality_score(made)), order="data_quality_score", mark=mark)
+        self.store.write("price_tail", features.price_tail(prices, benchmark).withColumn("as_of", F.lit(month)), ["ticker", "date"], mark)
+        self.store.write("report_tail", features.report_tail(reports).withColumn("as_of", F.lit(month)), ["ticker", "fiscal_date"], mark)
 
     def _targets(self, month: dt.date, mark: tuple) -> None:
         """Labels whose horizon has elapsed and that are not stored."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import asof, fitted, models, newton, scoring, signals, stats, targets
 from . import panel_sql as Q
-from .registry import ALL, LF, MODEL_FEATURES, SCORED, SNAP, _simple, labelled, labels, load_panel, long, panel_features, query, relative, snapshots, tidy
+from .registry import ALL, LF, MODEL_FEATURES, SCORED, SNAP, WARNED, _simple, labelled, labels, load_panel, long, panel_features, query, relative, snapshots, tidy
 from .screens import FROM, SOME
 
 _some = ", ".join(f"'{t}'" for t in SOME)
@@ -104,16 +104,20 @@ def g10_scored_by_models(spark, sf_dir):
     return tidy(s.select("feature_date", "ticker", "probability", "ridge_prediction", "lasso_prediction", "probability_score", "excess_score", "agreement_score", "final_score", "class", "label"))
 
 
-FROZEN = ["roe", "beta", "return_1m", "market_cap"]
+FROZEN = Q.FEATURE_NAMES
+_frozen = ", ".join(f"round({c}, 6) AS {c}, round(CASE WHEN stddev_samp({c}) OVER d > 0 THEN ({c} - avg({c}) OVER d) / stddev_samp({c}) OVER d END, 5) AS z_{c}" for c in FROZEN)
+_n_frozen = " + ".join(f"({c} IS NOT NULL)::INT" for c in FROZEN)
+_warned = WARNED.format(quality="data_quality_score", p="NULL::DOUBLE", agree="agreement_score", risk="risk_score")
 
 
-@query(Q.query(*SCORED, select="SELECT feature_date, ticker, round(beta, 6) AS beta, round(return_1m, 6) AS return_1m, ((roe IS NOT NULL)::INT + (beta IS NOT NULL)::INT + (return_1m IS NOT NULL)::INT + (market_cap IS NOT NULL)::INT)::INT AS n_features, round(final_score, 2) AS final_score FROM sc"))
+@query(Q.query(*SCORED, select=f"SELECT feature_date, ticker, {_frozen}, ({_n_frozen})::INT AS n_features, {_warned} AS warnings, round(final_score, 2) AS final_score FROM sc WINDOW d AS (PARTITION BY feature_date)"))
 def k12_snapshot_records(spark, sf_dir):
-    """Frozen features read back from their JSON."""
+    """Frozen features and standardised features read back from their JSON, with the warnings."""
     s = scoring.scores(relative(load_panel(spark, sf_dir))).withColumn("probability", F.lit(None).cast("double"))
     records = fitted.snapshot_records(s, FROZEN, "v1")
-    read = lambda c: F.get_json_object("features_json", f"$.{c}").cast("double").alias(c)
-    return tidy(records.select("feature_date", "ticker", read("beta"), read("return_1m"), F.size(F.json_object_keys("features_json")).alias("n_features"), "final_score"))
+    read = lambda c, of: F.get_json_object(of, f"$.{c}").cast("double")
+    values = [x for c in FROZEN for x in (F.round(read(c, "features_json"), 6).alias(c), F.round(read(c, "standardized_json"), 5).alias(f"z_{c}"))]
+    return records.select("feature_date", "ticker", *values, F.size(F.json_object_keys("features_json")).alias("n_features"), F.array_join("warnings", "; ").alias("warnings"), F.round("final_score", 2).alias("final_score"))
 
 
 @query(Q.query(*ALL, Q.RELATIVE, select=f"SELECT feature_date, ticker, round(sector_relative_momentum, 6) AS sector_relative_momentum, round(peer_momentum_zscore, 6) AS peer_momentum_zscore FROM rel WHERE feature_date >= DATE '{FROM}' AND ticker IN ({_some})"))

@@ -357,17 +357,24 @@ def g09_scores(spark, sf_dir):
     return tidy(scoring.scores(relative(load_panel(spark, sf_dir))).select("feature_date", "ticker", *PARTS), 4)
 
 
+#: The warnings of a row, joined.
+WARNED = (
+    "array_to_string(list_filter([CASE WHEN {quality} < 40 THEN 'Most inputs are missing: ' || floor({quality} + 0.5)::INT || ' of 100' WHEN {quality} < 60 THEN 'Many inputs are missing: ' || floor({quality} + 0.5)::INT || ' of 100' END, "
+    "CASE WHEN {p} IS NULL THEN 'No model gave a probability; one half is assumed' END, CASE WHEN {agree} < 40 THEN 'The models contradict one another: ' || floor({agree} + 0.5)::INT || ' of 100' END, CASE WHEN {risk} < 30 THEN 'Among the riskiest of its date' END], lambda m: m IS NOT NULL), '; ')"
+)
+
+
 @query(
     Q.query(
         *SCORED,
         SNAP,
-        select="SELECT feature_date, ticker, CASE WHEN probability >= 0.6::DOUBLE AND predicted_excess >= 0.05::DOUBLE AND risk_score >= 70 AND data_quality_score >= 75 THEN 'Strong candidate' WHEN probability >= 0.5::DOUBLE AND predicted_excess >= 0.02::DOUBLE AND risk_score >= 55 AND data_quality_score >= 60 THEN 'Watchlist candidate' WHEN probability <= 0.4::DOUBLE OR predicted_excess <= -0.1::DOUBLE OR data_quality_score < 40 THEN 'Weak / avoid' ELSE 'Neutral' END AS class, CASE WHEN final_score >= 70 THEN 'Strong candidate' WHEN final_score >= 55 THEN 'Watchlist candidate' WHEN final_score < 35 THEN 'Weak / avoid' ELSE 'Neutral' END AS label, (CASE WHEN data_quality_score < 60 THEN 1 ELSE 0 END + CASE WHEN risk_score < 40 THEN 1 ELSE 0 END + CASE WHEN risk_score < 30 THEN 1 ELSE 0 END)::INT AS n_warnings FROM sn",
+        select="SELECT feature_date, ticker, CASE WHEN probability >= 0.6::DOUBLE AND predicted_excess >= 0.05::DOUBLE AND risk_score >= 70 AND data_quality_score >= 75 THEN 'Strong candidate' WHEN probability >= 0.5::DOUBLE AND predicted_excess >= 0.02::DOUBLE AND risk_score >= 55 AND data_quality_score >= 60 THEN 'Watchlist candidate' WHEN probability <= 0.4::DOUBLE OR predicted_excess <= -0.1::DOUBLE OR data_quality_score < 40 THEN 'Weak / avoid' ELSE 'Neutral' END AS class, CASE WHEN final_score >= 70 THEN 'Strong candidate' WHEN final_score >= 55 THEN 'Watchlist candidate' WHEN final_score < 35 THEN 'Weak / avoid' ELSE 'Neutral' END AS label, " + WARNED.format(quality="data_quality_score", p="probability", agree="risk_score", risk="risk_score") + " AS warnings FROM sn",
     )
 )
 def p16_classes(spark, sf_dir):
     s = snapshots(load_panel(spark, sf_dir))
     p, x, risk, dq = (F.col(c) for c in ("probability", "predicted_excess", "risk_score", "data_quality_score"))
-    return s.select("feature_date", "ticker", scoring.classify(p, x, risk, dq).alias("class"), scoring.label_of_score(F.col("final_score")).alias("label"), F.size(scoring.warnings(dq, p, risk, risk)).alias("n_warnings"))
+    return s.select("feature_date", "ticker", scoring.classify(p, x, risk, dq).alias("class"), scoring.label_of_score(F.col("final_score")).alias("label"), F.array_join(scoring.warnings(dq, p, risk, risk), "; ").alias("warnings"))
 
 
 @query(

@@ -106,9 +106,12 @@ def k05_quality_log(spark, sf_dir):
     return append_log(log, spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("issue")))
 
 
-@query("SELECT last_day(m)::DATE AS month_end FROM generate_series(DATE '1995-01-01', DATE '1996-11-01', INTERVAL 1 MONTH) t(m)")
+@query("SELECT o_custkey, month_end FROM (SELECT o_custkey, last, last_day(unnest(generate_series(date_trunc('month', first), last, INTERVAL 1 MONTH)))::DATE AS month_end FROM (SELECT o_custkey, min(o_orderdate::DATE) AS first, max(o_orderdate::DATE) AS last FROM orders GROUP BY 1)) WHERE month_end <= last")
 def p09_month_ends(spark, sf_dir):
-    return spark.range(1).select(F.explode(readers.month_ends(F.to_date(F.lit("1995-01-31")), F.to_date(F.lit("1996-12-30")))).alias("month_end"))
+    """The month ends between each customer's first and last order."""
+    day = F.to_date("o_orderdate")
+    ends = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.min(day).alias("first"), F.max(day).alias("last"))
+    return ends.select("o_custkey", F.explode(readers.month_ends(F.col("first"), F.col("last"))).alias("month_end"))
 
 
 @query("SELECT o_orderkey, (o_orderdate::DATE + 45)::DATE AS later, least(o_orderdate::DATE, DATE '1995-06-30') AS first, greatest(o_orderdate::DATE, DATE '1995-06-30') AS last, try_cast(('1995-' || lpad((o_orderkey % 14)::VARCHAR, 2, '0') || '-28') AS DATE) IS NOT NULL AS valid FROM orders")
@@ -153,11 +156,16 @@ def p28_capped(spark, sf_dir):
     return tidy(readers.capped(snapshots(load_panel(spark, sf_dir)).select("feature_date", "ticker", "predicted_excess", "probability")))
 
 
-@query(Q.query(*ALL, select="SELECT feature_date, ticker, round(CASE WHEN ttm_eps > 0 AND adjusted_close > 0 THEN ttm_eps * 0.25 / adjusted_close END, 8) AS dividend_yield FROM sm"))
+#: Sectors of the payout table that the regions stand for; the last region has one that the table lacks.
+SECTORS = {"AFRICA": "Consumer Staples", "AMERICA": "Energy", "ASIA": "Financials", "EUROPE": "Technology", "MIDDLE EAST": "Materials"}
+_payout = " ".join(f"WHEN '{r}' THEN {readers.PAYOUT.get(s, readers.OTHER_PAYOUT)!r}::DOUBLE" for r, s in SECTORS.items())
+
+
+@query(Q.query(*ALL, select=f"SELECT feature_date, ticker, round(CASE WHEN ttm_eps > 0 AND adjusted_close > 0 THEN ttm_eps * CASE sector {_payout} END / adjusted_close END, 8) AS dividend_yield FROM sm"))
 def p31_dividend_yield(spark, sf_dir):
     """The price over earnings gives the trailing earnings back."""
     f = panel_features(load_panel(spark, sf_dir), carry=["ttm_eps"])
-    return tidy(f.select("feature_date", "ticker", readers.dividend_yield(F.col("sector"), F.col("ttm_eps"), F.col("adjusted_close")).alias("dividend_yield")), 8)
+    return tidy(f.select("feature_date", "ticker", readers.dividend_yield(F.create_map(*[F.lit(x) for pair in SECTORS.items() for x in pair])[F.col("sector")], F.col("ttm_eps"), F.col("adjusted_close")).alias("dividend_yield")), 8)
 
 
 @query(Q.query(select=f"SELECT round(arg_min(adjusted_close, date) FILTER (date >= DATE '{FROM}') * 0 + arg_max(adjusted_close, date) FILTER (date <= DATE '{TO}') / arg_min(adjusted_close, date) FILTER (date >= DATE '{FROM}') - 1, 6) AS total_return FROM bench"))
