@@ -9,10 +9,10 @@ link is lost. A tile has ``spare`` segments more than that, so segments that are
 need no key; a node with too many empty segments shares one more key with its like.
 
 Nodes that share a key are compared in three steps, none of which lists all pairs of
-a group. (1) Each meets one node of the key, which a hash draws anew for every key, so a
-node meets as many different nodes as it has keys. The bit counts of two hashed bitmaps
-bound the overlap from above; pairs that pass are settled by intersecting the sorted
-arrays. (2) Links are contracted to components. (3) Only keys whose nodes are still in
+a group. (1) Each meets one node of the key, the smallest under one of ``HUBS`` hashes, so
+that keys with the same nodes name the same few and a node of a large group meets those
+once, not another for each of its keys. The bit counts of two hashed bitmaps bound the
+overlap from above; pairs that pass are settled by intersecting the sorted arrays. (2) Links are contracted to components. (3) Only keys whose nodes are still in
 several components go on: their bitmaps are compared block by block (blocks of ``BLOCK``
 nodes) across components. A pair counts on its smallest shared key only, and nodes with
 a likely partner meet there again with their arrays. A task intersects exactly and
@@ -48,6 +48,7 @@ WORDS = 5
 PERCENT = 80
 BLOCK = 1024
 BANDS = 2
+HUBS = 4
 BROADCAST_ROWS = 400_000
 MARK_BITS = 1 << 27
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -520,7 +521,7 @@ def _components_of(keyed: DataFrame, usable: str, words: int, percent: int) -> t
     rows = work.stored(signed.drop("proof", "bits", "keys", "digest"), "jaccard-rows")
     used = signed.where(f"n > 0 and {usable}")
     members = _shared_members(used, work)
-    hubs = members.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("b"))
+    hubs = members.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.pmod("key", F.lit(HUBS)))).alias("b"))
     met = work.stored(members.join(hubs, "key").where("node != b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), "jaccard-met")
     sig = _first(used, members.select("node").distinct(), work)
     passed = work.stored(_by_bits(met, sig, percent), "jaccard-passed")
