@@ -80,6 +80,26 @@ def test_an_outside_entity_is_scored_as_within_the_universe_and_nothing_is_fitte
         assert r.rank == 1 + sum(s >= r.final_score for s in beaten[r.feature_date]) and r.percentile == pytest.approx(r["rank"] / 9)
 
 
+def test_a_line_through_few_rows_is_fitted_where_the_caller_asks_for_it(spark, panel, tmp_path):
+    universe = relative(panel, panel.stocks)
+    y = F.hash("ticker", "feature_date") % 100 / 100.0
+    train = universe.withColumns({"excess_return": y, "winner": (y > 0).cast("int")})
+    few = [tuple(r) for r in train.where("current_pe_ratio is not null").orderBy("feature_date", "ticker").select("feature_date", "ticker").limit(4).collect()]
+    kept = [(F.col("feature_date") == d) & (F.col("ticker") == t) for d, t in few]
+    train = train.withColumn("current_pe_ratio", F.when(kept[0] | kept[1] | kept[2] | kept[3], F.col("current_pe_ratio"))).withColumn("five_year_price_gain", F.lit(1.0)).persist()
+    points = np.array([(r[0], r[1]) for r in train.where("current_pe_ratio is not null").select("current_pe_ratio", "excess_return").collect()])
+    assert len(points) == 4
+    store = TableStore(spark, str(tmp_path))
+    runs.save_universe(store, universe, train, NAMES, "two", full=False, least=2)
+    w = runs.read_models(store, "two")
+    slope, intercept = np.polyfit(points[:, 0], points[:, 1], 1)
+    assert w["ols_current_pe_ratio"] == {"intercept": pytest.approx(intercept), "current_pe_ratio": pytest.approx(slope)}
+    assert "ols_five_year_price_gain" not in w  # one value settles no line
+    plain = model_table.weights(model_table.fit(train, NAMES, full=False))
+    assert "ols_current_pe_ratio" not in plain and "ols_twelve_month_momentum" in plain
+    train.unpersist()
+
+
 def test_ladders_place_values_among_ties_and_beyond_the_ends(spark):
     rng = random.Random(2)
     values = [float(rng.randint(0, 30)) for _ in range(500)]

@@ -23,15 +23,16 @@ LINEAR = ("ridge", "lasso")
 SCHEMA = "model string, term string, weight double"
 
 
-def fit(train: DataFrame, features: list[str], full: bool = True, ols: tuple[str, ...] = OLS, label: str = "excess_return", won: str = "winner") -> DataFrame:
+def fit(train: DataFrame, features: list[str], full: bool = True, ols: tuple[str, ...] = OLS, label: str = "excess_return", won: str = "winner", least: int = models.LEAST) -> DataFrame:
     """The table of all models fitted on ``train``; without ``full`` (or enough complete rows) of the one-variable fits only.
 
-    Cuts and means take a feature's values where there is one; fits take complete rows.
+    Cuts and means take a feature's values where there is one; fits take complete rows. A
+    one-variable fit is left out if its feature has fewer than ``least`` rows, or no line.
     """
     cut = lambda c: F.percentile(c, F.array(F.lit(LOW), F.lit(HIGH)))
     wide = train.agg(*[F.struct(F.avg(c).alias(FILL), cut(c)[0].alias(BOTTOM), cut(c)[1].alias(TOP)).alias(c) for c in features])
     figures = wide.select(F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(c).alias("term"), F.col(c)[m].alias("weight")) for c in features for m in (FILL, BOTTOM, TOP)])).alias("r")).select("r.*")
-    single = models.simple_regressions(long_form(train.select("feature_date", "ticker", label, *ols), list(ols)))
+    single = models.simple_lines(long_form(train.select("feature_date", "ticker", label, *ols), list(ols)), least)
     lines = single.select(F.explode(F.array(F.struct(F.concat(F.lit("ols_"), "feature").alias("model"), F.lit("intercept").alias("term"), F.col("intercept").alias("weight")), F.struct(F.concat(F.lit("ols_"), "feature").alias("model"), F.col("feature").alias("term"), F.col("slope").alias("weight")))).alias("r")).select("r.*")
     table = figures.where("weight is not null").unionByName(lines)
     if not full:

@@ -27,7 +27,17 @@ def time_split(df: DataFrame, share: float = 0.7, date: str = "feature_date") ->
     return df.join(F.broadcast(placed), date)  # a row a date
 
 
-def simple_regressions(long: DataFrame, least: int = 20) -> DataFrame:
+#: The least number of rows that a one-variable fit is reported for, unless a caller says otherwise.
+LEAST = 20
+
+
+def simple_lines(long: DataFrame, least: int = LEAST) -> DataFrame:
+    """feature, n, slope and intercept of y on x, where ``least`` rows (two at least) with different x settle a line."""
+    made = long.groupBy("feature").agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"))
+    return made.where((F.col("n") >= max(least, 2)) & F.col("slope").isNotNull())
+
+
+def simple_regressions(long: DataFrame, least: int = LEAST) -> DataFrame:
     """One-variable OLS of y on x for each feature, in closed form, with t tests and 95% intervals."""
     agg = long.groupBy("feature").agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"))
     n = F.col("n")

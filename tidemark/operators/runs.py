@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..sources.panel import Panel
 from ..sources.store import TableStore, save
-from . import backtest, features, fitted, model_table, outside, scoring
+from . import backtest, features, fitted, model_table, models, outside, scoring
 from .asof import spine
 from .targets import targets
 
@@ -30,9 +30,9 @@ class Stopped(RuntimeError):
     """Raised after a step when a run is told to stop there."""
 
 
-def save_universe(store: TableStore, universe: DataFrame, train: DataFrame, names: list[str], version: str, full: bool = True) -> DataFrame:
+def save_universe(store: TableStore, universe: DataFrame, train: DataFrame, names: list[str], version: str, full: bool = True, least: int = models.LEAST) -> DataFrame:
     """Fits on ``train``, scores ``universe`` and stores model table and state; returns the scored universe."""
-    save_models(store, train, names, version, full)
+    save_models(store, train, names, version, full, least=least)
     rows, used = model_table.predicted(universe, read_models(store, version))
     store.write("scored_universe", scoring.scores(rows, **used), KEYS)
     scored = store.read("scored_universe")
@@ -41,8 +41,8 @@ def save_universe(store: TableStore, universe: DataFrame, train: DataFrame, name
     return scored
 
 
-def save_models(store: TableStore, train: DataFrame, names: list[str], version: str, full: bool = True, mark: tuple[str, int] | None = None) -> None:
-    table = model_table.fit(train, names, full).withColumn("model_version", F.lit(version))
+def save_models(store: TableStore, train: DataFrame, names: list[str], version: str, full: bool = True, mark: tuple[str, int] | None = None, least: int = models.LEAST) -> None:
+    table = model_table.fit(train, names, full, least=least).withColumn("model_version", F.lit(version))
     store.insert_ignore("model_weights", table, ["model_version", "model", "term"], "weight", mark)
 
 

@@ -15,6 +15,8 @@ from .registry import ALL, SCORED, SIM_METRICS, SIM_SUMS, labels, load_panel, pa
 
 OUTSIDE = "NATION_7"
 VERSION = "universe"
+#: The query fits every line that two rows settle, as its SQL does; the library leaves out those of fewer than 20 rows.
+TWO = 2
 
 
 def _store(spark) -> TableStore:
@@ -87,7 +89,7 @@ def g13_outside_entity(spark, sf_dir):
     store.write("monthly_features", relative_of(p, p.stocks.where(F.col("ticker") != OUTSIDE)), runs.KEYS)
     universe = store.read("monthly_features")
     train = universe.join(labels(p).where("winner is not null").select("feature_date", "ticker", "excess_return", "winner"), ["feature_date", "ticker"])
-    runs.save_universe(store, universe, train, list(OLS), VERSION, full=False)
+    runs.save_universe(store, universe, train, list(OLS), VERSION, full=False, least=TWO)
     return tidy(runs.score_outside(store, own_features(p, OUTSIDE), VERSION).select("feature_date", "ticker", *PLACED, "rank", "class", "would_pass"))
 
 
