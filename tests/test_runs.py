@@ -140,6 +140,24 @@ def test_a_run_that_dies_anywhere_ends_like_one_that_does_not(spark, panel, tmp_
     assert whole.read("monthly_features").select("feature_date").distinct().count() == 44
 
 
+def test_a_run_of_a_month_fits_lines_of_few_rows_where_it_is_told_to(spark, panel, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    months = MonthlyFew(store, panel, NAMES, full=False, least=2)
+    with pytest.raises(runs.Stopped):
+        months.run(end(43), stop_after="train")
+    w = model_table.weights(store.read("model_weights"))
+    assert {"ols_current_pe_ratio", "ols_twelve_month_momentum"} <= set(w)
+
+
+class MonthlyFew(runs.MonthlyRun):
+    """A run that knows four price-earnings ratios."""
+
+    def _training(self):
+        rows = super()._training()
+        first = rows.where("current_pe_ratio is not null").orderBy("feature_date", "ticker").limit(4).select("feature_date", "ticker", F.col("current_pe_ratio").alias("kept"))
+        return rows.join(first, ["feature_date", "ticker"], "left").drop("current_pe_ratio").withColumnRenamed("kept", "current_pe_ratio")
+
+
 def test_features_from_carried_tails_equal_those_of_the_whole_history(spark, panel, tmp_path, monkeypatch):
     monkeypatch.setattr(features, "PRICE_ROWS", 14)  # the longest look back that this panel's dates can have but the five-year one
     monkeypatch.setattr(features, "COMMON_ROWS", 24)

@@ -68,11 +68,12 @@ class MonthlyRun:
     """Brings the stored tables up to a month.
 
     ``source`` is what the provider has; of it a run takes what was known by the month.
-    ``full`` models are ridge, lasso and logistic besides the one-variable fits.
+    ``full`` models are ridge, lasso and logistic besides the one-variable fits, which
+    take ``least`` rows.
     """
 
-    def __init__(self, store: TableStore, source: Panel, names: list[str], full: bool = True):
-        self.store, self.source, self.names, self.full = store, source, names, full
+    def __init__(self, store: TableStore, source: Panel, names: list[str], full: bool = True, least: int = models.LEAST):
+        self.store, self.source, self.names, self.full, self.least = store, source, names, full, least
         self.spark = store.spark
 
     def run(self, month: dt.date, stop_after: str | None = None) -> dict:
@@ -148,7 +149,7 @@ class MonthlyRun:
 
     def _train(self, month: dt.date, mark: tuple) -> None:
         version = self.version(month)
-        save_models(self.store, self._training(), self.names, version, self.full, mark)
+        save_models(self.store, self._training(), self.names, version, self.full, mark, self.least)
         line = self.spark.createDataFrame([(version, month)], "model_version string, trained_for date")
         save(self.store, "model_training_runs", line, mark=mark)
 

@@ -15,7 +15,7 @@ from .registry import ALL, SCORED, SIM_METRICS, SIM_SUMS, labels, load_panel, pa
 
 OUTSIDE = "NATION_7"
 VERSION = "universe"
-#: The query fits every line that two rows settle, as its SQL does; the library leaves out those of fewer than 20 rows.
+#: Both queries fit every line that two rows settle, as their SQL does; the library leaves out those of fewer than 20 rows.
 TWO = 2
 
 
@@ -125,7 +125,7 @@ def s43_monthly_runs(spark, sf_dir):
     """The snapshots after two months' runs; the second dies after its training, is resumed and run once more."""
     p, store = load_panel(spark, sf_dir), _store(spark)
     months = sorted(r.date for r in p.benchmark.select("date").distinct().collect())[-2:]  # a row a month
-    monthly = runs.MonthlyRun(store, p, list(OLS), full=False)
+    monthly = runs.MonthlyRun(store, p, list(OLS), full=False, least=TWO)
     for month in months:
         try:
             monthly.run(month, stop_after="train" if month == months[-1] else None)
