@@ -14,7 +14,7 @@ that keys with the same nodes name the same few and a node of a large group meet
 once, not another for each of its keys. The bit counts of two hashed bitmaps bound the
 overlap from above; pairs that pass are settled by intersecting the sorted arrays. (2) Links are contracted to components. (3) Only keys whose nodes are still in
 several components go on: their bitmaps are compared block by block (blocks of ``BLOCK``
-nodes) across components. A pair counts on its smallest shared key only, and nodes with
+nodes) across components, and those of the largest one only with the nodes outside it. A pair counts on its smallest shared key only, and nodes with
 a likely partner meet there again with their arrays. A task intersects exactly and
 reports only the links that join components, so pairs never become rows.
 
@@ -300,12 +300,22 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _dealt(rows: DataFrame, payload: str) -> DataFrame:
     """Rows of (key, node, n, payload, comp and perhaps others) as runs of two blocks of a key's nodes each.
 
-    A key's nodes are dealt to blocks and every pair of blocks becomes one run of rows
-    in a task, so two blocks bound its memory whatever a key's size.
+    Two blocks bound a task's memory whatever a key's size. A key of no more rows is one
+    run, each row once. The nodes of a larger one are dealt to blocks and a pair of blocks
+    becomes one run. Nodes of its largest component, if that fills a block, have blocks of
+    their own after the others; those never meet each other, so a node of that component
+    stands once for each block of the nodes outside it, not for each block of the key.
     """
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    blocks = F.coalesce("blocks", F.lit(1))
-    dealt = rows.join(sizes, "key", "left").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 2 * BLOCK)
+    comps = rows.join(sizes, "key").groupBy("key", "comp").agg(F.first("size").alias("size"), F.count("*").alias("own"))
+    largest = comps.groupBy("key").agg(F.first("size").alias("size"), F.max_by("comp", F.struct("own", "comp")).alias("main"), F.max("own").alias("own"))
+    inside = F.when(F.col("own") >= BLOCK, F.col("own")).otherwise(0)
+    cut = largest.select("key", F.when(inside > 0, F.col("main")).alias("main"), F.greatest(F.ceil((F.col("size") - inside) / BLOCK), F.lit(1)).cast("int").alias("apart"), F.ceil(inside / BLOCK).cast("int").alias("within"))
+    apart_, within = F.coalesce("apart", F.lit(1)), F.coalesce("within", F.lit(0))
+    place, of_main = F.xxhash64("node"), F.coalesce(F.col("comp") == F.col("main"), F.lit(False))
+    own = F.when(of_main, apart_ + F.pmod(place, F.greatest(within, F.lit(1)))).otherwise(F.pmod(place, apart_)).cast("int")
+    met = F.sequence(F.lit(0), F.when(of_main, apart_).otherwise(apart_ + within) - 1)
+    dealt = rows.join(cut, "key", "left").withColumn("own", own).withColumn("other", F.explode(met))
     sides = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     sides = sides.select("key", "i", "j", "node", "n", "comp", (F.col("own") == F.col("i")).alias("left"), (F.col("own") == F.col("j")).alias("right"), payload, *[c for c in ("others",) if c in rows.columns])
     return sides.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
