@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard_join
+from tidemark.llm import jaccard_join, toxicity
 
 
 @pytest.mark.parametrize(
@@ -32,3 +32,24 @@ def test_a_large_component_of_a_key_does_not_meet_itself(spark, monkeypatch, siz
                     met.append((min(x.node, y.node), max(x.node, y.node)))
     assert sorted(met) == [(a, b) for a in range(size) for b in range(a + 1, size) if nodes[a] != nodes[b]]
     assert jaccard_join._dealt(rows, "bits").where("key = 8").agg(F.count("*")).first()[0] == 3
+
+
+def test_words_are_the_runs_of_letters_whatever_separates_them():
+    texts = [None, "", " \t", "Plain words here", "semi;colon, don't x2y _a_ É É ß²½ \x1cA\x85b", "漢字かな交じり文、です", "İstanbul ǅ", "a" * 50 + "1" + "b" * 50]
+    for t in texts:
+        assert toxicity.words_of(t) == toxicity._WORD.findall((t or "").lower())
+    every = "".join(f"a{chr(c)}b {chr(c)} " for c in range(0x3000) if not 0xD800 <= c < 0xE000)
+    assert toxicity.words_of(every) == toxicity._WORD.findall(every.lower())
+
+
+def test_a_word_that_cannot_have_a_unit_of_the_model_is_not_taken_apart(monkeypatch):
+    asked, real = [], toxicity.units
+    monkeypatch.setattr(toxicity, "units", lambda w: asked.append(w) or real(w))
+    scores = {"=ab": 2.0, "foo": 1.0, "foobar": 3.0, "=food": -4.0, "=x": -1.0}
+    model = toxicity.Model(scores, 0.25, 1.0, 1.0)
+    words = ["ab", "abc", "foo", "food", "foobars", "x", "xy", "plain", "plain", "", "fo"]
+    known = model.known()
+    best = [max(scores.get(u, 0.0) for u in real(w)) for w in words]
+    want = [b if b > 0 else -0.25 + min(scores.get("=" + w, 0.0), 0.0) for w, b in zip(words, best, strict=True)]
+    assert [known[w] for w in words] == [known[w] for w in words] == want
+    assert sorted(asked) == ["ab", "foo", "foobars", "food", "x"]

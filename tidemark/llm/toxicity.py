@@ -34,7 +34,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -68,6 +68,36 @@ SCORES = "n_words bigint, evidence double, n_passages bigint, spans array<struct
 _BITMAP = (1 << PLACES) - 1
 
 
+def words_of(text: str | None) -> list[str]:
+    """The runs of letters of a lower-cased text; what white space separates is mostly one run and needs no search."""
+    out: list[str] = []
+    for piece in (text or "").lower().split():
+        if piece.isalpha():
+            out.append(piece)
+        else:
+            out.extend(_WORD.findall(piece))
+    return out
+
+
+class Remembered(dict):
+    """What ``make`` gives for a word, kept for about ``most`` words."""
+
+    def __init__(self, make: Callable[[str], object], most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, word: str) -> object:
+        if len(self) > self.most:
+            self.clear()
+        out = self[word] = self.make(word)
+        return out
+
+
+def heads(names: Iterable[str]) -> set[str]:
+    """The first three letters of units; a word with another beginning has none of them."""
+    return {u.removeprefix("=")[:3] for u in names}
+
+
 def units(word: str) -> list[str]:
     return ["=" + word, *[word[:k] for k in UNIT_LENGTHS if k <= len(word)]]
 
@@ -98,13 +128,18 @@ def context_place(before: str, after: str) -> int:
     return 1 << (rate * PLACES + (h & 0xFFFFFFFF) % PLACES)
 
 
-def context_places(words: list[str]) -> dict[str, int]:
-    """For each unit of a text the hashed places of its contexts (the words around it), as bits."""
+def word_places(words: list[str]) -> dict[str, int]:
+    """For each word of a text the hashed places of its contexts (the words around it), as bits."""
     own: dict[str, int] = {}
     for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
         own[w] = own.get(w, 0) | context_place(before, after)
+    return own
+
+
+def context_places(words: list[str]) -> dict[str, int]:
+    """The same for each unit of a text."""
     out: dict[str, int] = {}
-    for w, bits in own.items():
+    for w, bits in word_places(words).items():
         for u in units(w):
             out[u] = out.get(u, 0) | bits
     return out
@@ -149,23 +184,25 @@ class Model:
     intercept: float = -50.0
     slope: float = 0.0
 
-    def word_scores(self, words: list[str], known: dict[str, float]) -> np.ndarray:
-        get, cost = self.scores.get, -self.cost
-        if len(known) > 500_000:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                best = max((get(u, 0.0) for u in units(w)), default=0.0)
-                known[w] = best if best > 0 else cost + min(get("=" + w, 0.0), 0.0)
-        return np.fromiter((known[w] for w in words), np.float64, len(words))
-
-    def passages(self, text: str | None, known: dict[str, float]) -> tuple[int, float, list[tuple[int, int, float]]]:
+    def known(self) -> Remembered:
+        """The scores of words, made when a word is first met."""
+        get, cost, there = self.scores.get, -self.cost, heads(self.scores)
+
+        def score(word: str) -> float:
+            if word[:3] not in there:
+                return cost
+            best = max(get(u, 0.0) for u in units(word))
+            return best if best > 0 else cost + min(get("=" + word, 0.0), 0.0)
+
+        return Remembered(score, 500_000)
+
+    def passages(self, text: str | None, known: Remembered) -> tuple[int, float, list[tuple[int, int, float]]]:
         """Number of words, summed evidence and the significant segments of a text."""
-        words = _WORD.findall((text or "").lower())
+        words = words_of(text)
         if not words or not self.scores:
             return len(words), 0.0, []
         log_space = math.log(self.base * len(words) + 1e-12)
-        found = [(a, b, s) for a, b, s in maximal_segments(self.word_scores(words, known)) if self.rate * s - log_space >= -math.log(CHANCE)]
+        found = [(a, b, s) for a, b, s in maximal_segments(np.fromiter(map(known.__getitem__, words), np.float64, len(words))) if self.rate * s - log_space >= -math.log(CHANCE)]
         return len(words), sum(self.rate * s - log_space for _, _, s in found), found
 
 
@@ -207,32 +244,40 @@ def _lexicon(docs: DataFrame, labelled: DataFrame, n_rows: int, work: Scratch) -
     bitmaps = [f"places{k}" for k in range(RATES)]
 
     def labelled_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_units: dict[str, list[str]] = {}
-        counts: tuple[Counter, Counter] = (Counter(), Counter())  # documents by unit: not toxic, toxic; "" has their distinct words
-        places: dict[str, int] = {}
+        # Units have numbers in the order of their first occurrence; "" has the distinct words of the documents.
+        number, of_word = {"": 0}, {}
+        counts, last = np.zeros((2, 1 << 16), np.int64), np.zeros(1 << 16, np.int64)  # documents by unit: not toxic, toxic
+        places: dict[int, int] = {}
 
         def rows() -> pa.RecordBatch:
-            seen = list(counts[0].keys() | counts[1].keys())
-            columns = [[c[u] for u in seen] for c in counts] + [[places.get(u, 0) >> k * PLACES & _BITMAP for u in seen] for k in range(RATES)]
-            return pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["unit", "d0", "d1", *bitmaps])
+            n, at = len(number), np.fromiter(places, np.int64, len(places))
+            columns = [counts[0, :n], counts[1, :n], *np.zeros((RATES, n), np.int64)]
+            for k in range(RATES):
+                columns[2 + k][at] = [bits >> k * PLACES & _BITMAP for bits in places.values()]
+            return pa.RecordBatch.from_arrays([pa.array(list(number), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["unit", "d0", "d1", *bitmaps])
 
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = _WORD.findall((text.as_py() or "").lower())
+                text = words_of(text.as_py())
                 words = set(text)
-                if len(word_units) > 100_000:
-                    word_units.clear()
-                for w in words:
-                    if w not in word_units:
-                        word_units[w] = units(w)
-                counts[label].update(set(chain.from_iterable(word_units[w] for w in words)))
-                counts[label][""] += len(words)
+                for w in words.difference(of_word):
+                    of_word[w] = [number.setdefault(u, len(number)) for u in units(w)]
+                if len(number) > len(last):
+                    more = 2 * len(number) - len(last)
+                    counts, last = np.pad(counts, ((0, 0), (0, more))), np.pad(last, (0, more))
+                at = np.fromiter(chain.from_iterable(map(of_word.__getitem__, words)), np.int64)
+                nth = np.arange(len(at))
+                last[at] = nth
+                counts[label, at[last[at] == nth]] += 1  # each unit once a document
+                counts[label, 0] += len(words)
                 if label:
-                    for u, bits in context_places(text).items():
-                        places[u] = places.get(u, 0) | bits
-                if len(counts[0]) + len(counts[1]) > 500_000:
+                    for w, bits in word_places(text).items():
+                        for i in of_word[w]:
+                            places[i] = places.get(i, 0) | bits
+                if len(number) > 500_000:
                     yield rows()
-                    counts, places = (Counter(), Counter()), {}
+                    number, of_word, places = {"": 0}, {}, {}
+                    counts[:] = 0
         yield rows()
 
     made = labelled.mapInArrow(labelled_units, "unit string, d0 bigint, d1 bigint, " + ", ".join(f"{b} bigint" for b in bitmaps))
@@ -257,18 +302,12 @@ def _lexicon(docs: DataFrame, labelled: DataFrame, n_rows: int, work: Scratch) -
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = candidates.value
         counts = np.zeros(len(index) + 1, np.int64)  # last place: distinct words of the documents
-        word_units: dict[str, list[int]] = {}
+        there = heads(index)
+        of_word = Remembered(lambda w: [i for u in units(w) if (i := index.get(u)) is not None] if w[:3] in there else (), 300_000)
         for batch in batches:
             for x in batch.column(0):
-                words = set(_WORD.findall((x.as_py() or "").lower()))
-                own: set[int] = set()
-                if len(word_units) > 300_000:
-                    word_units.clear()
-                for w in words:
-                    if (at := word_units.get(w)) is None:
-                        at = word_units[w] = [i for u in units(w) if (i := index.get(u)) is not None]
-                    if at:
-                        own.update(at)
+                words = set(words_of(x.as_py()))
+                own = set(chain.from_iterable(filter(None, map(of_word.__getitem__, words))))
                 counts[np.fromiter(own, np.int64, len(own))] += 1
                 counts[-1] += len(words)
         full = np.flatnonzero(counts)
@@ -300,12 +339,20 @@ def _chance(texts: DataFrame, model: Model) -> tuple[float, float]:
     shared = texts.sparkSession.sparkContext.broadcast(vars(model))  # plain values: a task builds the model anew
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own = {}, Model(**shared.value)
-        counts: Counter = Counter()
+        known, words, counts = Model(**shared.value).known(), Counter(), Counter()
+
+        def settle() -> None:
+            scores = np.round(np.fromiter(map(known.__getitem__, words), np.float64, len(words)), 2)
+            for s, n in zip(scores.tolist(), words.values(), strict=True):
+                counts[s] += n
+            words.clear()
+
         for batch in batches:
             for x in batch.column(0):
-                values, n = np.unique(np.round(own.word_scores(_WORD.findall((x.as_py() or "").lower()), known), 2), return_counts=True)
-                counts.update(dict(zip(values.tolist(), n.tolist(), strict=True)))
+                words.update(words_of(x.as_py()))
+                if len(words) > 500_000:
+                    settle()
+        settle()
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.float64()), pa.array(list(counts.values()), pa.int64())], names=["s", "n"])
 
     rows = texts.mapInArrow(histogram, "s double, n bigint").groupBy("s").agg(F.sum("n").alias("n")).collect()
@@ -327,7 +374,8 @@ def evidence(rows: DataFrame, model: Model) -> DataFrame:
     span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own = {}, Model(**shared.value)
+        own = Model(**shared.value)
+        known = own.known()
         for batch in batches:
             made = [own.passages(x.as_py(), known) for x in batch.columns[-1]]
             spans = [[{"first": a, "last": b, "score": s} for a, b, s in r[2]] for r in made]
