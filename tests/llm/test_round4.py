@@ -1,9 +1,11 @@
-"""What a key of many nodes makes in the n-gram Jaccard join, and how often units are looked at in toxicity."""
+"""What a key of many nodes and keys of the same nodes make in the n-gram Jaccard join, and how often units are looked at in toxicity."""
+
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard_join, toxicity
+from tidemark.llm import common, jaccard_join, toxicity
 
 
 @pytest.mark.parametrize(
@@ -34,6 +36,37 @@ def test_a_large_component_of_a_key_does_not_meet_itself(spark, monkeypatch, siz
     assert jaccard_join._dealt(rows, "bits").where("key = 8").agg(F.count("*")).first()[0] == 3
 
 
+def test_keys_of_the_same_nodes_are_compared_once_and_without_the_signatures(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(5000)]
+    passage = rng.choices(words, k=300)
+    rows = [(k, " ".join(passage + rng.choices(words, k=300))) for k in range(6)]
+    rows += [(10 + k, " ".join([*rows[k][1].split()[:-1], "other"])) for k in range(2)]
+    seen, real = [], jaccard_join._with_partner
+
+    def looked_at(placed, sig, percent, work):
+        nodes = placed.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
+        seen.append(([tuple(r.nodes) for r in nodes.collect()], [path for path in common.written() if "jaccard-signatures" in path and path not in before]))
+        return real(placed, sig, percent, work)
+
+    monkeypatch.setattr(jaccard_join, "_with_partner", looked_at)
+    before = set(common.written())
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame).collect()}
+    assert got == {k: k % 10 for k, _ in rows}
+    sets, left = seen[0]
+    assert len(sets) == len(set(sets)) > 5 and not left
+    jaccard_join.links(frame)
+    assert len(seen[1][0]) == len(set(seen[1][0]))
+
+
+def test_open_keys_keep_one_of_each_node_set(spark):
+    sets = {1: "ab", 2: "ab", 3: "abc", 4: "abd", 5: "abc", 6: "pq", 7: "a", 8: "abcd", 9: "acbd", -5: "bd"}
+    comp = {"a": 1, "b": 2, "c": 3, "d": 4, "p": 9, "q": 9}  # p and q are one component
+    placed = spark.createDataFrame([(k, ord(n) * 2**40, comp[n]) for k, s in sets.items() for n in s], "key long, node long, comp long")
+    assert sorted(r.key for r in jaccard_join._open_keys(placed).collect()) == [-5, 1, 3, 4, 8]
+
+
 def test_words_are_the_runs_of_letters_whatever_separates_them():
     texts = [None, "", " \t", "Plain words here", "semi;colon, don't x2y _a_ É É ß²½ \x1cA\x85b", "漢字かな交じり文、です", "İstanbul ǅ", "a" * 50 + "1" + "b" * 50]
     for t in texts:

@@ -13,7 +13,8 @@ a group. (1) Each meets one node of the key, the smallest under one of ``HUBS``
 that keys with the same nodes name the same few and a node of a large group meets those
 once, not another for each of its keys. The bit counts of two hashed bitmaps bound the
 overlap from above; pairs that pass are settled by intersecting the sorted arrays. (2) Links are contracted to components. (3) Only keys whose nodes are still in
-several components go on: their bitmaps are compared block by block (blocks of ``BLOCK``
+several components go on, and of keys with the same nodes, as a passage leaves many, only
+the smallest: their bitmaps are compared block by block (blocks of ``BLOCK``
 nodes) across components, and those of the largest one only with the nodes outside it. A pair counts on its smallest shared key only, and nodes with
 a likely partner meet there again with their arrays. A task intersects exactly and
 reports only the links that join components, so pairs never become rows.
@@ -385,6 +386,17 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[Run]:
         yield Run(parts)
 
 
+def _open_keys(placed: DataFrame) -> DataFrame:
+    """Keys of (key, node, comp) whose nodes are in several components; of keys with the same nodes, the smallest.
+
+    Up to three nodes follow from their number, ends and sum modulo 2; more are told apart
+    by that and by a second digest, 128 bits beside the ends.
+    """
+    of_nodes = [F.count("*").alias("size"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor("node").alias("sum"), F.bit_xor(F.xxhash64("node")).alias("proof")]
+    several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *of_nodes).where("low != high")
+    return several.groupBy("size", "first", "last", "sum", "proof").agg(F.min("key").alias("key")).select("key")
+
+
 def _with_partner(rows: DataFrame, sig: DataFrame, percent: int, work: Scratch) -> DataFrame:
     """(key, node) of the rows that have a partner in another component by their bitmaps, then on each pair's smallest key alone."""
 
@@ -396,7 +408,7 @@ def _with_partner(rows: DataFrame, sig: DataFrame, percent: int, work: Scratch)
 
     likely = work.stored(_dealt(rows.join(sig, "node"), "bits").mapInArrow(run, "key bigint, node bigint").distinct(), "jaccard-flagged")
     again = work.stored(rows.join(likely, ["key", "node"], "left_semi"), "jaccard-flagged")
-    out = work.stored(_dealt(_with_others(again).join(sig, "node"), "bits").mapInArrow(run, "key bigint, node bigint").distinct(), "jaccard-flagged")
+    out = work.stored(_dealt(_with_others(again, sig), "bits").mapInArrow(run, "key bigint, node bigint").distinct(), "jaccard-flagged")
     work.drop(likely, again)
     return out
 
@@ -487,13 +499,14 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: s
     usable = signed.where("n > 0 and doc_id is not null")
     nodes = work.stored(usable.groupBy("node").agg(F.any_value("n").alias("n"), F.count("*").alias("rows"), F.min("doc_id").alias("doc_id")), "jaccard-nodes")
     members = _shared_members(usable, work)
+    sig = _first(usable, members.select("node").distinct(), work)
     # The component of a row is its node: no pair is left out for being connected already.
-    placed = members.withColumn("comp", F.col("node"))
-    sig = _first(usable, placed.select("node").distinct(), work)
+    every = members.withColumn("comp", F.col("node"))
+    placed = work.stored(every.join(_open_keys(every), "key", "left_semi"), "jaccard-open")
     flagged = _with_partner(placed, sig, percent, work)
     sets = _sets_of(rows, usable, flagged.select("node"), words, seed, work)
     work.drop(signed)
-    with_sets = _with_others(placed.join(flagged, ["key", "node"], "left_semi")).join(sets, "node").withColumn("n", F.expr("octet_length(shingles) div 8"))
+    with_sets = _with_others(placed.join(flagged, ["key", "node"], "left_semi"), sets).withColumn("n", F.expr("octet_length(shingles) div 8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _runs(batches):
@@ -528,12 +541,14 @@ def _components_of(keyed: DataFrame, usable: str, words: int, percent: int) -> t
     """Rows of ``keyed`` with n and node in place of the text, and node and comp of every node that has a link."""
     work = Scratch(keyed.sparkSession)
     signed, seed = _signed_rows(keyed, words, percent, work)
-    rows = work.stored(signed.drop("proof", "bits", "keys", "digest"), "jaccard-rows")
+    rows = work.stored(signed.drop("proof", "bits", "keys"), "jaccard-rows")
     used = signed.where(f"n > 0 and {usable}")
     members = _shared_members(used, work)
+    sig = _first(used, members.select("node").distinct(), work)
+    work.drop(signed)  # nearly as large as the texts
+    used = rows.where(f"n > 0 and {usable}")
     hubs = members.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.pmod("key", F.lit(HUBS)))).alias("b"))
     met = work.stored(members.join(hubs, "key").where("node != b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), "jaccard-met")
-    sig = _first(used, members.select("node").distinct(), work)
     passed = work.stored(_by_bits(met, sig, percent), "jaccard-passed")
     work.drop(met)
     sets = _sets_of(keyed, used, passed.select(F.explode(F.array("a", "b")).alias("node")), words, seed, work)
@@ -548,12 +563,11 @@ def _components_of(keyed: DataFrame, usable: str, words: int, percent: int) -> t
         comps = components(found, work)
     work.drop(passed, sets)
     placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-    open_rows = work.stored(placed.join(several, "key", "left_semi").select("key", "node", "comp"), "jaccard-open")
+    open_rows = work.stored(placed.join(_open_keys(placed), "key", "left_semi").select("key", "node", "comp"), "jaccard-open")
     flagged = _with_partner(open_rows, sig, percent, work)
     if flagged.take(1):
         near = _sets_of(keyed, used, flagged.select("node"), words, seed, work)
-        with_sets = _with_others(work.stored(open_rows.join(flagged, ["key", "node"], "left_semi"), "jaccard-open")).join(near, "node")
+        with_sets = _with_others(work.stored(open_rows.join(flagged, ["key", "node"], "left_semi"), "jaccard-open"), near)
         last = work.stored(_spanning_links(with_sets.withColumn("n", F.expr("octet_length(shingles) div 8")), percent), "jaccard-links")
         if last.take(1):
             work.drop(comps)
@@ -562,9 +576,12 @@ def _components_of(keyed: DataFrame, usable: str, words: int, percent: int) -> t
     return rows, comps
 
 
-def _with_others(placed: DataFrame) -> DataFrame:
-    """Each (key, node, comp) with all keys of its node; a text's own segments bound their number."""
-    return placed.join(placed.groupBy("node").agg(F.collect_list("key").alias("others")), "node")
+def _with_others(placed: DataFrame, of_node: DataFrame) -> DataFrame:
+    """Each (key, node, comp) with the columns of ``of_node`` and all keys of its node; a text's own segments bound their number.
+
+    A node's list and columns meet first, once a node, so no join's side holds a list for each key.
+    """
+    return placed.join(of_node.join(placed.groupBy("node").agg(F.collect_list("key").alias("others")), "node"), "node")
 
 
 def _sets_of(keyed: DataFrame, used: DataFrame, nodes: DataFrame, words: int, seed: int, work: Scratch) -> DataFrame:
